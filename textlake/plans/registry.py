@@ -255,3 +255,93 @@ def q_clip_head(spark, sf_dir):
 def q_clip_tail(spark, sf_dir):
     """Last 64 tokens of each document (unchanged when it fits)."""
     return _docs(spark, sf_dir).select("doc_id", clip_tokens("text", 64, "tail").alias("clipped"))
+
+
+# ---------------------------------------------------------------- packing
+from . import packing as P  # noqa: E402
+from ..sources.changes import changes_from_documents  # noqa: E402
+
+
+def _fold_sql(items_sql: str, max_tokens: int, charge: bool) -> str:
+    """Recursive CTE of next-fit packing over ``items(g, o, n)``; DuckDB oracle of the block-parallel fold."""
+    restart = "i.n" if charge else "0"
+    return f"""
+items AS (SELECT g, o, n, row_number() OVER (PARTITION BY g ORDER BY o) AS rn FROM ({items_sql})),
+fold AS (
+  SELECT g, rn, o, n, n AS s, CAST(0 AS BIGINT) AS chunk_no FROM items WHERE rn = 1
+  UNION ALL
+  SELECT i.g, i.rn, i.o, i.n,
+         CASE WHEN f.s + i.n > {max_tokens} THEN {restart} ELSE f.s + i.n END,
+         f.chunk_no + CASE WHEN f.s + i.n > {max_tokens} THEN 1 ELSE 0 END
+  FROM fold f JOIN items i ON i.g = f.g AND i.rn = f.rn + 1)"""
+
+
+_DOC_BLOCK_TOKENS_SQL = f"({token_count_sql('text')} + {token_count_sql(DOCUMENT_PATH_SQL)} + 4)"
+
+
+@register("pack_documents", f"""
+WITH RECURSIVE {_fold_sql(f"SELECT source AS g, doc_id AS o, {_DOC_BLOCK_TOKENS_SQL} AS n FROM documents", 1600, True).strip()}
+SELECT g AS source, o AS doc_id, CAST(n AS INTEGER) AS n_tokens, chunk_no FROM fold""")
+def q_pack_documents(spark, sf_dir):
+    """Documents of each source packed in doc_id order into bundles of at most 1,600 tokens."""
+    return P.pack_documents(read_documents(spark, sf_dir))
+
+
+def _pack_changes_sql(max_tokens: int, charge: bool) -> str:
+    items = f"SELECT source AS g, doc_id AS o, {token_count_sql('text')} AS n FROM documents"
+    return f"""
+WITH RECURSIVE {_fold_sql(items + f" WHERE {token_count_sql('text')} <= {max_tokens}", max_tokens, charge).strip()},
+starts AS (SELECT g, chunk_no, min(o) AS emit_seq FROM fold GROUP BY g, chunk_no)
+SELECT f.g AS repo, f.o AS seq, CAST(f.n AS INTEGER) AS n_tokens, false AS truncated, f.chunk_no, s.emit_seq
+FROM fold f LEFT JOIN starts s ON s.g = f.g AND s.chunk_no = f.chunk_no + 1
+UNION ALL
+SELECT source AS repo, doc_id AS seq, CAST({token_count_sql('text')} AS INTEGER) AS n_tokens, true AS truncated,
+       CAST(NULL AS BIGINT) AS chunk_no, doc_id AS emit_seq
+FROM documents WHERE {token_count_sql('text')} > {max_tokens}"""
+
+
+@register("pack_changes", _pack_changes_sql(1400, True))
+def q_pack_changes(spark, sf_dir):
+    """Staged changes (one per document, repo = source) packed into diff chunks of at most 1,400 tokens."""
+    return P.pack_changes(changes_from_documents(_docs(spark, sf_dir)))
+
+
+@register("pack_changes_compat", _pack_changes_sql(1400, False))
+def q_pack_changes_compat(spark, sf_dir):
+    """As ``pack_changes`` with the original accounting: the change that opens a chunk is not counted."""
+    return P.pack_changes(changes_from_documents(_docs(spark, sf_dir)), charge_after_flush=False)
+
+
+def _examples_sql(budget: int, k: int) -> str:
+    pick = f"f.npicks < {k} AND f.total + i.cost <= {budget}"
+    return f"""
+WITH RECURSIVE p AS (
+  SELECT u.conv_id, u.turn, {token_count_sql('u.text')} + {token_count_sql('a.text')} + 20 AS cost
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+items AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM p),
+fold AS (
+  SELECT conv_id, rn, turn, cost,
+         CASE WHEN {k} > 0 AND cost <= {budget} THEN cost ELSE 0 END AS total,
+         CASE WHEN {k} > 0 AND cost <= {budget} THEN 1 ELSE 0 END AS npicks,
+         CASE WHEN {k} > 0 AND cost <= {budget} THEN 1 ELSE 0 END AS picked
+  FROM items WHERE rn = 1
+  UNION ALL
+  SELECT i.conv_id, i.rn, i.turn, i.cost,
+         CASE WHEN {pick} THEN f.total + i.cost ELSE f.total END,
+         f.npicks + CASE WHEN {pick} THEN 1 ELSE 0 END,
+         CASE WHEN {pick} THEN 1 ELSE 0 END
+  FROM fold f JOIN items i ON i.conv_id = f.conv_id AND i.rn = f.rn + 1)
+SELECT conv_id, turn, CAST(cost AS BIGINT) AS cost, CAST(npicks AS INTEGER) AS pick_no FROM fold WHERE picked = 1"""
+
+
+@register("select_examples", _examples_sql(1400, 10))
+def q_select_examples(spark, sf_dir):
+    """Few-shot picks per conversation, newest first: budget 1,400 tokens, at most 10, 20 tokens overhead each."""
+    return P.select_examples(P.conversation_examples(read_table(spark, sf_dir, "conversations")))
+
+
+@register("select_examples_tight", _examples_sql(120, 2))
+def q_select_examples_tight(spark, sf_dir):
+    """As ``select_examples`` with a budget of 120 tokens and 2 examples, so that skipping and stopping occur."""
+    return P.select_examples(P.conversation_examples(read_table(spark, sf_dir, "conversations")), 120, 2)
