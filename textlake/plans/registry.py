@@ -345,3 +345,164 @@ def q_select_examples(spark, sf_dir):
 def q_select_examples_tight(spark, sf_dir):
     """As ``select_examples`` with a budget of 120 tokens and 2 examples, so that skipping and stopping occur."""
     return P.select_examples(P.conversation_examples(read_table(spark, sf_dir, "conversations")), 120, 2)
+
+
+# ---------------------------------------------------------------- prompts and answers
+from ..functions import fixed as X  # noqa: E402
+from ..operators import prompts as PR  # noqa: E402
+from .texts import DEFAULT_PRE_PROMPT  # noqa: E402
+
+
+def _q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register("request_text", f"""
+SELECT l.doc_id, 'Write a commit message for the given diff (quality: ' || CAST(l.quality * 10 AS VARCHAR) || '/10)'
+       || CASE WHEN l.toxic = 1 THEN ' (hint: ' || d.lang || ')' ELSE '' END AS request
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
+def q_request_text(spark, sf_dir):
+    """Commit request per labelled document: quality = 10·label, hint = language for flagged documents."""
+    lab = read_table(spark, sf_dir, "labels")
+    docs = _docs(spark, sf_dir).select("doc_id", "lang")
+    j = lab.join(docs, "doc_id")
+    hint = F.when(F.col("toxic") == 1, F.col("lang"))
+    return j.select("doc_id", PR.request_text(F.col("quality") * 10, hint).alias("request"))
+
+
+def _prev_pair_examples(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("context"))
+    pairs = P.conversation_examples(conv).select(
+        "conv_id", (F.col("turn") + 2).alias("turn"),
+        F.struct(F.col("context"), F.lit(None).cast("string").alias("request"), F.col("response")).alias("ex"))
+    j = users.join(pairs, ["conv_id", "turn"], "left")
+    return j.select("conv_id", "turn", "context",
+                    F.when(F.col("ex").isNotNull(), F.array("ex")).alias("examples"))
+
+
+def _prompt_sql(request_sql: str, mark: bool) -> str:
+    sfx = X.EXAMPLE_SUFFIX if mark else ""
+    ex = (f"list_transform(examples, lambda e: concat_ws(chr(10), {_q(X.CONTEXT_HEADING + sfx)}, e.context, "
+          f"CASE WHEN e.request IS NOT NULL THEN concat_ws(chr(10), {_q(X.REQUEST_HEADING + sfx)}, e.request) END, "
+          f"{_q(X.RESPONSE_HEADING + sfx)}, {_q(X.START_MARKER)}, e.response, {_q(X.END_MARKER)}))")
+    return f"""
+WITH conv AS (SELECT * FROM conversations),
+u AS (SELECT conv_id, turn, text AS context FROM conv WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS response FROM conv WHERE role = 'assistant'),
+p AS (SELECT u.conv_id, u.turn + 2 AS turn, u.context, a.response FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn),
+x AS (SELECT u.conv_id, u.turn, u.context,
+             CASE WHEN p.context IS NULL THEN NULL
+                  ELSE [{{'context': p.context, 'request': CAST(NULL AS VARCHAR), 'response': p.response}}] END AS examples
+      FROM u LEFT JOIN p ON p.conv_id = u.conv_id AND p.turn = u.turn),
+y AS (SELECT conv_id, turn, concat_ws(chr(10), {_q(DEFAULT_PRE_PROMPT)}, {_q(X.END_INSTRUCTION)},
+        nullif(array_to_string(coalesce({ex}, []), chr(10)), ''), {_q(X.CONTEXT_HEADING)}, context,
+        CASE WHEN {request_sql} IS NOT NULL THEN concat_ws(chr(10), {_q(X.REQUEST_HEADING)}, {request_sql}) END,
+        {_q(X.RESPONSE_HEADING)}, {_q(X.START_MARKER)}) AS prompt FROM x)"""
+
+
+@register("assemble_prompt", _prompt_sql("CAST(NULL AS VARCHAR)", False) + "\nSELECT conv_id, turn, prompt FROM y")
+def q_assemble_prompt(spark, sf_dir):
+    """Prompt per user turn: the previous (user, assistant) pair of the conversation as example, no request."""
+    x = _prev_pair_examples(spark, sf_dir)
+    return x.select("conv_id", "turn", PR.assemble_prompt("context", F.lit(None).cast("string"),
+                                                          F.lit(DEFAULT_PRE_PROMPT), F.col("examples")).alias("prompt"))
+
+
+_REQ10 = "Write a commit message for the given diff (quality: 10/10)"
+
+
+@register("assemble_prompt_marked", _prompt_sql(_q(_REQ10), True) + "\nSELECT conv_id, turn, prompt FROM y")
+def q_assemble_prompt_marked(spark, sf_dir):
+    """As ``assemble_prompt`` with a request line and example headings marked ``(Example)``."""
+    x = _prev_pair_examples(spark, sf_dir)
+    return x.select("conv_id", "turn", PR.assemble_prompt("context", PR.request_text(F.lit(10)),
+                                                          F.lit(DEFAULT_PRE_PROMPT), F.col("examples"),
+                                                          mark_examples=True).alias("prompt"))
+
+
+@register("prompt_budget", _prompt_sql("CAST(NULL AS VARCHAR)", False) + f"""
+SELECT conv_id, turn, CAST({token_count_sql('prompt')} AS INTEGER) AS prompt_tokens,
+       CAST(8000 - {token_count_sql('prompt')} AS INTEGER) AS output_budget,
+       (8000 - {token_count_sql('prompt')}) >= 1 AS fits FROM y""")
+def q_prompt_budget(spark, sf_dir):
+    """Prompt tokens, output budget (window of gpt-3.5-turbo minus prompt) and whether the prompt fits."""
+    p = QUERIES["assemble_prompt"](spark, sf_dir)
+    return p.select("conv_id", "turn", *PR.prompt_budget(F.col("prompt"), F.lit("gpt-3.5-turbo")))
+
+
+_BLOCK_SQL = ("'<!-- ' || path || ' -->' || chr(10) || repeat('`', greatest(3, coalesce(list_max(list_transform("
+              "regexp_extract_all(text, '`+'), lambda r: length(r))), 0) + 1)) || chr(10) || text || chr(10) || "
+              "repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), "
+              "lambda r: length(r))), 0) + 1))")
+
+_BUNDLES_SQL = f"""
+WITH RECURSIVE {_fold_sql(f"SELECT source AS g, doc_id AS o, {_DOC_BLOCK_TOKENS_SQL} AS n FROM documents", 1600, True).strip()},
+docs AS (SELECT doc_id, {DOCUMENT_PATH_SQL} AS path, text FROM documents),
+bundles AS (SELECT f.g AS source, f.chunk_no, string_agg({_BLOCK_SQL}, chr(10) ORDER BY f.o) AS bundle
+            FROM fold f JOIN docs d ON d.doc_id = f.o GROUP BY f.g, f.chunk_no)"""
+
+
+def _bundles(spark, sf_dir):
+    files = read_documents(spark, sf_dir)
+    packed = P.pack_documents(files).select("source", "doc_id", "chunk_no")
+    return PR.render_bundles(files.join(packed, ["source", "doc_id"]), ["source", "chunk_no"], "doc_id")
+
+
+@register("render_bundle", _BUNDLES_SQL + "\nSELECT source, chunk_no, bundle FROM bundles")
+def q_render_bundle(spark, sf_dir):
+    """Packed documents rendered as one markdown text per bundle."""
+    return _bundles(spark, sf_dir)
+
+
+@register("parse_bundle", _BUNDLES_SQL + f""",
+parsed AS (SELECT source, chunk_no,
+                  regexp_extract_all(bundle, {_q(PR.BLOCK_PATTERN_SQL)}, 1) AS paths,
+                  regexp_extract_all(bundle, {_q(PR.BLOCK_PATTERN_SQL)}, 2) AS bodies FROM bundles)
+SELECT source, chunk_no, CAST(unnest(range(len(paths))) AS INTEGER) AS file_pos, unnest(paths) AS path,
+       regexp_replace(unnest(bodies), '\\n$', '') AS text FROM parsed""")
+def q_parse_bundle(spark, sf_dir):
+    """Rendered bundles parsed back into (path, text) rows."""
+    return PR.parse_bundle(_bundles(spark, sf_dir), "bundle", ["source", "chunk_no"])
+
+
+_ASSIST = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
+
+
+@register("clean_response", f"""
+SELECT conv_id, turn, regexp_replace(replace(text || chr(10) || {_q(X.END_MARKER)} || '  ', {_q(X.END_MARKER)}, ''),
+       '^{X.STRIP_CLASS_SQL}+|{X.STRIP_CLASS_SQL}+$', '', 'g') AS cleaned FROM ({_ASSIST})""")
+def q_clean_response(spark, sf_dir):
+    """Assistant turns as raw answers (text, end marker, trailing blanks) cleaned: marker removed, stripped."""
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    raw = F.concat(F.col("text"), F.lit("\n" + X.END_MARKER + "  "))
+    return conv.select("conv_id", "turn", PR.clean_response(raw).alias("cleaned"))
+
+
+_FLAG_RESP_SQL = (f"CASE WHEN {token_count_sql('text')} >= 10 THEN text || chr(10) || {_q(X.END_MARKER)} "
+                  f"ELSE text END")
+
+
+@register("response_flags", f"""
+SELECT conv_id, turn, contains(r, {_q(X.END_MARKER)}) AS finished, {token_count_sql('r')} > 30 AS overflow
+FROM (SELECT conv_id, turn, {_FLAG_RESP_SQL} AS r FROM ({_ASSIST}))""")
+def q_response_flags(spark, sf_dir):
+    """Finished / overflow flags of assistant answers (marker added to answers of 10+ tokens; budget 30)."""
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    r = F.when(token_count("text") >= 10, F.concat(F.col("text"), F.lit("\n" + X.END_MARKER))).otherwise(F.col("text"))
+    return conv.select("conv_id", "turn", *PR.response_flags(r, F.lit(30)))
+
+
+@register("extract_rating", f"""
+SELECT conv_id, turn, TRY_CAST(regexp_extract(r, {_q(X.RATING_PATTERN)}, 1) AS INTEGER) AS rating
+FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant'
+        THEN text || ' (RATING: ' || CAST({token_count_sql('text')} % 11 AS VARCHAR) || '/10)' ELSE text END AS r
+      FROM conversations)""")
+def q_extract_rating(spark, sf_dir):
+    """Rating of each turn: assistant turns carry ``(RATING: tokens mod 11/10)``, other turns none."""
+    conv = read_table(spark, sf_dir, "conversations")
+    r = F.when(F.col("role") == "assistant",
+               F.concat(F.col("text"), F.lit(" (RATING: "), (token_count("text") % 11).cast("string"),
+                        F.lit("/10)"))).otherwise(F.col("text"))
+    return conv.select("conv_id", "turn", PR.extract_rating(r).alias("rating"))
