@@ -506,3 +506,115 @@ def q_extract_rating(spark, sf_dir):
                F.concat(F.col("text"), F.lit(" (RATING: "), (token_count("text") % 11).cast("string"),
                         F.lit("/10)"))).otherwise(F.col("text"))
     return conv.select("conv_id", "turn", PR.extract_rating(r).alias("rating"))
+
+
+# ---------------------------------------------------------------- cache and inference
+from ..operators import cache as C  # noqa: E402
+from ..operators.infer import batch_infer  # noqa: E402
+from .models import make_token_echo  # noqa: E402
+
+# Fixed values of the derived cache table: base time, seconds of age per character, model names.
+AS_OF = "2024-01-01 00:00:00"
+AGE_PER_CHAR = 20
+EMBED_MODE, EMBED_MODEL = "openai", "text-embedding-ada-002"
+
+_FLAT_SQL = "replace(text, chr(10), ' ')"
+_KEY_SQL = C.cache_key_sql(_q(EMBED_MODE), _q(EMBED_MODEL), _FLAT_SQL)
+_CACHE_SQL = f"""
+cache AS (SELECT {_KEY_SQL} AS cache_key, 'cached:' || CAST(doc_id AS VARCHAR) AS response,
+                 TIMESTAMP '{AS_OF}' - to_seconds(n_chars * {AGE_PER_CHAR}) AS ts FROM documents),
+latest AS (SELECT cache_key, response, ts FROM (
+             SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, response DESC) AS rn FROM cache)
+           WHERE rn = 1),
+live AS (SELECT * FROM latest WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 86400 SECOND),
+requests AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS req_id, {_KEY_SQL} AS cache_key, {_FLAT_SQL} AS input
+             FROM documents
+             UNION ALL
+             SELECT 'b' || CAST(item_id AS VARCHAR), {_KEY_SQL}, {_FLAT_SQL} FROM benchmark)"""
+
+
+def _flat_key():
+    return C.cache_key(EMBED_MODE, EMBED_MODEL, flatten_newlines("text"))
+
+
+def _cache_table(spark, sf_dir):
+    """Cache derived from the documents: one entry per document, aged 20 s per character at ``AS_OF``."""
+    d = _docs(spark, sf_dir)
+    ts = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(secs=(F.col("n_chars") * AGE_PER_CHAR).cast("int"))
+    return d.select(_flat_key().alias("cache_key"),
+                    F.concat(F.lit("cached:"), F.col("doc_id").cast("string")).alias("response"), ts.alias("ts"))
+
+
+def _requests(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("req_id"), "text")
+    b = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("req_id"), "text")
+    return d.unionByName(b).select("req_id", _flat_key().alias("cache_key"), flatten_newlines("text").alias("input"))
+
+
+def _epoch(col):
+    return F.unix_seconds(F.col(col))
+
+
+@register("cache_latest", f"""
+WITH {_CACHE_SQL.strip()}
+SELECT cache_key, response, CAST(epoch(ts) AS BIGINT) AS ts_epoch FROM latest""")
+def q_cache_latest(spark, sf_dir):
+    """Newest entry per key of the cache table (append-only; latest wins)."""
+    return C.latest(_cache_table(spark, sf_dir)).select("cache_key", "response", _epoch("ts").alias("ts_epoch"))
+
+
+@register("cache_hits", f"""
+WITH {_CACHE_SQL.strip()}
+SELECT r.req_id, r.cache_key, l.response FROM requests r JOIN live l ON l.cache_key = r.cache_key""")
+def q_cache_hits(spark, sf_dir):
+    """Requests (documents and benchmark texts) answered from live entries (age <= 86,400 s at AS_OF)."""
+    hit = C.hits(_requests(spark, sf_dir).select("req_id", "cache_key"), _cache_table(spark, sf_dir), AS_OF)
+    return hit.select("req_id", "cache_key", "response")
+
+
+@register("cache_misses", f"""
+WITH {_CACHE_SQL.strip()}
+SELECT r.req_id, r.cache_key FROM requests r ANTI JOIN live l ON l.cache_key = r.cache_key""")
+def q_cache_misses(spark, sf_dir):
+    """Requests without a live entry: absent keys and expired entries."""
+    return C.misses(_requests(spark, sf_dir).select("req_id", "cache_key"), _cache_table(spark, sf_dir), AS_OF)
+
+
+def _echo(df):
+    return batch_infer(df, make_token_echo, key_cols=["cache_key"], prompt_col="input").select("cache_key", "response")
+
+
+_FRESH_SQL = f"""
+fresh AS (SELECT DISTINCT r.cache_key, CAST({token_count_sql('r.input')} AS VARCHAR) || ' tokens' AS response
+          FROM requests r ANTI JOIN live l ON l.cache_key = r.cache_key)"""
+
+
+@register("cache_upsert", f"""
+WITH {_CACHE_SQL.strip()}, {_FRESH_SQL.strip()},
+merged AS (SELECT cache_key, response, ts FROM cache
+           UNION ALL SELECT cache_key, response, TIMESTAMP '{AS_OF}' FROM fresh)
+SELECT cache_key, response, CAST(epoch(ts) AS BIGINT) AS ts_epoch FROM (
+  SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, response DESC) AS rn FROM merged) WHERE rn = 1""")
+def q_cache_upsert(spark, sf_dir):
+    """Cache after computing each distinct miss once (offline token-echo model) and appending it at AS_OF."""
+    cache = _cache_table(spark, sf_dir)
+    _answers, new = C.with_cache(_requests(spark, sf_dir), cache, _echo, AS_OF)
+    return C.latest(C.upsert(cache, new)).select("cache_key", "response", _epoch("ts").alias("ts_epoch"))
+
+
+@register("infer_with_cache", f"""
+WITH {_CACHE_SQL.strip()}, {_FRESH_SQL.strip()}
+SELECT r.req_id, coalesce(l.response, f.response) AS response, l.response IS NOT NULL AS from_cache
+FROM requests r LEFT JOIN live l ON l.cache_key = r.cache_key LEFT JOIN fresh f ON f.cache_key = r.cache_key""")
+def q_infer_with_cache(spark, sf_dir):
+    """Every request answered: from the cache when live, else by the model (each distinct miss once)."""
+    answers, _new = C.with_cache(_requests(spark, sf_dir), _cache_table(spark, sf_dir), _echo, AS_OF)
+    return answers.select("req_id", "response", "from_cache")
+
+
+@register("batch_infer")
+def q_batch_infer(spark, sf_dir):
+    """Prompts of ``assemble_prompt`` through the model in slices of 16 per call (rows-only check)."""
+    prompts = QUERIES["assemble_prompt"](spark, sf_dir)
+    return batch_infer(prompts, make_token_echo, key_cols=["conv_id", "turn"], batch_size=16)
