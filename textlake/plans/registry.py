@@ -618,3 +618,107 @@ def q_batch_infer(spark, sf_dir):
     """Prompts of ``assemble_prompt`` through the model in slices of 16 per call (rows-only check)."""
     prompts = QUERIES["assemble_prompt"](spark, sf_dir)
     return batch_infer(prompts, make_token_echo, key_cols=["conv_id", "turn"], batch_size=16)
+
+
+# ---------------------------------------------------------------- diffs
+from ..functions.lines import split_lines  # noqa: E402
+from ..operators import diffs as D  # noqa: E402
+
+
+def edit_pairs(spark, sf_dir, delete: bool = False) -> DataFrame:
+    """Constructed edits of every document: old = its lines numbered ``i: line`` (so all lines differ), new =
+    the same with a marker line ``@@ inserted j @@`` after every 7th line. ``delete`` swaps old and new."""
+    d = spread(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    numbered_lines = F.transform(split_lines("text"), lambda x, i: F.concat(i.cast("string"), F.lit(": "), x))
+    with_marks = F.flatten(F.transform(numbered_lines, lambda x, i: F.when(
+        i % 7 == 6, F.array(x, F.concat(F.lit("@@ inserted "), F.floor(i / 7).cast("string"), F.lit(" @@"))))
+        .otherwise(F.array(x))))
+    old, new = F.array_join(numbered_lines, "\n"), F.array_join(with_marks, "\n")
+    if delete:
+        old, new = new, old
+    return d.select(F.col("doc_id").alias("pair_id"), old.alias("old"), new.alias("new"))
+
+
+_LINES_SQL = f"""
+d AS (SELECT doc_id, source, {split_lines_sql('text')} AS lines FROM documents),
+o AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM d),
+marks AS (SELECT doc_id, i // 7 AS j FROM o WHERE i % 7 = 6)"""
+
+
+def _diff_lines_sql(delete: bool) -> str:
+    mop = "-" if delete else "+"
+    return f"""
+WITH {_LINES_SQL.strip()}
+SELECT doc_id AS pair_id, CAST(i + i // 7 AS INTEGER) AS pos, ' ' AS op, CAST(i AS VARCHAR) || ': ' || x AS line FROM o
+UNION ALL
+SELECT doc_id, CAST(8 * j + 7 AS INTEGER), '{mop}', '@@ inserted ' || CAST(j AS VARCHAR) || ' @@' FROM marks"""
+
+
+@register("diff_lines", _diff_lines_sql(False))
+def q_diff_lines(spark, sf_dir):
+    """Diff rows of the constructed insert-only edit of every document."""
+    return D.diff_lines(edit_pairs(spark, sf_dir))
+
+
+@register("diff_lines_delete", _diff_lines_sql(True))
+def q_diff_lines_delete(spark, sf_dir):
+    """Diff rows of the constructed delete-only edit (old and new swapped)."""
+    return D.diff_lines(edit_pairs(spark, sf_dir, delete=True))
+
+
+@register("diff_stats", f"""
+WITH {_LINES_SQL.strip()}
+SELECT doc_id AS pair_id, CAST(len(lines) // 7 AS INTEGER) AS added, 0 AS removed FROM d""")
+def q_diff_stats(spark, sf_dir):
+    """Lines added / removed per document edit."""
+    return D.diff_stats(edit_pairs(spark, sf_dir))
+
+
+@register("diff_stats_by_source", f"""
+WITH {_LINES_SQL.strip()}
+SELECT source, CAST(0 AS BIGINT) AS added, CAST(sum(len(lines) // 7) AS BIGINT) AS removed FROM d GROUP BY source""")
+def q_diff_stats_by_source(spark, sf_dir):
+    """Delete-only edits: lines added / removed summed per source."""
+    st = D.diff_stats(edit_pairs(spark, sf_dir, delete=True))
+    src = _docs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), "source")
+    return st.join(src, "pair_id").groupBy("source").agg(
+        F.sum("added").cast("bigint").alias("added"), F.sum("removed").cast("bigint").alias("removed"))
+
+
+@register("diff_numbered", f"""
+WITH {_LINES_SQL.strip()}
+SELECT doc_id AS pair_id, CAST(i + i // 7 AS INTEGER) AS pos, ' ' AS op, CAST(i + 1 AS INTEGER) AS new_line FROM o
+UNION ALL
+SELECT doc_id, CAST(8 * j + 7 AS INTEGER), '-', CAST(NULL AS INTEGER) FROM marks""")
+def q_diff_numbered(spark, sf_dir):
+    """New-side line numbers of the delete-only edits (removed lines have none)."""
+    return D.numbered(D.diff_lines(edit_pairs(spark, sf_dir, delete=True))).select("pair_id", "pos", "op",
+                                                                                   "new_line")
+
+
+def _hunks_sql(c: int) -> str:
+    if 8 > 2 * c:  # markers 8 rows apart: one hunk per marker
+        body = f"""
+SELECT m.doc_id AS pair_id, CAST(m.j AS INTEGER) AS hunk_no, CAST(greatest(8 * m.j + 7 - {c}, 0) AS INTEGER) AS start,
+       CAST(least(8 * m.j + 7 + {c}, len(d.lines) + len(d.lines) // 7) AS INTEGER) AS "end"
+FROM marks m JOIN d ON d.doc_id = m.doc_id"""
+    else:  # all markers of a document in one hunk
+        body = f"""
+SELECT d.doc_id AS pair_id, 0 AS hunk_no, CAST(greatest(7 - {c}, 0) AS INTEGER) AS start,
+       CAST(least(8 * (len(d.lines) // 7 - 1) + 7 + {c}, len(d.lines) + len(d.lines) // 7) AS INTEGER) AS "end"
+FROM d WHERE len(d.lines) >= 7"""
+    return f"""
+WITH {_LINES_SQL.strip()}, h AS ({body})
+SELECT pair_id, hunk_no, start, "end", CAST(start + 1 AS VARCHAR) || '-' || CAST("end" AS VARCHAR) AS title FROM h"""
+
+
+@register("diff_hunks", _hunks_sql(3))
+def q_diff_hunks(spark, sf_dir):
+    """Context hunks (context 3) of the insert-only edits."""
+    return D.hunks(D.diff_lines(edit_pairs(spark, sf_dir)), 3)
+
+
+@register("diff_hunks_wide", _hunks_sql(4))
+def q_diff_hunks_wide(spark, sf_dir):
+    """Context 4: changes 8 rows apart now merge into one hunk per document."""
+    return D.hunks(D.diff_lines(edit_pairs(spark, sf_dir)), 4)
