@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # The line separators of Python's str.splitlines, as a Java regular expression.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+# Once "\r\n" is replaced by "\n", every separator is one character of this class.
+LINE_BREAK_CHAR = r"[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 # The same rule for DuckDB (RE2) in oracle SQL.
 LINE_BREAK_SQL = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 
@@ -19,10 +21,15 @@ def _c(col: Column | str) -> Column:
 
 
 def split_lines(text: Column | str) -> Column:
-    """ARRAY<STRING> of lines; ``""`` gives an empty array."""
-    t = _c(text)
-    without_last = F.regexp_replace(t, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(without_last, LINE_BREAK, -1))
+    """ARRAY<STRING> of lines; ``""`` gives an empty array.
+
+    ``\r\n`` is first turned into ``\n`` by a literal replace, so the split runs on a single character class
+    (no alternation tried at every position), and one final separator is cut by looking at the last character.
+    """
+    t = F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
+    last_is_break = F.substring(t, -1, 1).rlike(f"^{LINE_BREAK_CHAR}$")
+    body = F.when(last_is_break, t.substr(F.lit(1), F.length(t) - 1)).otherwise(t)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK_CHAR, -1))
 
 
 def line_count(text: Column | str) -> Column:

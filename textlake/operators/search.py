@@ -37,22 +37,25 @@ def _schema_of(df: DataFrame, cols) -> str:
 def query_slices(queries: DataFrame, query_key: str, vec_col: str, max_rows: int):
     """Yield ``(ids, matrix)`` slices of the query table, each at most ``max_rows`` rows.
 
-    The row count is checked first; only then are the (small) vectors collected.
+    The size check and the fetch are one job: at most ``max_rows + 1`` rows are fetched; only when that many
+    come back is the table hashed into slices of bounded size, each fetched on its own. No query is dropped.
     """
     q = queries.select(query_key, vec_col)
-    n = q.count()
-    if n == 0:
-        return
-    n_slices = max(1, math.ceil(n / max_rows))
-    if n_slices > 1:
-        q = q.withColumn("_slice", F.pmod(F.xxhash64(query_key), F.lit(n_slices)))
-    for s in range(n_slices):
-        part = q if n_slices == 1 else q.filter(F.col("_slice") == s).drop("_slice")
-        rows = part.collect()
-        if not rows:
+    rows = q.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        slices = [rows]
+    else:
+        n = q.count()
+        n_slices = math.ceil(n / max_rows) * 2  # hashing is uneven: aim at half the bound per slice
+        keyed = q.withColumn("_slice", F.pmod(F.xxhash64(query_key), F.lit(n_slices)))
+        slices = (keyed.filter(F.col("_slice") == s).drop("_slice").collect() for s in range(n_slices))
+    for part in slices:
+        if not part:
             continue
-        ids = [r[0] for r in rows]
-        mat = np.asarray([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64)
+        if len(part) > 2 * max_rows:
+            raise RuntimeError("query slice above the broadcast bound; raise max_broadcast_queries")
+        ids = [r[0] for r in part]
+        mat = np.asarray([np.asarray(r[1], dtype=np.float64) for r in part], dtype=np.float64)
         yield ids, mat
 
 
@@ -174,53 +177,40 @@ def all_similarities(items: DataFrame, queries: DataFrame, *, item_keys, query_k
     return out
 
 
-def exact_median(df: DataFrame, group_cols, value_col: str, accuracy: int = 100000) -> DataFrame:
-    """Exact median per group without holding a whole group in one buffer.
+def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity", accuracy: int = 10000) -> DataFrame:
+    """min, max, mean, exact median and population std of similarities per group (NULLs skipped), rounded
+    to 6 places.
 
-    Pass 1 brackets the middle ranks with ``percentile_approx`` (rank error at most n/accuracy, widened 4×);
-    pass 2 counts values below the bracket and collects only the values inside it (about 8n/accuracy per
-    group), from which the middle values are picked. Median = mean of the two middle values, as DuckDB's and
-    numpy's. NULL values are skipped.
+    Two passes over ``sims``, neither holding a whole group in one buffer:
+
+    1. one grouped aggregate with partial aggregation: count, min, max, mean, std, and a bracket around the
+       middle ranks from ``percentile_approx`` (rank error at most n/accuracy, widened 4×);
+    2. per group, the count of values below the bracket and the sorted values inside it (about 8n/accuracy),
+       from which the two middle values are picked. Median = mean of the two middle values (DuckDB, numpy).
     """
     gcols = list(group_cols)
-    v = F.col(value_col)
     eps = 4.0 / accuracy
-    vals = df.select(*gcols, v.alias("_v")).filter(F.col("_v").isNotNull())
-    bounds = vals.groupBy(*gcols).agg(
-        F.count(F.lit(1)).alias("_n"),
+    vals = sims.select(*gcols, F.col(value_col).alias("_v")).filter(F.col("_v").isNotNull())
+    first = vals.groupBy(*gcols).agg(
+        F.count(F.lit(1)).alias("n_scored"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"),
         F.percentile_approx("_v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_b"),
-    ).select(*gcols, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    joined = vals.join(bounds, gcols)
+    )
+    bounds = first.select(*gcols, "n_scored", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    agg = joined.groupBy(*gcols).agg(
-        F.first("_n").alias("_n"),
+    second = vals.join(bounds, gcols).groupBy(*gcols).agg(
         F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
         F.array_sort(F.collect_list(F.when(inside, F.col("_v")))).alias("_w"),
     )
-    k1 = F.floor((F.col("_n") - 1) / 2) - F.col("_below")
-    k2 = F.ceil((F.col("_n") - 1) / 2) - F.col("_below")
+    j = first.join(second, gcols)
+    k1 = F.floor((F.col("n_scored") - 1) / 2) - F.col("_below")
+    k2 = F.ceil((F.col("n_scored") - 1) / 2) - F.col("_below")
     ok = (k1 >= 0) & (k2 < F.size("_w"))
     med = (F.element_at("_w", (k1 + 1).cast("int")) + F.element_at("_w", (k2 + 1).cast("int"))) / 2
-    return agg.select(*gcols, F.when(ok, med).alias("median"), ok.alias("median_exact"))
-
-
-def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity") -> DataFrame:
-    """min, max, mean, median, population std of similarities per group (NULL similarities skipped).
-
-    Every statistic but the median is algebraic (partial aggregation before the shuffle); the median is exact
-    via :func:`exact_median`. Values are rounded to 6 places.
-    """
-    gcols = list(group_cols)
-    v = F.col(value_col)
-    basic = sims.groupBy(*gcols).agg(
-        F.min(v).alias("sim_min"), F.max(v).alias("sim_max"), F.avg(v).alias("sim_mean"),
-        F.stddev_pop(v).alias("sim_std"), F.count(v).alias("n_scored"),
-    )
-    med = exact_median(sims, gcols, value_col)
-    out = basic.join(med, gcols, "left")
-    return out.select(
-        *gcols, "n_scored",
-        round6("sim_min").alias("sim_min"), round6("sim_max").alias("sim_max"),
-        round6("sim_mean").alias("sim_mean"), round6("median").alias("sim_median"),
-        round6("sim_std").alias("sim_std"),
+    return j.select(
+        *gcols, "n_scored", round6("_min").alias("sim_min"), round6("_max").alias("sim_max"),
+        round6("_mean").alias("sim_mean"),
+        round6(F.when(ok, med).otherwise(F.raise_error(F.lit("median bracket missed the middle ranks"))))
+        .alias("sim_median"),
+        round6("_std").alias("sim_std"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.embed import HashedEmbedder
 from ..operators.fragments import min_lines, split_fragments
 from ..operators.search import all_similarities, similarity_stats, top_n_search
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 from ..sources.tables import non_empty
 
 FRAGMENT_KEYS = ("doc_id", "start_line")
@@ -62,7 +62,9 @@ def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int
 
 def search_statistics(documents: DataFrame, queries: DataFrame, *, query_key: str = "item_id",
                       query_text: str = "text", fragment_lines: int = 20, embedder=None) -> DataFrame:
-    frags = embedded_fragments(documents, fragment_lines, 0, embedder)
+    ensure_checkpoint_dir(documents.sparkSession)
+    # the statistics read the similarities twice: embed once, keep it in the checkpoint folder
+    frags = embedded_fragments(documents, fragment_lines, 0, embedder).checkpoint(eager=True)
     q = embedded_queries(queries, query_key, query_text, embedder)
     sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key)
     return similarity_stats(sims, [query_key])
