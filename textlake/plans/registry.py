@@ -722,3 +722,65 @@ def q_diff_hunks(spark, sf_dir):
 def q_diff_hunks_wide(spark, sf_dir):
     """Context 4: changes 8 rows apart now merge into one hunk per document."""
     return D.hunks(D.diff_lines(edit_pairs(spark, sf_dir)), 4)
+
+
+# ---------------------------------------------------------------- pipelines (rows-only checks)
+from . import pipelines as PL  # noqa: E402
+from .models import make_bundle_model, make_commit_model, make_create_model, make_rating_model  # noqa: E402
+
+
+@register("rate_messages")
+def q_rate_messages(spark, sf_dir):
+    """Rating of each assistant turn read as a commit message (offline rating model)."""
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    msgs = conv.select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+                       .alias("msg_id"), F.col("text").alias("message"))
+    return PL.rate_messages(msgs, make_rating_model)
+
+
+@register("summarize_changes")
+def q_summarize_changes(spark, sf_dir):
+    """Commit message per repo (source) for its staged changes, history examples from the same change table."""
+    ch = changes_from_documents(_docs(spark, sf_dir))
+    return PL.summarize_changes(ch, ch, make_commit_model, make_rating_model)
+
+
+@register("transform_documents")
+def q_transform_documents(spark, sf_dir):
+    """All documents rewritten bundle by bundle (offline model), with line counts against the originals."""
+    return PL.transform_documents(read_documents(spark, sf_dir), "Upper-case every line.", make_bundle_model)
+
+
+@register("create_documents")
+def q_create_documents(spark, sf_dir):
+    """One request per benchmark text → files written by the (offline) model."""
+    req = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("req_id"),
+                                                        F.col("text").alias("request"))
+    return PL.create_documents(req, make_create_model)
+
+
+@register("originals_or_empty", f"""
+WITH r AS (SELECT {DOCUMENT_PATH_SQL} AS path FROM documents
+           UNION ALL SELECT 'created/' || CAST(item_id AS VARCHAR) || '.txt' FROM benchmark)
+SELECT r.path, coalesce(d.text, '') AS original
+FROM r LEFT JOIN (SELECT {DOCUMENT_PATH_SQL} AS path, text FROM documents) d ON d.path = r.path""")
+def q_originals_or_empty(spark, sf_dir):
+    """Result paths (every document, plus one new file per benchmark item) with their original text or ''."""
+    docs = read_documents(spark, sf_dir)
+    created = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("created/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"))
+    results = docs.select("path").unionByName(created)
+    return PL.originals_or_empty(results, docs).select("path", "original")
+
+
+@register("write_results", f"SELECT {DOCUMENT_PATH_SQL} AS path, text FROM documents")
+def q_write_results(spark, sf_dir):
+    """Files written as parquet under a fresh folder of the checkpoint location, then read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import write_results
+
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/results-{uuid.uuid4().hex}"
+    write_results(read_documents(spark, sf_dir).select("path", "text"), out, yes=True)
+    return spark.read.parquet(out)
