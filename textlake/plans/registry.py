@@ -784,3 +784,22 @@ def q_write_results(spark, sf_dir):
     out = ensure_checkpoint_dir(spark).rstrip("/") + f"/results-{uuid.uuid4().hex}"
     write_results(read_documents(spark, sf_dir).select("path", "text"), out, yes=True)
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_ingest", f"""
+WITH f AS ({fragments_sql(20)})
+SELECT doc_id, start_line, {hashed_vector_sql('contents')} AS embedding FROM f""")
+def q_stream_ingest(spark, sf_dir):
+    """The documents file ingested by the streaming source (available-now trigger) into a vectors table."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.ingest import read_vectors, start_vector_ingest
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    q = start_vector_ingest(spark, sf_dir, base + "/vectors", base + "/stream-checkpoint", glob="documents.parquet")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_vectors(spark, base + "/vectors")
