@@ -37,6 +37,12 @@ def hashed_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(flatten_newlines(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def _token_pieces(text: Column | str) -> Column:
+    """Lower-cased pieces between runs of space, tab, newline and carriage return. Same tokens as
+    :func:`hashed_tokens` plus possibly empty pieces at the ends; a plain split is about twice as fast."""
+    return F.split(F.lower(_c(text)), r"[ \t\n\r]+", -1)
+
+
 def token_bucket_sql(tok: str, dims: int) -> str:
     return f"(('0x' || substr(md5({tok}), 1, 8))::BIGINT % {int(dims)})"
 
@@ -48,7 +54,7 @@ class HashedEmbedder:
     def sparse(self, df: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
         """``*keys, bucket, n``: one row per non-empty bucket. Partial aggregation runs before the shuffle, so
         at most ``dims`` rows per text cross the network."""
-        toks = df.select(*key_cols, F.explode(hashed_tokens(text_col)).alias("_tok"))
+        toks = df.select(*key_cols, F.explode(_token_pieces(text_col)).alias("_tok")).filter(F.col("_tok") != "")
         return (
             toks.groupBy(*key_cols, token_bucket(F.col("_tok"), self.dims).alias("bucket"))
             .agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -63,10 +69,12 @@ class HashedEmbedder:
         A text without tokens gets the zero vector.
         """
         keys = list(key_cols)
-        toks = df.select(*keys, F.explode_outer(hashed_tokens(text_col)).alias("_tok"))
-        b = token_bucket(F.col("_tok"), self.dims)
-        sums = [F.sum((b == F.lit(i)).cast("double")) for i in range(self.dims)]
-        return toks.groupBy(*keys).agg(F.array(*sums).alias(out_col))
+        toks = df.select(*keys, F.explode_outer(_token_pieces(text_col)).alias("_tok"))
+        # the bucket is projected once; an empty piece (or a text without tokens) has no bucket
+        bucketed = toks.select(*keys, F.when(F.col("_tok") != "", token_bucket(F.col("_tok"), self.dims))
+                               .alias("_b"))
+        sums = [F.sum((F.col("_b") == F.lit(i)).cast("double")) for i in range(self.dims)]
+        return bucketed.groupBy(*keys).agg(F.array(*sums).alias(out_col))
 
 
 class PandasEmbedder:

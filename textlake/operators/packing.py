@@ -120,11 +120,13 @@ def _fold_blocks(max_tokens: int, charge: bool, group_col: str):
 
 
 def _assign(max_tokens: int, charge: bool, group_col: str, order_col: str, size_col: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) == 0:
+            return pd.DataFrame({group_col: [], order_col: [], size_col: [], "chunk_no": []})
         pdf = pdf.sort_values(order_col, kind="stable")
         n = pdf[size_col].to_numpy(dtype=np.int64)
-        s = int(pdf["entry_s"].iloc[0])
-        c = int(pdf["chunk_base"].iloc[0])
+        s = int(entry["entry_s"].iloc[0])
+        c = int(entry["chunk_base"].iloc[0])
         chunk = np.empty(len(n), dtype=np.int64)
         for i, x in enumerate(n.tolist()):
             t = s + x
@@ -135,14 +137,15 @@ def _assign(max_tokens: int, charge: bool, group_col: str, order_col: str, size_
                 s = t
             chunk[i] = c
         return pd.DataFrame({group_col: pdf[group_col].to_numpy(), order_col: pdf[order_col].to_numpy(),
-                             "chunk_no": chunk})
+                             size_col: n, "chunk_no": chunk})
 
     return run
 
 
 def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: str, max_tokens: int,
                   charge_after_flush: bool = True, block_width: int = DEFAULT_BLOCK_WIDTH) -> DataFrame:
-    """Chunk number (from 0 per group) of each item under next-fit packing with budget ``max_tokens``.
+    """``group, order, size, chunk_no``: chunk number (from 0 per group) of each item under next-fit packing
+    with budget ``max_tokens``.
 
     An item starts a new chunk when the open chunk is non-empty and its size plus the item's exceeds the
     budget (strict); an item larger than the budget sits alone in its chunk. With ``charge_after_flush=False``
@@ -151,10 +154,12 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     """
     max_tokens, w = int(max_tokens), int(block_width)
     dtypes = dict((f.name, f.dataType.simpleString()) for f in items.schema.fields)
+    ensure_checkpoint_dir(items.sparkSession)
+    # narrow items, written once: both passes read them without recomputing sizes (tokenizing) upstream
     base = items.select(
         group_col, order_col, F.col(size_col).cast("bigint").alias(size_col),
         F.floor(F.col(order_col) / F.lit(w)).cast("bigint").alias("_blk"),
-    )
+    ).checkpoint(eager=True)
     gtype, otype = dtypes[group_col], dtypes[order_col]
     summary_schema = (f"`{group_col}` {gtype}, _blk bigint, lo bigint, hi bigint, linear int, exit_s bigint, "
                       f"nb bigint, first_size bigint, first_order {otype}")
@@ -163,9 +168,10 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     entries = summaries.groupBy(group_col).applyInPandas(
         _fold_blocks(max_tokens, charge_after_flush, group_col),
         f"`{group_col}` {gtype}, _blk bigint, entry_s bigint, chunk_base bigint")
-    assigned = base.join(entries, [group_col, "_blk"]).groupBy(group_col, "_blk").applyInPandas(
+    # cogroup: the items side is partitioned exactly as in pass 1, so that exchange is reused
+    assigned = base.groupBy(group_col, "_blk").cogroup(entries.groupBy(group_col, "_blk")).applyInPandas(
         _assign(max_tokens, charge_after_flush, group_col, order_col, size_col),
-        f"`{group_col}` {gtype}, `{order_col}` {otype}, chunk_no bigint")
+        f"`{group_col}` {gtype}, `{order_col}` {otype}, `{size_col}` bigint, chunk_no bigint")
     return assigned
 
 

@@ -29,7 +29,7 @@ def pack_documents(files: DataFrame, group_col: str = "source", order_col: str =
     sized = spread(files, order_col).select(group_col, order_col,
                                             block_tokens(tokenizer=tokenizer).alias("n_tokens"))
     chunks = greedy_chunks(sized, group_col, order_col, "n_tokens", max_tokens)
-    return sized.join(chunks, [group_col, order_col])
+    return chunks.select(group_col, order_col, F.col("n_tokens").cast("int").alias("n_tokens"), "chunk_no")
 
 
 def pack_changes(changes: DataFrame, max_tokens: int = DIFF_TOKENS, charge_after_flush: bool = True,
@@ -43,13 +43,14 @@ def pack_changes(changes: DataFrame, max_tokens: int = DIFF_TOKENS, charge_after
     Output per change: ``repo, seq, n_tokens, truncated, chunk_no`` (NULL for clipped changes) and
     ``emit_seq``: the ``seq`` at which its chunk is emitted (NULL = at the end), which orders chunks.
     """
-    sized = changes.select("repo", "seq", token_count("patch", tokenizer).alias("n_tokens"))
+    sized = spread(changes, "seq").select("repo", "seq", token_count("patch", tokenizer).alias("n_tokens"))
     normal = sized.filter(F.col("n_tokens") <= max_tokens)
     chunks = greedy_chunks(normal, "repo", "seq", "n_tokens", max_tokens, charge_after_flush)
     starts = chunks.groupBy("repo", "chunk_no").agg(F.min("seq").alias("emit_seq"))
     nxt = starts.select("repo", (F.col("chunk_no") - 1).alias("chunk_no"), "emit_seq")
-    packed = (normal.join(chunks, ["repo", "seq"]).join(nxt, ["repo", "chunk_no"], "left")
-              .select("repo", "seq", "n_tokens", F.lit(False).alias("truncated"), "chunk_no", "emit_seq"))
+    packed = (chunks.join(nxt, ["repo", "chunk_no"], "left")
+              .select("repo", "seq", F.col("n_tokens").cast("int").alias("n_tokens"), F.lit(False).alias("truncated"),
+                      "chunk_no", "emit_seq"))
     big = sized.filter(F.col("n_tokens") > max_tokens).select(
         "repo", "seq", "n_tokens", F.lit(True).alias("truncated"), F.lit(None).cast("bigint").alias("chunk_no"),
         F.col("seq").alias("emit_seq"))
