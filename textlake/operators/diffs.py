@@ -87,3 +87,23 @@ def hunks(rows: DataFrame, context: int | None = 3, key_col: str = "pair_id") ->
                         F.col("end").cast("int"),
                         F.concat((F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"))
                         .alias("title"))
+
+
+def with_diff_stats(df: DataFrame, old_col: str = "old", new_col: str = "new") -> DataFrame:
+    """``df`` plus ``added`` and ``removed`` line counts of each row's (old, new) pair, in one pass."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + \
+        ", added int, removed int"
+
+    def run(batches):
+        for pdf in batches:
+            added, removed = [], []
+            for o, n in zip(pdf[old_col].tolist(), pdf[new_col].tolist()):
+                ops = [op for _pos, op, _line in _diff_rows(o, n)]
+                added.append(ops.count("+"))
+                removed.append(ops.count("-"))
+            out = pdf.copy()
+            out["added"] = pd.Series(added, index=pdf.index, dtype="int32")
+            out["removed"] = pd.Series(removed, index=pdf.index, dtype="int32")
+            yield out
+
+    return df.mapInPandas(run, schema)

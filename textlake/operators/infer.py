@@ -42,7 +42,12 @@ def _call_with_retry(fn, prompts, attempts, max_wait, sleep):
 def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]], *, key_cols,
                 prompt_col: str = "prompt", batch_size: int = 16, attempts: int = ATTEMPTS,
                 max_wait: float = MAX_WAIT_SECONDS, num_partitions: int | None = None) -> DataFrame:
-    """``*key_cols, response, error`` per prompt row."""
+    """``*key_cols, response, error`` per prompt row.
+
+    ``key_cols`` are carried through unchanged (any columns a later step needs, so that the answers never have
+    to be joined back to their prompts: a join would branch the plan and could call the model twice). A NULL
+    prompt gets a NULL response without a model call.
+    """
     keys = list(key_cols)
     src = prompts.select(*keys, prompt_col)
     if num_partitions:
@@ -55,11 +60,13 @@ def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]
         fn = make_fn()
         for pdf in batches:
             texts = pdf[prompt_col].tolist()
-            responses, errors = [], []
-            for i in range(0, len(texts), bs):
-                out, err = _call_with_retry(fn, texts[i:i + bs], attempts, max_wait, time.sleep)
-                responses.extend(out)
-                errors.extend([err] * len(out))
+            todo = [i for i, t in enumerate(texts) if t is not None]
+            responses, errors = [None] * len(texts), [None] * len(texts)
+            for i in range(0, len(todo), bs):
+                idx = todo[i:i + bs]
+                out, err = _call_with_retry(fn, [texts[j] for j in idx], attempts, max_wait, time.sleep)
+                for j, o in zip(idx, out):
+                    responses[j], errors[j] = o, err
             res = pdf[keys].copy()
             res["response"] = pd.Series(responses, index=pdf.index, dtype=object)
             res["error"] = pd.Series(errors, index=pdf.index, dtype=object)

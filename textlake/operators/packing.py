@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 INF = np.int64(2 ** 62)
 DEFAULT_BLOCK_WIDTH = 65536
@@ -154,12 +154,11 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     """
     max_tokens, w = int(max_tokens), int(block_width)
     dtypes = dict((f.name, f.dataType.simpleString()) for f in items.schema.fields)
-    ensure_checkpoint_dir(items.sparkSession)
     # narrow items, written once: both passes read them without recomputing sizes (tokenizing) upstream
-    base = items.select(
+    base = materialize(items.select(
         group_col, order_col, F.col(size_col).cast("bigint").alias(size_col),
         F.floor(F.col(order_col) / F.lit(w)).cast("bigint").alias("_blk"),
-    ).checkpoint(eager=True)
+    ), "pack-items")
     gtype, otype = dtypes[group_col], dtypes[order_col]
     summary_schema = (f"`{group_col}` {gtype}, _blk bigint, lo bigint, hi bigint, linear int, exit_s bigint, "
                       f"nb bigint, first_size bigint, first_order {otype}")
@@ -172,7 +171,8 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     assigned = base.groupBy(group_col, "_blk").cogroup(entries.groupBy(group_col, "_blk")).applyInPandas(
         _assign(max_tokens, charge_after_flush, group_col, order_col, size_col),
         f"`{group_col}` {gtype}, `{order_col}` {otype}, `{size_col}` bigint, chunk_no bigint")
-    return assigned
+    # callers use the assignment several times (chunk starts, texts, counts): write it once
+    return materialize(assigned, "pack-chunks")
 
 
 def pick_examples(items: DataFrame, group_col: str, order_col: str, cost_col: str, budget: int,
@@ -181,34 +181,36 @@ def pick_examples(items: DataFrame, group_col: str, order_col: str, cost_col: st
 
     The r-th pick of a group is the newest item older than the (r-1)-th pick whose cost fits the budget left
     (items in between were skipped for a total that has not changed since). So each round is one grouped
-    maximum over the items, with partial aggregation: ``num_examples`` rounds, each bounded per task, however
-    large a group is. Returns ``group, order, cost, pick_no`` (1 = newest pick).
+    maximum over the items, with partial aggregation: at most ``num_examples`` rounds, each bounded per task,
+    however large a group is, stopping early when a round picks nothing. The narrow items are written once to
+    the checkpoint folder. Returns ``group, order, cost, pick_no`` (1 = newest pick).
     """
     budget, k = int(budget), int(num_examples)
-    ensure_checkpoint_dir(items.sparkSession)
-    it = items.select(group_col, order_col, F.col(cost_col).cast("bigint").alias("_cost")).filter(
-        F.col("_cost") <= budget).checkpoint(eager=True)
-    picks = None
-    state = None  # group, _total, _last, _npicks
+    it = materialize(items.select(group_col, order_col, F.col(cost_col).cast("bigint").alias("_cost")).filter(
+        F.col("_cost") <= budget), "pick-items")
+    news = []
+    prev = None  # last round's picks carry the running total: the state of the next round
     for r in range(1, k + 1):
-        if state is None:
-            cand = it
-            left = F.lit(budget)
-            cand = cand.filter(F.col("_cost") <= left)
+        if prev is None:
+            cand = it.withColumn("_total", F.lit(0).cast("bigint"))
         else:
+            state = prev.select(group_col, F.col(order_col).alias("_last"), F.col("_after").alias("_total"))
             cand = it.join(state, group_col).filter(
                 (F.col(order_col) < F.col("_last")) & (F.col("_cost") <= F.lit(budget) - F.col("_total")))
-        best = cand.groupBy(group_col).agg(F.max(F.struct(F.col(order_col), F.col("_cost"))).alias("_p"))
+        best = cand.groupBy(group_col).agg(F.max(F.struct(F.col(order_col), F.col("_cost"), F.col("_total")))
+                                           .alias("_p"))
+        # a round's picks are at most one row per group: cached (recomputable from the written items if an
+        # executor is lost) and counted, one job per round; the count also tells when to stop
         new = best.select(group_col, F.col("_p")[order_col].alias(order_col), F.col("_p._cost").alias("_cost"),
-                          F.lit(r).alias("pick_no"))
-        if state is None:
-            state = new.select(group_col, F.col("_cost").alias("_total"), F.col(order_col).alias("_last"))
-        else:
-            state = state.join(new, group_col).select(
-                group_col, (F.col("_total") + F.col("_cost")).alias("_total"), F.col(order_col).alias("_last"))
-        picks = new if picks is None else picks.unionByName(new)
-        state = state.checkpoint(eager=True)  # reliable checkpoint: each round reads the last state only
-    if picks is None:  # num_examples = 0: no example
+                          (F.col("_p._total") + F.col("_p._cost")).alias("_after"), F.lit(r).alias("pick_no")).cache()
+        if new.count() == 0:  # no group picked: no later round can pick either
+            break
+        news.append(new)
+        prev = new
+    picks = None
+    for t in news:
+        picks = t if picks is None else picks.unionByName(t)
+    if picks is None:  # num_examples = 0, or nothing fits: no example
         return it.filter(F.lit(False)).select(group_col, order_col, F.col("_cost").alias(cost_col),
                                               F.lit(0).alias("pick_no"))
     return picks.select(group_col, order_col, F.col("_cost").alias(cost_col), F.col("pick_no").cast("int"))

@@ -37,10 +37,30 @@ def example_array(set_name: str) -> Column:
 
 
 def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, **kw) -> DataFrame:
+    """Model answers, cleaned; ``key_cols`` (any columns) are carried through the call."""
     out = batch_infer(prompts, make_fn, key_cols=key_cols, **kw)
     return out.select(*key_cols, PR.clean_response("response", strip=strip).alias("answer"), "error")
 
 
+# A combining prompt takes at most this many messages; a repo with more chunks is combined as a tree.
+COMBINE_FAN_IN = 64
+
+
+def _combine_level(items: DataFrame, make_fn, group_cols, **kw) -> DataFrame:
+    """One combining step: the messages of each group (at most COMBINE_FAN_IN, in ``ord`` order) are joined;
+    a group of several gets one model call, a single message passes through without one."""
+    agg = items.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("_k"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "answer"))), lambda s: s["answer"]),
+                     "\n").alias("joined"))
+    prompt = F.when(F.col("_k") > 1, PR.assemble_prompt("joined", F.lit(COMBINE_REQUEST), F.lit(COMMIT_PRE_PROMPT),
+                                                         example_array("combine")))
+    ans = _answers(agg.select(*group_cols, "_k", "joined", prompt.alias("prompt")), make_fn,
+                   [*group_cols, "_k", "joined"], **kw)
+    return ans.select(*group_cols, "_k", F.when(F.col("_k") > 1, F.col("answer")).otherwise(F.col("joined"))
+                      .alias("answer"))
+
+
 def rate_messages(messages: DataFrame, make_fn, key_col: str = "msg_id", message_col: str = "message",
                   **kw) -> DataFrame:
     """``key, rating, comment, error``: each message rated 0-10 with the rating examples as few-shot context."""
@@ -83,24 +103,33 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
     builtin = example_array("commit") if use_builtin_examples else F.array()
     ex_col = F.concat(builtin, F.coalesce(F.col("examples"), F.array()))
     request = PR.request_text(F.lit(10), F.lit(hint).cast("string"))
-    prompts = chunks.join(hist, "repo", "left").select(
-        "repo", "chunk_id", "emit_seq", "first_seq",
+    # emit order of the chunks: by emit_seq, the final chunk (NULL) last; unique within a repo
+    ord_key = F.coalesce(F.col("emit_seq"), F.lit(2 ** 62))
+    counts = chunks.groupBy("repo").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(ord_key).alias("_max_ord"))
+    # size of the tree, from the chunk table (no model call involved): one small job
+    top = counts.agg(F.max("n_chunks").alias("n"), F.max("_max_ord").alias("o")).collect()[0]
+    levels = 0
+    if top["n"] is not None and top["n"] > COMBINE_FAN_IN:
+        reach = COMBINE_FAN_IN
+        levels = 1
+        while reach <= top["o"]:
+            reach *= COMBINE_FAN_IN
+            levels += 1
+    prompts = chunks.join(counts.select("repo", "n_chunks"), "repo").join(hist, "repo", "left").select(
+        "repo", "n_chunks", ord_key.alias("ord"),
         PR.assemble_prompt("diff", request, F.lit(COMMIT_PRE_PROMPT), ex_col).alias("prompt"))
-    per_chunk = _answers(prompts, make_fn, ["chunk_id"], **kw).join(
-        prompts.select("repo", "chunk_id", "emit_seq", "first_seq"), "chunk_id")
-    # emit order: by emit_seq, the final chunk (NULL) last
-    order_key = F.struct(F.col("emit_seq").isNull(), F.col("emit_seq"), F.col("first_seq"))
-    per_repo = per_chunk.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order_key.alias("k"), F.col("answer")))),
-                                 lambda s: s["answer"]), "\n").alias("joined"))
-    combine = per_repo.filter(F.col("n_chunks") > 1).select(
-        "repo", PR.assemble_prompt("joined", F.lit(COMBINE_REQUEST), F.lit(COMMIT_PRE_PROMPT),
-                                   example_array("combine")).alias("prompt"))
-    combined = _answers(combine, make_fn, ["repo"], **kw).select("repo", F.col("answer").alias("combined"))
-    return per_repo.join(combined, "repo", "left").select(
-        "repo", "n_chunks", F.when(F.col("n_chunks") > 1, F.col("combined")).otherwise(F.col("joined"))
-        .alias("message"))
+    # one linear path from here: the answers are never joined back or split into two branches
+    items = _answers(prompts, make_fn, ["repo", "n_chunks", "ord"], **kw)
+    # up to COMBINE_FAN_IN chunks: one combining call over all messages, as the original tool did; more:
+    # ranges of COMBINE_FAN_IN consecutive keys, level by level, so that no collected list is unbounded
+    g = F.when(F.col("n_chunks") <= COMBINE_FAN_IN, F.lit(-1)).otherwise(F.floor(F.col("ord") / COMBINE_FAN_IN))
+    items = _combine_level(items.withColumn("_g", g), make_fn, ["repo", "n_chunks", "_g"], **kw).select(
+        "repo", "n_chunks", F.col("_g").alias("ord"), "answer")
+    for _ in range(levels):
+        items = _combine_level(items.withColumn("_g", F.floor(F.col("ord") / COMBINE_FAN_IN)), make_fn,
+                               ["repo", "n_chunks", "_g"], **kw).select("repo", "n_chunks", F.col("_g").alias("ord"),
+                                                                        "answer")
+    return items.select("repo", "n_chunks", F.col("answer").alias("message"))
 
 
 def originals_or_empty(results: DataFrame, originals: DataFrame, path_col: str = "path") -> DataFrame:
@@ -126,9 +155,7 @@ def transform_documents(files: DataFrame, request: str, make_fn, *, group_col: s
     ans = _answers(prompts, make_fn, ["bundle_id"], strip=False, **kw)
     out = PR.parse_bundle(ans, "answer", ["bundle_id"]).select("path", "text")
     merged = originals_or_empty(out, files.select("path", "text"))
-    pairs = merged.select(F.col("path").alias("pair_id"), F.col("original").alias("old"), F.col("text").alias("new"))
-    stats = D.diff_stats(pairs).withColumnRenamed("pair_id", "path")
-    return merged.join(stats, "path")
+    return D.with_diff_stats(merged, "original", "text")
 
 
 def create_documents(requests: DataFrame, make_fn, key_col: str = "req_id", request_col: str = "request",

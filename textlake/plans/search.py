@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.embed import HashedEmbedder
 from ..operators.fragments import min_lines, split_fragments
 from ..operators.search import all_similarities, similarity_stats, top_n_search
-from ..session import ensure_checkpoint_dir, spread
+from ..session import materialize, spread
 from ..sources.tables import non_empty
 
 FRAGMENT_KEYS = ("doc_id", "start_line")
@@ -45,13 +45,14 @@ def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int
                   order: str = "ascending") -> DataFrame:
     """Result rows as the command line printed them: header, similarity (2 places), path, first line, text.
 
-    The ranked results are at most n per query, so they are the broadcast side of the join; the fragment
-    text is recomputed from the documents (narrow) instead of being carried through the scoring step.
+    The fragment text is recomputed from the documents (narrow) instead of being carried through the scoring
+    step. The ranked results are n rows per query; no broadcast hint, since the number of queries is not bounded
+    (AQE broadcasts them at run time when they are small).
     """
     frag_text = fragments(documents.select("doc_id", "text"), fragment_lines)
     paths = documents.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"),
                                                 F.lit(".txt")).alias("path"))
-    out = (frag_text.join(F.broadcast(results), list(FRAGMENT_KEYS))
+    out = (frag_text.join(results, list(FRAGMENT_KEYS))
            .join(paths, "doc_id")
            .select(*[c for c in results.columns if c not in FRAGMENT_KEYS], "doc_id", "start_line",
                    F.concat(F.lit("Result "), F.col("rank").cast("string")).alias("header"),
@@ -62,9 +63,8 @@ def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int
 
 def search_statistics(documents: DataFrame, queries: DataFrame, *, query_key: str = "item_id",
                       query_text: str = "text", fragment_lines: int = 20, embedder=None) -> DataFrame:
-    ensure_checkpoint_dir(documents.sparkSession)
     # the statistics read the similarities twice: embed once, keep it in the checkpoint folder
-    frags = embedded_fragments(documents, fragment_lines, 0, embedder).checkpoint(eager=True)
+    frags = materialize(embedded_fragments(documents, fragment_lines, 0, embedder), "embedded-fragments")
     q = embedded_queries(queries, query_key, query_text, embedder)
     sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key)
     return similarity_stats(sims, [query_key])

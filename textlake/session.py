@@ -98,3 +98,17 @@ def spread(df, *keys):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the plan once (an RDD checkpoint recomputes it to write
+    the files unless it was cached), and the table survives the loss of any executor.
+    """
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
