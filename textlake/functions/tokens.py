@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ class EncoderTokenizer:
         self.make_decoder = make_decoder
 
     def count(self, text: Column | str) -> Column:
-        import pandas as pd
-
         make = self.make_encoder
 
         @F.pandas_udf("int")
@@ -71,8 +70,6 @@ class EncoderTokenizer:
         return _count(_c(text))
 
     def clip(self, text: Column | str, max_tokens: int, keep: str = "head") -> Column:
-        import pandas as pd
-
         if self.make_decoder is None:
             raise ValueError("clipping needs a decoder")
         make, make_dec, n = self.make_encoder, self.make_decoder, int(max_tokens)
