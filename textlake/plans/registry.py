@@ -513,8 +513,10 @@ from ..operators import cache as C  # noqa: E402
 from ..operators.infer import batch_infer  # noqa: E402
 from .models import make_token_echo  # noqa: E402
 
-# Fixed values of the derived cache table: base time, seconds of age per character, model names.
+# Fixed values of the derived cache table: base time (2024-01-01 00:00:00 UTC), seconds of age per character,
+# model names. Timestamps are built from epoch seconds so the session time zone does not matter.
 AS_OF = "2024-01-01 00:00:00"
+AS_OF_EPOCH = 1704067200
 AGE_PER_CHAR = 20
 EMBED_MODE, EMBED_MODEL = "openai", "text-embedding-ada-002"
 
@@ -533,6 +535,10 @@ requests AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS req_id, {_KEY_SQL} AS cach
              SELECT 'b' || CAST(item_id AS VARCHAR), {_KEY_SQL}, {_FLAT_SQL} FROM benchmark)"""
 
 
+def _as_of():
+    return F.timestamp_seconds(F.lit(AS_OF_EPOCH))
+
+
 def _flat_key():
     return C.cache_key(EMBED_MODE, EMBED_MODEL, flatten_newlines("text"))
 
@@ -540,7 +546,7 @@ def _flat_key():
 def _cache_table(spark, sf_dir):
     """Cache derived from the documents: one entry per document, aged 20 s per character at ``AS_OF``."""
     d = _docs(spark, sf_dir)
-    ts = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(secs=(F.col("n_chars") * AGE_PER_CHAR).cast("int"))
+    ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - F.col("n_chars") * AGE_PER_CHAR)
     return d.select(_flat_key().alias("cache_key"),
                     F.concat(F.lit("cached:"), F.col("doc_id").cast("string")).alias("response"), ts.alias("ts"))
 
@@ -569,7 +575,7 @@ WITH {_CACHE_SQL.strip()}
 SELECT r.req_id, r.cache_key, l.response FROM requests r JOIN live l ON l.cache_key = r.cache_key""")
 def q_cache_hits(spark, sf_dir):
     """Requests (documents and benchmark texts) answered from live entries (age <= 86,400 s at AS_OF)."""
-    hit = C.hits(_requests(spark, sf_dir).select("req_id", "cache_key"), _cache_table(spark, sf_dir), AS_OF)
+    hit = C.hits(_requests(spark, sf_dir).select("req_id", "cache_key"), _cache_table(spark, sf_dir), _as_of())
     return hit.select("req_id", "cache_key", "response")
 
 
@@ -578,7 +584,7 @@ WITH {_CACHE_SQL.strip()}
 SELECT r.req_id, r.cache_key FROM requests r ANTI JOIN live l ON l.cache_key = r.cache_key""")
 def q_cache_misses(spark, sf_dir):
     """Requests without a live entry: absent keys and expired entries."""
-    return C.misses(_requests(spark, sf_dir).select("req_id", "cache_key"), _cache_table(spark, sf_dir), AS_OF)
+    return C.misses(_requests(spark, sf_dir).select("req_id", "cache_key"), _cache_table(spark, sf_dir), _as_of())
 
 
 def _echo(df):
@@ -599,7 +605,7 @@ SELECT cache_key, response, CAST(epoch(ts) AS BIGINT) AS ts_epoch FROM (
 def q_cache_upsert(spark, sf_dir):
     """Cache after computing each distinct miss once (offline token-echo model) and appending it at AS_OF."""
     cache = _cache_table(spark, sf_dir)
-    _answers, new = C.with_cache(_requests(spark, sf_dir), cache, _echo, AS_OF)
+    _answers, new = C.with_cache(_requests(spark, sf_dir), cache, _echo, _as_of())
     return C.latest(C.upsert(cache, new)).select("cache_key", "response", _epoch("ts").alias("ts_epoch"))
 
 
@@ -609,7 +615,7 @@ SELECT r.req_id, coalesce(l.response, f.response) AS response, l.response IS NOT
 FROM requests r LEFT JOIN live l ON l.cache_key = r.cache_key LEFT JOIN fresh f ON f.cache_key = r.cache_key""")
 def q_infer_with_cache(spark, sf_dir):
     """Every request answered: from the cache when live, else by the model (each distinct miss once)."""
-    answers, _new = C.with_cache(_requests(spark, sf_dir), _cache_table(spark, sf_dir), _echo, AS_OF)
+    answers, _new = C.with_cache(_requests(spark, sf_dir), _cache_table(spark, sf_dir), _echo, _as_of())
     return answers.select("req_id", "response", "from_cache")
 
 

@@ -60,9 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_SHIPPED: dict[int, str] = {}
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``textlake`` importable in Python workers (``addPyFile`` of a zip of this package), once per context.
 
@@ -72,8 +69,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _SHIPPED:
+    if getattr(sc, "_textlake_shipped", None):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="textlake-pyfiles-")
@@ -87,7 +83,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, name)
                     zf.write(full, os.path.join("textlake", os.path.relpath(full, pkg_dir)))
     sc.addPyFile(zpath)
-    _SHIPPED[key] = zpath
+    sc._textlake_shipped = zpath
 
 
 def spread(df, *keys):
