@@ -95,12 +95,10 @@ def _fold_blocks(max_tokens: int, charge: bool, group_col: str):
         first = True
         for blk, pieces in pdf.groupby("_blk", sort=True):
             adj = 0
-            if first:
-                first_size = int(pieces["first_size"].iloc[0])
-                if charge and first_size > max_tokens:
-                    adj = -1  # the first item starts the group's first chunk: no empty chunk before it
-                first = False
-            out.append((blk, s, c + adj))
+            if first and charge and int(pieces["first_size"].iloc[0]) > max_tokens:
+                adj = -1  # the first item starts the group's first chunk: no empty chunk before it
+            out.append((blk, s, c, first))
+            first = False
             lin = pieces[pieces["linear"] == 1]
             if len(lin) and s <= int(lin["hi"].iloc[0]):
                 s = s + int(lin["exit_s"].iloc[0])
@@ -110,9 +108,8 @@ def _fold_blocks(max_tokens: int, charge: bool, group_col: str):
             if len(hit) != 1:
                 raise RuntimeError(f"block summary does not cover entry state {s}")
             s = int(hit["exit_s"].iloc[0])
-            c = c + int(hit["nb"].iloc[0])
-            c += adj
-        res = pd.DataFrame(out, columns=["_blk", "entry_s", "chunk_base"])
+            c = c + int(hit["nb"].iloc[0]) + adj
+        res = pd.DataFrame(out, columns=["_blk", "entry_s", "chunk_base", "first"])
         res.insert(0, group_col, pdf[group_col].iloc[0])
         return res
 
@@ -127,6 +124,8 @@ def _assign(max_tokens: int, charge: bool, group_col: str, order_col: str, size_
         n = pdf[size_col].to_numpy(dtype=np.int64)
         s = int(entry["entry_s"].iloc[0])
         c = int(entry["chunk_base"].iloc[0])
+        if bool(entry["first"].iloc[0]) and charge and n[0] > max_tokens:
+            c -= 1  # the group's first item is oversize: its flush opens chunk 0, no empty chunk before it
         chunk = np.empty(len(n), dtype=np.int64)
         for i, x in enumerate(n.tolist()):
             t = s + x
@@ -162,11 +161,20 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     gtype, otype = dtypes[group_col], dtypes[order_col]
     summary_schema = (f"`{group_col}` {gtype}, _blk bigint, lo bigint, hi bigint, linear int, exit_s bigint, "
                       f"nb bigint, first_size bigint, first_order {otype}")
-    summaries = base.groupBy(group_col, "_blk").applyInPandas(
+    # a group within one block starts from state 0: its entry is known without summaries; only groups
+    # spanning several blocks (large ones) go through the summary and fold passes
+    nblk = base.groupBy(group_col).agg(F.min("_blk").alias("_b0"), F.max("_blk").alias("_b1")).select(
+        F.col(group_col).alias(group_col), "_b0", "_b1")  # fresh column ids: no ambiguity in the cogroup below
+    single = nblk.filter(F.col("_b0") == F.col("_b1")).select(
+        F.col(group_col).alias(group_col), F.col("_b0").alias("_blk"), F.lit(0).cast("bigint").alias("entry_s"),
+        F.lit(0).cast("bigint").alias("chunk_base"), F.lit(True).alias("first"))
+    multi = base.join(nblk.filter(F.col("_b0") != F.col("_b1")).select(group_col), group_col)
+    summaries = multi.groupBy(group_col, "_blk").applyInPandas(
         _summarize(max_tokens, charge_after_flush, group_col, order_col, size_col), summary_schema)
-    entries = summaries.groupBy(group_col).applyInPandas(
+    folded = summaries.groupBy(group_col).applyInPandas(
         _fold_blocks(max_tokens, charge_after_flush, group_col),
-        f"`{group_col}` {gtype}, _blk bigint, entry_s bigint, chunk_base bigint")
+        f"`{group_col}` {gtype}, _blk bigint, entry_s bigint, chunk_base bigint, first boolean")
+    entries = single.unionByName(folded)
     # cogroup: the items side is partitioned exactly as in pass 1, so that exchange is reused
     assigned = base.groupBy(group_col, "_blk").cogroup(entries.groupBy(group_col, "_blk")).applyInPandas(
         _assign(max_tokens, charge_after_flush, group_col, order_col, size_col),
