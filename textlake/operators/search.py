@@ -196,13 +196,15 @@ def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity",
         F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"),
         F.percentile_approx("_v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_b"),
     )
-    bounds = first.select(*gcols, "n_scored", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    # pass-1 results ride along with the bracket, so pass 1 feeds pass 2 only (no second branch to join)
+    bounds = first.select(*gcols, "n_scored", "_min", "_max", "_mean", "_std",
+                          F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    second = vals.join(bounds, gcols).groupBy(*gcols).agg(
+    j = vals.join(bounds, gcols).groupBy(*gcols).agg(
+        *[F.first(c).alias(c) for c in ("n_scored", "_min", "_max", "_mean", "_std")],
         F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
         F.array_sort(F.collect_list(F.when(inside, F.col("_v")))).alias("_w"),
     )
-    j = first.join(second, gcols)
     k1 = F.floor((F.col("n_scored") - 1) / 2) - F.col("_below")
     k2 = F.ceil((F.col("n_scored") - 1) / 2) - F.col("_below")
     ok = (k1 >= 0) & (k2 < F.size("_w"))
