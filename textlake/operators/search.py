@@ -34,14 +34,19 @@ def _schema_of(df: DataFrame, cols) -> str:
     return ", ".join(f"`{c}` {by_name[c].dataType.simpleString()}" for c in cols)
 
 
-def query_slices(queries: DataFrame, query_key: str, vec_col: str, max_rows: int):
+def query_slices(queries: DataFrame, query_key: str, vec_col: str, max_rows: int, row_bound: int | None = None):
     """Yield ``(ids, matrix)`` slices of the query table, each at most ``max_rows`` rows.
 
-    The size check and the fetch are one job: at most ``max_rows + 1`` rows are fetched; only when that many
-    come back is the table hashed into slices of bounded size, each fetched on its own. No query is dropped.
+    ``row_bound``, when known (for example the row count of the source table the vectors were made from), proves
+    the size: the vectors are then fetched in one plain job. Otherwise at most ``max_rows + 1`` rows are fetched
+    as the check. Above the bound the table is hashed into slices of bounded size, each fetched on its own.
+    No query is dropped.
     """
     q = queries.select(query_key, vec_col)
-    rows = q.limit(max_rows + 1).collect()
+    if row_bound is not None and row_bound <= max_rows:
+        rows = q.collect()
+    else:
+        rows = q.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
         slices = [rows]
     else:
@@ -116,7 +121,8 @@ def _top_candidates(items: DataFrame, item_keys, vec_col, qids, qmat, query_key,
 
 def top_n_search(items: DataFrame, queries: DataFrame, *, item_keys, query_key: str, vec_col: str = "embedding",
                  query_vec_col: str = "embedding", top_n: int | None = 3, threshold: float | None = 0.0,
-                 max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES) -> DataFrame:
+                 max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
+                 query_row_bound: int | None = None) -> DataFrame:
     """Top-n items per query by cosine similarity, with ``rank`` from 1 (best).
 
     ``threshold`` keeps similarity ≥ threshold on the unrounded value (zero vectors never pass);
@@ -125,7 +131,7 @@ def top_n_search(items: DataFrame, queries: DataFrame, *, item_keys, query_key:
     qtype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[query_key]
     parts = [
         _top_candidates(items, item_keys, vec_col, ids, mat, query_key, qtype, top_n, threshold)
-        for ids, mat in query_slices(queries, query_key, query_vec_col, max_broadcast_queries)
+        for ids, mat in query_slices(queries, query_key, query_vec_col, max_broadcast_queries, query_row_bound)
     ]
     if not parts:
         spark: SparkSession = items.sparkSession
@@ -144,14 +150,15 @@ def top_n_search(items: DataFrame, queries: DataFrame, *, item_keys, query_key:
 
 def all_similarities(items: DataFrame, queries: DataFrame, *, item_keys, query_key: str,
                      vec_col: str = "embedding", query_vec_col: str = "embedding",
-                     max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES) -> DataFrame:
+                     max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
+                     query_row_bound: int | None = None) -> DataFrame:
     """Raw similarity of every item to every query (NULL for zero vectors): input of the statistics."""
     qtype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[query_key]
     keys = list(item_keys)
     schema = f"`{query_key}` {qtype}, " + _schema_of(items, keys) + ", similarity double"
     spark = items.sparkSession
     parts = []
-    for ids, mat in query_slices(queries, query_key, query_vec_col, max_broadcast_queries):
+    for ids, mat in query_slices(queries, query_key, query_vec_col, max_broadcast_queries, query_row_bound):
         bq = spark.sparkContext.broadcast((ids, mat))
 
         def run(batches, bq=bq):

@@ -38,7 +38,9 @@ def semantic_search(documents: DataFrame, queries: DataFrame, *, query_key: str
     """Top-n fragments per query: ``query_key, doc_id, start_line, similarity, rank``."""
     frags = embedded_fragments(documents, fragment_lines, min_fragment_lines, embedder)
     q = embedded_queries(queries, query_key, query_text, embedder)
-    return top_n_search(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, top_n=top_n, threshold=threshold)
+    # one vector per query row at most: the source row count (cheap on parquet) bounds the broadcast
+    return top_n_search(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, top_n=top_n, threshold=threshold,
+                        query_row_bound=queries.count())
 
 
 def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int = 20,
@@ -66,5 +68,5 @@ def search_statistics(documents: DataFrame, queries: DataFrame, *, query_key: st
     # the statistics read the similarities twice: embed once, keep it in the checkpoint folder
     frags = materialize(embedded_fragments(documents, fragment_lines, 0, embedder), "embedded-fragments")
     q = embedded_queries(queries, query_key, query_text, embedder)
-    sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key)
+    sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, query_row_bound=queries.count())
     return similarity_stats(sims, [query_key])
