@@ -43,7 +43,11 @@ def non_empty(files: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, paths: str | list[str], ignore_empty: bool = True) -> DataFrame:
-    """Whole text files as rows ``(path, text)``; globs replace shell globs. Directories yield no rows."""
+    """Whole text files as rows ``(path, text)``; globs replace shell globs. Directories yield no rows.
+
+    Spark's file sources skip zero-byte files themselves, so empty files never appear (the original tool's
+    default); ``ignore_empty`` matters for texts that arrive some other way.
+    """
     df = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
