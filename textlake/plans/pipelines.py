@@ -22,6 +22,7 @@ from ..operators import diffs as D
 from ..operators import prompts as PR
 from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
+from ..session import broadcast_if_small
 from . import packing as P
 from .texts import BUILTIN_EXAMPLES, COMBINE_REQUEST, COMMIT_PRE_PROMPT, CREATE_PRE_PROMPT, RATING_PRE_PROMPT
 from .texts import TRANSFORM_PRE_PROMPT
@@ -115,7 +116,10 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
         while reach <= top["o"]:
             reach *= COMBINE_FAN_IN
             levels += 1
-    prompts = chunks.join(counts.select("repo", "n_chunks"), "repo").join(hist, "repo", "left").select(
+    # per-repo side tables join the chunks on repo, which may be hot: counts are broadcast when small, the
+    # examples (texts) are joined by shuffle with AQE splitting a skewed repo
+    prompts = chunks.join(broadcast_if_small(counts.select("repo", "n_chunks")), "repo").join(
+        hist, "repo", "left").select(
         "repo", "n_chunks", ord_key.alias("ord"),
         PR.assemble_prompt("diff", request, F.lit(COMMIT_PRE_PROMPT), ex_col).alias("prompt"))
     # one linear path from here: the answers are never joined back or split into two branches

@@ -17,7 +17,7 @@ from ..functions.vectors import cosine, round6, round_half_away
 from ..operators.embed import HashedEmbedder
 from ..operators.fragments import combine_fragments, with_end_line
 from ..operators.search import top_n_search
-from ..session import ship_package, spread
+from ..session import broadcast_if_small, ship_package, spread
 from ..sources.tables import DOCUMENT_PATH_SQL, non_empty, read_documents, read_table
 from . import search as S
 from .sqlparts import (bucket_sql, cosine_sql, hashed_tokens_sql, hashed_vector_sql, round6_sql, split_lines_sql,
@@ -133,7 +133,9 @@ def q_cosine(spark, sf_dir):
     cent = (cells.groupBy("label", "i").agg(F.avg("x").alias("m"))
             .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_c"))
             .select("label", F.transform("_c", lambda s: s["m"]).alias("centroid")))
-    return emb.join(cent, "label").select("vec_id", "label", round6(cosine("embedding", "centroid")).alias("cosine"))
+    # few labels: every label is a hot key, so the centroids are broadcast once their row count is checked
+    return emb.join(broadcast_if_small(cent), "label").select(
+        "vec_id", "label", round6(cosine("embedding", "centroid")).alias("cosine"))
 
 
 def search_sql(n_lines: int, top_n: int | None, threshold: float | None, min_lines: int = 0,

@@ -108,3 +108,11 @@ def materialize(df, name: str = "stage"):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df, max_rows: int = 100_000):
+    """``broadcast(df)`` when a count proves it has at most ``max_rows`` rows, else ``df`` unchanged (a shuffle
+    join, with AQE splitting skewed keys). For small sides joined on keys that may be hot."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
