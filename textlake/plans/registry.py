@@ -621,9 +621,11 @@ def q_infer_with_cache(spark, sf_dir):
     return answers.select("req_id", "response", "from_cache")
 
 
-@register("batch_infer")
+@register("batch_infer", _prompt_sql("CAST(NULL AS VARCHAR)", False) + f"""
+SELECT conv_id, turn, CAST({token_count_sql('prompt')} AS VARCHAR) || ' tokens' AS response,
+       CAST(NULL AS VARCHAR) AS error FROM y""")
 def q_batch_infer(spark, sf_dir):
-    """Prompts of ``assemble_prompt`` through the model in slices of 16 per call (rows-only check)."""
+    """Prompts of ``assemble_prompt`` through the (offline token-echo) model in slices of 16 per call."""
     prompts = QUERIES["assemble_prompt"](spark, sf_dir)
     return batch_infer(prompts, make_token_echo, key_cols=["conv_id", "turn"], batch_size=16)
 
@@ -732,12 +734,20 @@ def q_diff_hunks_wide(spark, sf_dir):
     return D.hunks(D.diff_lines(edit_pairs(spark, sf_dir)), 4)
 
 
-# ---------------------------------------------------------------- pipelines (rows-only checks)
+# ---------------------------------------------------------------- pipelines
+# The offline stand-in models are deterministic; where their answers follow in SQL the query has an oracle,
+# which then checks the whole prompt → model → cleaning → parsing path. Commit summaries and transforms stay
+# rows-only (their stand-ins count lines and the diff needs difflib).
 from . import pipelines as PL  # noqa: E402
 from .models import make_bundle_model, make_commit_model, make_create_model, make_rating_model  # noqa: E402
 
 
-@register("rate_messages")
+@register("rate_messages", f"""
+SELECT CAST(conv_id AS VARCHAR) || '#' || CAST(turn AS VARCHAR) AS msg_id,
+       CAST({token_count_sql('text')} % 11 AS INTEGER) AS rating,
+       'Rated by length. (RATING: ' || CAST({token_count_sql('text')} % 11 AS VARCHAR) || '/10)' AS comment,
+       CAST(NULL AS VARCHAR) AS error
+FROM conversations WHERE role = 'assistant'""")
 def q_rate_messages(spark, sf_dir):
     """Rating of each assistant turn read as a commit message (offline rating model)."""
     conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
@@ -759,7 +769,9 @@ def q_transform_documents(spark, sf_dir):
     return PL.transform_documents(read_documents(spark, sf_dir), "Upper-case every line.", make_bundle_model)
 
 
-@register("create_documents")
+@register("create_documents", f"""
+SELECT item_id AS req_id, 0 AS file_pos, 'created/' || CAST({token_count_sql('text')} AS VARCHAR) || '.txt' AS path,
+       text FROM benchmark""")
 def q_create_documents(spark, sf_dir):
     """One request per benchmark text → files written by the (offline) model."""
     req = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("req_id"),
