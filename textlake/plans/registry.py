@@ -736,8 +736,8 @@ def q_diff_hunks_wide(spark, sf_dir):
 
 # ---------------------------------------------------------------- pipelines
 # The offline stand-in models are deterministic; where their answers follow in SQL the query has an oracle,
-# which then checks the whole prompt → model → cleaning → parsing path. Commit summaries and transforms stay
-# rows-only (their stand-ins count lines and the diff needs difflib).
+# which then checks the whole prompt → model → cleaning → parsing path (for commit summaries: packing, chunk
+# texts, per-chunk calls and the combining call). Transforms stay rows-only (the diff needs difflib).
 from . import pipelines as PL  # noqa: E402
 from .models import make_bundle_model, make_commit_model, make_create_model, make_rating_model  # noqa: E402
 
@@ -756,7 +756,22 @@ def q_rate_messages(spark, sf_dir):
     return PL.rate_messages(msgs, make_rating_model)
 
 
-@register("summarize_changes")
+def _clip_head_sql(expr: str, n: int) -> str:
+    toks = f"regexp_extract_all({expr}, '[^ \\t\\n\\r]+')"
+    return f"(CASE WHEN len({toks}) > {n} THEN array_to_string({toks}[1:{n}], ' ') ELSE {expr} END)"
+
+
+@register("summarize_changes", f"""
+WITH pc AS ({_pack_changes_sql(1400, True)}),
+chunks AS (
+  SELECT pc.repo, pc.truncated, pc.chunk_no, pc.emit_seq,
+         string_agg(CASE WHEN pc.truncated THEN {_clip_head_sql('d.text', 1400)} ELSE d.text END, chr(10)
+                    ORDER BY pc.seq) AS diff
+  FROM pc JOIN documents d ON d.source = pc.repo AND d.doc_id = pc.seq
+  GROUP BY pc.repo, pc.truncated, pc.chunk_no, pc.emit_seq),
+per AS (SELECT repo, count(*) AS n_chunks, any_value(diff) AS diff FROM chunks GROUP BY repo)
+SELECT repo, n_chunks, 'Update ' || CAST(CASE WHEN n_chunks > 1 THEN n_chunks ELSE len({split_lines_sql('diff')}) END
+       AS VARCHAR) || ' lines' AS message FROM per""")
 def q_summarize_changes(spark, sf_dir):
     """Commit message per repo (source) for its staged changes, history examples from the same change table."""
     ch = changes_from_documents(_docs(spark, sf_dir))
