@@ -13,14 +13,12 @@ from __future__ import annotations
 
 from typing import Callable
 
-import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import flatten_newlines
-from ..functions.tokens import TOKEN_PATTERN
 
 DEFAULT_DIMS = 64
 
@@ -33,20 +31,12 @@ def token_bucket(token: Column, dims: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % F.lit(int(dims))).cast("int")
 
 
-def hashed_tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(flatten_newlines(text)), F.lit(TOKEN_PATTERN), F.lit(0))
-
-
 def _token_pieces(text: Column | str) -> Column:
-    """Lower-cased pieces between runs of space, tab, newline and carriage return. Same tokens as
-    :func:`hashed_tokens` plus possibly empty pieces at the ends; a plain split is about twice as fast."""
+    """Lower-cased pieces between runs of space, tab, newline and carriage return: the default tokenizer's
+    tokens, plus possibly empty pieces at the ends (dropped by the callers)."""
     return F.split(F.lower(_c(text)), r"[ \t\n\r]+", -1)
 
 
-def token_bucket_sql(tok: str, dims: int) -> str:
-    return f"(('0x' || substr(md5({tok}), 1, 8))::BIGINT % {int(dims)})"
-
-
 class HashedEmbedder:
     def __init__(self, dims: int = DEFAULT_DIMS):
         self.dims = int(dims)

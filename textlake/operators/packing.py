@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize
 
 INF = np.int64(2 ** 62)
 DEFAULT_BLOCK_WIDTH = 65536

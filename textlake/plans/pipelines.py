@@ -23,6 +23,7 @@ from ..operators import prompts as PR
 from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
 from ..session import broadcast_if_small
+from ..sources.changes import require_changes
 from . import packing as P
 from .texts import BUILTIN_EXAMPLES, COMBINE_REQUEST, COMMIT_PRE_PROMPT, CREATE_PRE_PROMPT, RATING_PRE_PROMPT
 from .texts import TRANSFORM_PRE_PROMPT
@@ -96,6 +97,7 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
                       num_examples: int = P.NUM_EXAMPLES, use_builtin_examples: bool = True, hint: str | None = None,
                       max_output_tokens: int = DEFAULT_OUTPUT_TOKENS, **kw) -> DataFrame:
     """``repo, n_chunks, message``: one commit message per repo for its staged changes."""
+    require_changes(changes)
     packed = P.pack_changes(changes, max_diff_tokens)
     chunks = P.chunk_texts(changes, packed, max_diff_tokens).withColumn(
         "chunk_id", F.concat_ws("#", "repo", F.coalesce(F.col("emit_seq"), F.lit(-1)).cast("string"),
