@@ -83,3 +83,10 @@ def test_exact_median_large_group(spark):
     df = spark.createDataFrame([(1, float(x)) for x in vals], "g int, similarity double")
     st = similarity_stats(df, ["g"], accuracy=100).collect()[0]
     assert abs(st.sim_median - float(np.median(vals))) < 1e-9
+
+
+def test_empty_query_table(spark):
+    items = spark.createDataFrame(ITEMS, "id int, embedding array<double>")
+    q = spark.createDataFrame([], "qid int, embedding array<double>")
+    assert top_n_search(items, q, item_keys=["id"], query_key="qid").count() == 0
+    assert all_similarities(items, q, item_keys=["id"], query_key="qid").count() == 0

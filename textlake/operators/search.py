@@ -178,6 +178,8 @@ def all_similarities(items: DataFrame, queries: DataFrame, *, item_keys, query_k
                 yield pd.DataFrame(out)
 
         parts.append(items.select(*keys, vec_col).mapInPandas(run, schema))
+    if not parts:  # no query: no similarity
+        return spark.createDataFrame([], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
