@@ -89,3 +89,24 @@ def test_pick_examples(spark):
 def test_pick_examples_zero(spark):
     df = spark.createDataFrame([(1, 1, 5)], "g int, t bigint, c int")
     assert pick_examples(df, "g", "t", "c", 100, 0).count() == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.data())
+def test_greedy_chunks_property(spark, data):
+    """Random groups, sizes (zeros and oversize included), budgets and block widths: the block-parallel fold
+    equals the sequential one."""
+    budget = data.draw(st.integers(1, 50))
+    width = data.draw(st.integers(1, 40))
+    charge = data.draw(st.booleans())
+    groups = {}
+    for g in range(data.draw(st.integers(1, 4))):
+        n = data.draw(st.integers(1, 120))
+        ids = sorted(data.draw(st.sets(st.integers(0, 400), min_size=n, max_size=n)))
+        top = budget * 2 if charge else budget  # the compat accounting only sees items within the budget
+        groups[f"g{g}"] = [(i, data.draw(st.integers(0, top))) for i in ids]
+    _run_chunks(spark, groups, budget, charge, width)
