@@ -90,3 +90,14 @@ def test_empty_query_table(spark):
     q = spark.createDataFrame([], "qid int, embedding array<double>")
     assert top_n_search(items, q, item_keys=["id"], query_key="qid").count() == 0
     assert all_similarities(items, q, item_keys=["id"], query_key="qid").count() == 0
+
+
+def test_exact_median_heavy_ties(spark):
+    rnd = np.random.default_rng(2)
+    for vals in (np.concatenate([np.full(9000, 0.25), rnd.random(3001)]),   # the median is a tied value
+                 np.full(5000, 0.5),                                       # all equal
+                 np.concatenate([np.full(2000, 0.1), np.full(2000, 0.9)]),  # even count, median between ties
+                 np.array([0.3])):
+        df = spark.createDataFrame([(1, float(x)) for x in vals], "g int, similarity double")
+        st = similarity_stats(df, ["g"], accuracy=100).collect()[0]
+        assert abs(st.sim_median - round(float(np.median(vals)), 6)) < 1e-9, vals[:3]

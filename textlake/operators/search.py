@@ -192,10 +192,14 @@ def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity",
 
     Two passes over ``sims``, neither holding a whole group in one buffer:
 
-    1. one grouped aggregate with partial aggregation: count, min, max, mean, std, and a bracket around the
-       middle ranks from ``percentile_approx`` (rank error at most n/accuracy, widened 4×);
-    2. per group, the count of values below the bracket and the sorted values inside it (about 8n/accuracy),
-       from which the two middle values are picked. Median = mean of the two middle values (DuckDB, numpy).
+    1. one grouped aggregate with partial aggregation: count, min, max, mean, std, and a bracket [lo, hi] around
+       the middle ranks from ``percentile_approx`` (rank error at most n/accuracy, widened 4×);
+    2. per group, counts of values below lo, equal to lo and equal to hi, and the sorted values strictly inside
+       the bracket, from which the two middle values are read. Values tied with an end of the bracket are
+       counted, never collected, so heavy ties (copies of a text) cannot inflate the collected list, which stays
+       within the bracket's rank width (about 10n/accuracy values).
+
+    Median = mean of the two middle values (as DuckDB and numpy). A bracket that misses the middle ranks raises.
     """
     gcols = list(group_cols)
     eps = 4.0 / accuracy
@@ -208,20 +212,30 @@ def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity",
     # pass-1 results ride along with the bracket, so pass 1 feeds pass 2 only (no second branch to join)
     bounds = first.select(*gcols, "n_scored", "_min", "_max", "_mean", "_std",
                           F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     j = vals.join(bounds, gcols).groupBy(*gcols).agg(
-        *[F.first(c).alias(c) for c in ("n_scored", "_min", "_max", "_mean", "_std")],
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-        F.array_sort(F.collect_list(F.when(inside, F.col("_v")))).alias("_w"),
+        *[F.first(c).alias(c) for c in ("n_scored", "_min", "_max", "_mean", "_std", "_lo", "_hi")],
+        F.count_if(v < lo).alias("_below"),
+        F.count_if(v == lo).alias("_eq_lo"),
+        F.count_if((v == hi) & (hi != lo)).alias("_eq_hi"),
+        F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("_w"),
     )
-    k1 = F.floor((F.col("n_scored") - 1) / 2) - F.col("_below")
-    k2 = F.ceil((F.col("n_scored") - 1) / 2) - F.col("_below")
-    ok = (k1 >= 0) & (k2 < F.size("_w"))
-    med = (F.element_at("_w", (k1 + 1).cast("int")) + F.element_at("_w", (k2 + 1).cast("int"))) / 2
+
+    def kth(k):
+        r = k - F.col("_below")
+        inner = r - F.col("_eq_lo")
+        n_in = F.size("_w")
+        return (F.when(r < 0, F.lit(None))
+                .when(r < F.col("_eq_lo"), lo)
+                .when(inner < n_in, F.element_at("_w", (inner + 1).cast("int")))
+                .when(inner < n_in + F.col("_eq_hi"), hi))
+
+    k1 = F.floor((F.col("n_scored") - 1) / 2)
+    k2 = F.ceil((F.col("n_scored") - 1) / 2)
+    a, b = kth(k1), kth(k2)
+    med = F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2).otherwise(
+        F.raise_error(F.lit("median bracket missed the middle ranks")))
     return j.select(
         *gcols, "n_scored", round6("_min").alias("sim_min"), round6("_max").alias("sim_max"),
-        round6("_mean").alias("sim_mean"),
-        round6(F.when(ok, med).otherwise(F.raise_error(F.lit("median bracket missed the middle ranks"))))
-        .alias("sim_median"),
-        round6("_std").alias("sim_std"),
+        round6("_mean").alias("sim_mean"), round6(med).alias("sim_median"), round6("_std").alias("sim_std"),
     )
