@@ -43,7 +43,7 @@ def main() -> None:
     from pyspark.sql import Window
     from pyspark.sql import functions as F
     r = spark.range(0, 200000).withColumn("k", F.col("id") % 97)
-    agg = r.groupBy("k").agg(F.sum("id").alias("s"), F.collect_list("id").alias("l"))
+    agg = r.groupBy("k").agg(F.sum("id").alias("s"), F.count(F.lit(1)).alias("c"))
     (r.join(agg, "k").withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("id")))
      .write.format("noop").mode("overwrite").save())
     # first parquet write and read of the JVM (writer/reader set-up), into the scratch area of the checkpoint folder

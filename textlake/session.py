@@ -34,6 +34,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", os.environ.get("TEXTLAKE_DRIVER_MEMORY", "16g"))
     )
+    event_dir = os.environ.get("TEXTLAKE_EVENT_LOG_DIR")
+    if event_dir:  # stage and task times for later study, written to a scratch folder (the UI stays off)
+        os.makedirs(event_dir, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
