@@ -186,7 +186,8 @@ def all_similarities(items: DataFrame, queries: DataFrame, *, item_keys, query_k
     return out
 
 
-def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity", accuracy: int = 10000) -> DataFrame:
+def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity", accuracy: int = 10000,
+                     groups_bound: int | None = None) -> DataFrame:
     """min, max, mean, exact median and population std of similarities per group (NULLs skipped), rounded
     to 6 places.
 
@@ -200,6 +201,11 @@ def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity",
        within the bracket's rank width (about 10n/accuracy values).
 
     Median = mean of the two middle values (as DuckDB and numpy). A bracket that misses the middle ranks raises.
+
+    ``groups_bound`` (a proven upper bound on the number of groups, e.g. the query count) lets the one-row-per-
+    group bounds be broadcast to pass 2, so the values are never shuffled (a single hot group stays spread over
+    all tasks). Without it the join is a shuffle join; either way the value side is never the broadcast side,
+    whatever the planner estimates for the output of a Python step.
     """
     gcols = list(group_cols)
     eps = 4.0 / accuracy
@@ -213,7 +219,8 @@ def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity",
     bounds = first.select(*gcols, "n_scored", "_min", "_max", "_mean", "_std",
                           F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    j = vals.join(bounds, gcols).groupBy(*gcols).agg(
+    side = F.broadcast(bounds) if groups_bound is not None and groups_bound <= 100_000 else bounds.hint("shuffle_hash")
+    j = vals.join(side, gcols).groupBy(*gcols).agg(
         *[F.first(c).alias(c) for c in ("n_scored", "_min", "_max", "_mean", "_std", "_lo", "_hi")],
         F.count_if(v < lo).alias("_below"),
         F.count_if(v == lo).alias("_eq_lo"),

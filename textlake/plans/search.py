@@ -68,5 +68,6 @@ def search_statistics(documents: DataFrame, queries: DataFrame, *, query_key: st
     # the statistics read the similarities twice: embed once, keep it in the checkpoint folder
     frags = materialize(embedded_fragments(documents, fragment_lines, 0, embedder), "embedded-fragments")
     q = embedded_queries(queries, query_key, query_text, embedder)
-    sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, query_row_bound=queries.count())
-    return similarity_stats(sims, [query_key])
+    n_queries = queries.count()
+    sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, query_row_bound=n_queries)
+    return similarity_stats(sims, [query_key], groups_bound=n_queries)
