@@ -218,6 +218,11 @@ def pick_examples(items: DataFrame, group_col: str, order_col: str, cost_col: st
     picks = None
     for t in news:
         picks = t if picks is None else picks.unionByName(t)
+    if picks is not None:
+        # write the picks once (at most k rows per group), then release the per-round caches
+        picks = materialize(picks.select(group_col, order_col, "_cost", "pick_no"), "picks")
+        for t in news:
+            t.unpersist()
     if picks is None:  # num_examples = 0, or nothing fits: no example
         return it.filter(F.lit(False)).select(group_col, order_col, F.col("_cost").alias(cost_col),
                                               F.lit(0).alias("pick_no"))
