@@ -101,3 +101,22 @@ def test_exact_median_heavy_ties(spark):
         df = spark.createDataFrame([(1, float(x)) for x in vals], "g int, similarity double")
         st = similarity_stats(df, ["g"], accuracy=100).collect()[0]
         assert abs(st.sim_median - round(float(np.median(vals)), 6)) < 1e-9, vals[:3]
+
+
+def test_stats_plan_never_broadcasts_similarities(spark):
+    """The similarities (all pairs) are the streamed side of the pass-2 join; only per-group bounds are broadcast."""
+    import contextlib
+    import io
+
+    items = spark.createDataFrame(ITEMS, "id int, embedding array<double>")
+    q = spark.createDataFrame(QUERIES, "qid int, embedding array<double>")
+    sims = all_similarities(items, q, item_keys=["id"], query_key="qid")
+    for bound in (3, None):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            similarity_stats(sims, ["qid"], groups_bound=bound).explain()
+        plan = buf.getvalue()
+        for line_no, line in enumerate(plan.splitlines()):
+            if "BroadcastExchange" in line:
+                below = "\n".join(plan.splitlines()[line_no:line_no + 4])
+                assert "HashAggregate" in below or "ObjectHashAggregate" in below, below
