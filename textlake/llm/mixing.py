@@ -9,8 +9,9 @@ The cube method turns the fractions into 0 or 1. Within a block of documents of
 probabilities moves along the null space of the balancing constraints (document count, words), so both totals stay
 exactly as expected, until a probability reaches 0 or 1; then the next document enters. A block ends with at most as
 many undecided documents as there are constraints. These go on to the next level, in blocks again, until one block
-per source is left; its last few documents are the landing problem, settled by the 0/1 choice with the total nearest
-to what was expected. Blocks are dealt by a hash of the document, so a hot source is many tasks, and random numbers
+per source is left. Its undecided documents, and a dozen set aside before that flight, are the landing problem: of all
+0/1 choices the one with the totals nearest to what was expected. The dozen let the choice make up for one long
+undecided document. Blocks are dealt by a hash of the document, so a hot source is many tasks, and random numbers
 are seeded by source, level and block, so reruns agree.
 
 Nulls: a null text has size 0 and takes nothing; a null source is a source of its own, sorted last; a null doc_id is
@@ -100,21 +101,22 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
         active = [i for i, v in zip(active, q.tolist(), strict=True) if 0 < v < 1]
 
 
-def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The last undecided entries set to 0 or 1: the choice whose totals are nearest to the expected ones."""
-    left = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    if not len(left):
-        return np.rint(p)
-    want = p[left] @ x[left]
-    choices = [np.array([(c >> k) & 1 for k in range(len(left))]) for c in range(2 ** len(left))]
+#: documents set aside for the landing besides those the flight leaves undecided
+RESERVE = 12
+
 
-    def off(c: int) -> tuple:
-        miss = np.abs(choices[c] @ x[left] - want)
-        return (*np.round(miss[::-1], 6).tolist(), c)  # last constraint (words) first
+def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The undecided entries set to 0 or 1: of all choices the one whose totals are nearest to the expected ones.
 
-    best = min(range(len(choices)), key=off)
+    Misses are added up over the constraints in units of their mean, the last constraint (words) twenty times.
+    """
+    left = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     out = p.copy()
-    out[left] = choices[best]
+    if len(left):
+        choices = ((np.arange(2 ** len(left))[:, None] >> np.arange(len(left))) & 1).astype(np.float64)
+        miss = np.abs(choices @ x[left] - p[left] @ x[left]) / np.maximum(np.abs(x).mean(axis=0), EPS)
+        miss[:, -1] *= 20
+        out[left] = choices[int(np.argmin(np.round(miss.sum(axis=1), 6)))]
     return np.rint(out)
 
 
@@ -122,8 +124,15 @@ def _decide(pdf: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["h", "size", "uid"], kind="stable")
     p, x = pdf["p"].to_numpy(np.float64), np.stack([np.ones(len(pdf)), pdf["size"].to_numpy(np.float64)], axis=1)
     seed = zlib.crc32(f"{pdf['source'].iloc[0]}|{level}|{pdf['blk'].iloc[0]}".encode())
-    p = flight(p, x, np.random.default_rng(seed))
-    return pdf.assign(p=landing(p, x) if last else p)
+    rng = np.random.default_rng(seed)
+    if not last:
+        return pdf.assign(p=flight(p, x, rng))
+    aside = np.flatnonzero((p > EPS) & (p < 1 - EPS))[-RESERVE:]
+    flown = p.copy()
+    flown[aside] = 0.0
+    flown = flight(flown, x, rng)
+    flown[aside] = p[aside]
+    return pdf.assign(p=landing(flown, x))
 
 
 def _decider(level: int, last: bool):
