@@ -378,8 +378,8 @@ def calibrate(best: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(max(a, 0.05)), float(b)
 
 
-def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 5, batch: int = 64,
-        rate: float = 0.008, seed: int = 7) -> Net:
+def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 7, batch: int = 64,
+        rate: float = 0.01, seed: int = 7) -> Net:
     """Train on documents (bytes) and 0/1 labels; ``toxic_share`` is the share of toxic labels in the whole table."""
     rng, net = np.random.default_rng(seed), Net(seed)
     docs = [text_words(t) for t in texts]
@@ -399,9 +399,14 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 5,
             order = np.argsort(whose, kind="stable")
             edges = np.searchsorted(whose[order], np.arange(len(docs) + 1)).tolist()
             top = np.array([int(np.argmax(logit[order[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            peak = np.array([logit[order[a + k]] for a, k in zip(edges[:-1], top.tolist(), strict=True)])
         # toxic documents with many windows join once the network can tell which window is meant
         limit = 2 if epoch == 0 else 6 if epoch == 1 else 1 << 30
-        use = rng.permutation(np.flatnonzero((y == 0) | (few <= limit)))
+        fits = (y == 0) | (few <= limit)
+        if epoch > 2:  # documents that are clearly right by now are visited now and then only
+            sure = np.where(y == 1, peak > 4, peak < -4)
+            fits &= ~sure | (rng.random(len(docs)) < 0.15)
+        use = rng.permutation(np.flatnonzero(fits))
         share = max(1.0, (y[use] == 0).sum() / max((y[use] == 1).sum(), 1) / 2)
         for lo in range(0, len(use), batch):
             cut = [(rows[i][starts[i][k]:starts[i][k] + WINDOW], y[i]) for i in use[lo:lo + batch]
@@ -415,7 +420,7 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 5,
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int = 2500, max_clean: int = 3000,
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int = 3000, max_clean: int = 4500,
           max_chars: int = 4_000, learn_from=None) -> Net | float:
     """Fit on a bounded sample of ``docs (doc_id, text)`` with ``labels (doc_id, label)``; see the module text.
 
