@@ -9,10 +9,12 @@ with fewer words has its whole sequence as one element. Two documents are linked
    empty bin borrows from the first filled bin of its own fixed random order over all bins.
 2. Equal sets collapse to their smallest doc_id, so a group of exact copies of any size is one row from here on.
 3. Documents that share a band bucket are candidates. A bucket of g documents gives g - 1 pairs: each member with
-   the bucket's centre (smallest id; in the second round largest id, for buckets that still hold several groups).
-4. Every candidate pair is confirmed on the full shingle sets.
-5. Buckets that still hold several groups after both rounds get their remaining pairs between different groups
-   tested, so a star never costs a link that the buckets had found.
+   the bucket's centre, its smallest id. Every pair is confirmed on the full shingle sets.
+4. Buckets that then still hold several groups draw four more centres each, by hash, so that a centre which is
+   itself an outlier does not hide the links between its bucket's other members.
+5. What is still open after that is settled exactly: members of buckets with several groups are compared across groups
+   by a prefix filter (see ``_prefix_pairs``), so a star never costs a link that the buckets had found, and a large
+   group of texts just below the threshold does not give all its pairs.
 
 Nulls and empty texts: set size 0, linked with nothing. A null doc_id links with nothing and is its own (kept) row.
 Repeated rows share a doc_id and so a group. Extra columns are ignored. An empty table gives an empty result.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.llm.common import connected_components, long_lists, mix64, prepare, write_table
@@ -130,6 +132,47 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
 
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(key, id, g)``: members, with their group, of the buckets that hold several groups."""
+    grouped = write_table(members.join(groups, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("g")), "grouped")
+    mixed = grouped.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
+    return write_table(grouped.join(mixed, "key", "left_semi"), "open")
+
+
+def _more_stars(mixed: DataFrame, stars: int = 4) -> DataFrame:
+    """Pairs of members with centres of other groups; every bucket draws ``stars`` centres of its own by hash."""
+    draws = [F.min(F.struct(F.xxhash64("id", "key", F.lit(k)).alias("h"), "id", "g")).alias(f"c{k}") for k in range(stars)]
+    centres = mixed.groupBy("key").agg(*draws).select("key", F.explode(F.array(*[f"c{k}" for k in range(stars)]))
+                                                      .alias("c")).select("key", "c.id", "c.g").distinct()
+    centres = centres.select("key", F.col("id").alias("b"), F.col("g").alias("gb"))
+    return (mixed.join(centres, "key").where("g <> gb")
+            .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different groups among ``members (id, g)`` that can still meet the threshold.
+
+    Shingles are ordered by how many members hold them, rarest first. Two sets at the threshold share a shingle among
+    the first ``n - ceil(percent n / 100) + 1`` of each, and after it enough are left on both sides to reach the
+    overlap. So only pairs that share such a shingle come out: a member whose first shingles are all its own has none.
+    """
+    flat = members.join(sets, "id").select("id", "g", F.size("s").alias("n"), F.explode("s").alias("x"))
+    flat = write_table(flat, "rest_shingles")
+    df = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
+    first = (flat.join(df, "x").withColumn("i", place)
+             .where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1).where("df > 1"))
+    first = write_table(first.select("x", "id", "g", "n", "i"), "prefixes")
+    mixed = first.groupBy("x").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("x")
+    first = first.join(mixed, "x", "left_semi")
+    other = first.select("x", *[F.col(c).alias(f"{c}2") for c in ("id", "g", "n", "i")])
+    most = 1 + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
+    return (first.join(other, "x").where((F.col("id") < F.col("id2")) & (F.col("g") != F.col("g2"))
+                                         & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))))
+            .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40,
                     rows: int = 6) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs (doc_id, text)``; see the module text."""
@@ -142,8 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     reps = write_table(known.groupBy("n_shingles", "k1", "k2")
                        .agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "reps")
     members = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    centres = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"),
-                                         F.max("id").alias("hi")).where("c > 1 and lo < hi").drop("c")
+    centres = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
     shared = write_table(members.join(centres, "key"), "buckets")
     wanted = shared.select("id").distinct()
     sets = write_table(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(
@@ -151,26 +193,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     first = shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     links = write_table(_confirm(first, sets, percent), "links")
-
-    def split(found: DataFrame) -> DataFrame:
-        """Members, with their group, of the buckets that hold several groups."""
-        grouped = shared.join(connected_components(found), "id", "left").select(
-            "key", "id", "lo", "hi", F.coalesce("component", "id").alias("g"))
-        open_keys = (grouped.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
-                     .where("g0 < g1").select("key"))
-        return write_table(grouped.join(open_keys, "key", "left_semi"), "open")
-
-    rest = split(links)
-    centre = rest.where("id = hi").select("key", F.col("g").alias("gh")).distinct()
-    second = (rest.join(centre, "key").where("id <> hi and id <> lo and g <> gh")
-              .select(F.col("id").alias("a"), F.col("hi").alias("b")).distinct())
-    links = write_table(links.unionByName(_confirm(second, sets, percent)), "links")
-    rest = split(links)
-    other = rest.select("key", F.col("id").alias("b"), F.col("g").alias("gb"))
-    third = (rest.join(other, "key").where("id < b and g <> gb and id <> lo and b <> lo and id <> hi and b <> hi")
-             .select(F.col("id").alias("a"), "b").distinct())
-    links = write_table(links.unionByName(_confirm(third, sets, percent)), "links")
-    groups = connected_components(links).withColumnRenamed("id", "rep")
+    mixed = _open_members(shared.select("key", "id"), connected_components(links))
+    links = write_table(links.unionByName(_confirm(_more_stars(mixed), sets, percent)), "links")
+    groups = connected_components(links)
+    mixed = _open_members(mixed.select("key", "id"), groups)
+    rest = write_table(_confirm(_prefix_pairs(mixed.select("id", "g").distinct(), sets, percent), sets, percent), "rest")
+    if rest.limit(1).count():
+        groups = connected_components(links.unionByName(rest))
+    groups = groups.withColumnRenamed("id", "rep")
     named = write_table(reps.drop("bands").join(groups, "rep", "left").select(
         "n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("g")), "groups")
     out = signed.drop("bands").join(named, ["n_shingles", "k1", "k2"], "left")
