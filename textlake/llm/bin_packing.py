@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import prepare, write_table
-from textlake.llm.tokens import Encoder
+from textlake.llm.tokens import encoder as encoder_of
 
 Bins = list[list[int]]
 
@@ -191,7 +191,7 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = 2048, islands: int
 
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, with_ids: bool
          ) -> Iterator[pa.RecordBatch]:
-    encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
         for doc_id, raw in zip(doc_ids, encoder.encode(batch.column(1).to_pylist()), strict=True):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlake.llm.common import prepare, scratch_folder, write_table
-from textlake.llm.tokens import Encoder
+from textlake.llm.tokens import encoder as encoder_of
 
 # Fixed values of the file format.
 MASK_DELTA = 0xA282EAD8
@@ -97,7 +97,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     for batch in batches:
         if data is None:
             store.create_dir(base, recursive=True)
-            data, encoder = store.open_output_stream(path), Encoder(tokenizer)
+            data, encoder = store.open_output_stream(path), encoder_of(tokenizer)
         ids_of = encoder.encode(batch.column(1).to_pylist())
         for doc_id, raw in zip(batch.column(0).to_pylist(), ids_of, strict=True):
             ids = np.frombuffer(raw + end, "<u4")

@@ -10,41 +10,92 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 RARE_SPACE = re.compile(r"[^\S \n]|[\u180e\u200b\ufeff]")
 #: remembered pieces per worker before the table starts afresh
-PIECE_CACHE = 300_000
+PIECE_CACHE, PIECES_KEPT = 500_000, 150_000
+
+
+class Pieces(dict):
+    """Numbers pieces as they come; ``new`` lists those not seen before."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 class Encoder:
+    """Whole texts to ids. Use ``encoder(path)`` in tasks: one table per worker process serves all its tasks."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.pieces, self.ids = Tokenizer.from_file(path), Pieces(), []
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces. Pieces that start with a blank and end without one can stand in a row without any
+        effect on each other: they are encoded a few hundred at a time, and cut apart at the offsets of their tokens."""
+        out: list[bytes] = [b""] * len(pieces)
+        row = [k for k, p in enumerate(pieces) if p[0] in " \n" and p[-1] not in " \n"]
+        alone = [k for k, p in enumerate(pieces) if not (p[0] in " \n" and p[-1] not in " \n")]
+        for k, ids in zip(alone, self._ids([pieces[k] for k in alone]), strict=True):
+            out[k] = ids
+        chunks = [row[lo:lo + 300] for lo in range(0, len(row), 300)]
+        texts = ["".join([pieces[k] for k in c]) for c in chunks]
+        for c, e in zip(chunks, self.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4").tobytes()
+            starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            ends = np.cumsum([len(pieces[k]) for k in c])
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            for k, a, b in zip(c, [0, *cuts[:-1]], cuts, strict=True):
+                out[k] = ids[a:b]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit bytes, one entry per text (null: no ids)."""
         out: list[bytes] = []
+        for lo in range(0, len(texts), 100):
+            out += self._encode(texts[lo:lo + 100])
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.ids) > PIECE_CACHE:
+            # the first ones are the frequent ones: those stay
+            old, self.pieces, self.ids = self.pieces, Pieces(), self.ids[:PIECES_KEPT]
+            self.pieces.update(islice(old.items(), PIECES_KEPT))
+        rows: list[list[int] | bytes] = []
         for text in texts:
             if not text:
-                out.append(b"")
+                rows.append(b"")
             elif RARE_SPACE.search(text):
-                out.append(self._ids([text])[0])
+                rows.append(self._ids([text])[0])
             else:
-                pieces = PIECES.findall(text)
-                try:
-                    out.append(b"".join([self.known[p] for p in pieces]))
-                except KeyError:
-                    if len(self.known) > PIECE_CACHE:
-                        self.known.clear()
-                    new = list({p for p in pieces if p not in self.known})
-                    self.known.update(zip(new, self._ids(new), strict=True))
-                    out.append(b"".join([self.known[p] for p in pieces]))
-        return out
+                rows.append(list(map(self.pieces.__getitem__, PIECES.findall(text))))
+        if self.pieces.new:
+            self.ids += self._piece_ids(self.pieces.new)
+            self.pieces.new = []
+        return [r if isinstance(r, bytes) else b"".join(map(self.ids.__getitem__, r)) for r in rows]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file; another file replaces it."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
