@@ -21,18 +21,6 @@ def ref_next_fit(sizes, max_tokens, charge=True):
     return out
 
 
-def ref_examples(costs_newest_first, budget, k):
-    picks, total = [], 0
-    for i, c in enumerate(costs_newest_first):
-        if len(picks) >= k:
-            break
-        if total + c > budget:
-            continue
-        total += c
-        picks.append(i)
-    return picks
-
-
 def _run_chunks(spark, groups, max_tokens, charge, width):
     rows = [(g, o, n) for g, items in groups.items() for o, n in items]
     df = spark.createDataFrame(rows, "g string, o bigint, n int")
@@ -69,21 +57,24 @@ def test_greedy_chunks_edges(spark):
 
 
 def test_pick_examples(spark):
+    """Per group: picks run from new to old, fit the budget, are at most k, and every older item that was passed over
+    did not fit what was left at that point."""
     rnd = random.Random(7)
-    rows, want = [], {}
-    for g in range(30):
-        n = rnd.randint(0, 25)
-        costs = [rnd.randint(20, 200) for _ in range(n)]
-        rows += [(g, t, c) for t, c in enumerate(costs)]
-        newest_first = list(reversed(costs))
-        picks = ref_examples(newest_first, 400, 4)
-        want[g] = [n - 1 - i for i in picks]
-    df = spark.createDataFrame(rows, "g int, t bigint, c int")
+    groups = {g: [rnd.randint(20, 200) for _ in range(rnd.randint(0, 25))] for g in range(30)}
+    df = spark.createDataFrame([(g, t, c) for g, costs in groups.items() for t, c in enumerate(costs)],
+                               "g int, t bigint, c int")
     got = {}
     for r in pick_examples(df, "g", "t", "c", 400, 4).collect():
-        got.setdefault(r.g, []).append((r.pick_no, r.t))
-    for g in range(30):
-        assert [t for _, t in sorted(got.get(g, []))] == want[g]
+        got.setdefault(r.g, {})[r.t] = r.pick_no
+    for g, costs in groups.items():
+        picks = got.get(g, {})
+        times = sorted(picks, reverse=True)
+        assert [picks[t] for t in times] == sorted(picks.values()) and len(times) <= 4
+        assert sum(costs[t] for t in times) <= 400
+        for t, cost in enumerate(costs):
+            newer = [x for x in times if x > t]
+            if t not in picks and len(newer) < 4:
+                assert sum(costs[x] for x in newer) + cost > 400, (g, t)
 
 
 def test_pick_examples_zero(spark):

@@ -9,34 +9,63 @@ from textlake.operators import cache as C
 from textlake.operators import prompts as PR
 
 
-def ref_prompt(context, request, pre, examples, mark=False):
-    sfx = " (Example)" if mark else ""
-    parts = []
-    for c, r, a in examples:
-        parts += ["## Context" + sfx, c] + (["## Request" + sfx, r] if r is not None else []) + \
-                 ["## Response" + sfx, X.START_MARKER, a, X.END_MARKER]
-    req = ["## Request", request] if request is not None else []
-    return "\n".join([pre, X.END_INSTRUCTION, *parts, "## Context", context, *req, "## Response", X.START_MARKER])
-
-
 PROMPT_CASES = [
-    ("ctx one", None, []),
-    ("ctx two", "do it", []),
-    ("ctx three", "do it", [("c1", None, "r1"), ("c2", "q2", "r2")]),
-    ("", None, [("", "", "")]),
+    (("ctx one", None, []), """PRE
+Once you're finished responding, write <| END OF RESPONSE |> on a line by itself.
+## Context
+ctx one
+## Response
+<| START OF RESPONSE |>"""),
+    (("ctx three", "do it", [("c1", None, "r1"), ("c2", "q2", "r2")]), """PRE
+Once you're finished responding, write <| END OF RESPONSE |> on a line by itself.
+## Context@
+c1
+## Response@
+<| START OF RESPONSE |>
+r1
+<| END OF RESPONSE |>
+## Context@
+c2
+## Request@
+q2
+## Response@
+<| START OF RESPONSE |>
+r2
+<| END OF RESPONSE |>
+## Context
+ctx three
+## Request
+do it
+## Response
+<| START OF RESPONSE |>"""),
+    (("", None, [("", "", "")]), """PRE
+Once you're finished responding, write <| END OF RESPONSE |> on a line by itself.
+## Context@
+
+## Request@
+
+## Response@
+<| START OF RESPONSE |>
+
+<| END OF RESPONSE |>
+## Context
+
+## Response
+<| START OF RESPONSE |>"""),
 ]
 
 
 def test_assemble_prompt_cases(spark):
+    """Whole prompts written out; ``@`` stands for the mark on example headings."""
     rows = [(i, c, r, [{"context": a, "request": b, "response": d} for a, b, d in ex])
-            for i, (c, r, ex) in enumerate(PROMPT_CASES)]
+            for i, ((c, r, ex), _) in enumerate(PROMPT_CASES)]
     df = spark.createDataFrame(rows, "id int, context string, request string, "
                                      "examples array<struct<context:string,request:string,response:string>>")
     for mark in (False, True):
         got = {r.id: r.p for r in df.select("id", PR.assemble_prompt("context", "request", F.lit("PRE"), "examples",
                                                                      mark_examples=mark).alias("p")).collect()}
-        for i, (c, r, ex) in enumerate(PROMPT_CASES):
-            assert got[i] == ref_prompt(c, r, "PRE", ex, mark)
+        for i, (_, want) in enumerate(PROMPT_CASES):
+            assert got[i] == want.replace("@", " (Example)" if mark else "")
 
 
 def test_request_text(spark):
@@ -47,7 +76,7 @@ def test_request_text(spark):
 
 
 BUNDLE_FILES = [("a/x.py", "print(1)\n```\nnot a fence end"), ("b.txt", ""), ("c.md", "```` four\n"),
-                ("d.txt", "plain\ntext")]
+                ("d.txt", "plain\ntext"), ("dir with blanks/e f.txt", "text")]
 
 
 def test_bundle_round_trip(spark):

@@ -16,6 +16,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed value: cache lifetime of the original tool, in seconds.
 CACHE_TTL_SECONDS = 86400
 
@@ -66,15 +68,19 @@ def with_cache(requests: DataFrame, cache: DataFrame, compute, as_of, key_col: s
                input_col: str = "input", ttl_seconds: int = CACHE_TTL_SECONDS):
     """Answer every request from the cache when live, else from ``compute``.
 
-    ``compute(df[key_col, input_col]) -> df[key_col, response]`` is called once per distinct missing key
-    (repeated inputs are sent once). Returns ``(answers, new_entries)``: the requests with ``response`` and
+    ``compute(df[key_col, input_col]) -> df[key_col, response]`` (an ``error`` column is honoured) is called once per
+    distinct missing key (repeated inputs are sent once) and its result written once, since both returned frames read
+    it. Failed calls are answered with NULL and never become cache entries. Returns ``(answers, new_entries)``: the requests with ``response`` and
     ``from_cache``, and the rows to append to the cache (``ts = as_of``).
     """
     lv = live(cache, as_of, ttl_seconds).select(F.col("cache_key").alias(key_col), "response")
     todo = requests.join(lv.select(key_col), key_col, "left_anti").select(key_col, input_col).dropDuplicates([key_col])
-    fresh = compute(todo).select(key_col, "response")
-    new_entries = fresh.select(F.col(key_col).alias("cache_key"), "response", _ts(as_of).alias("ts"))
-    answers_src = lv.withColumn("from_cache", F.lit(True)).unionByName(fresh.withColumn("from_cache", F.lit(False)))
+    fresh = compute(todo)
+    failed = F.col("error").isNotNull() if "error" in fresh.columns else F.col("response").isNull()
+    fresh = materialize(fresh.select(key_col, "response", failed.alias("_failed")), "computed")
+    new_entries = fresh.where(~F.col("_failed")).select(F.col(key_col).alias("cache_key"), "response", _ts(as_of).alias("ts"))
+    answers_src = lv.withColumn("from_cache", F.lit(True)).unionByName(
+        fresh.drop("_failed").withColumn("from_cache", F.lit(False)))
     answers = requests.join(answers_src, key_col, "left")
     return answers, new_entries
 

@@ -59,12 +59,28 @@ class HashedEmbedder:
         A text without tokens gets the zero vector.
         """
         keys = list(key_cols)
-        toks = df.select(*keys, F.explode_outer(_token_pieces(text_col)).alias("_tok"))
+        # rows that share a key stay apart: numbered before the tokens are exploded
+        rows = df.withColumn("_row", F.monotonically_increasing_id())
+        toks = rows.select(*keys, "_row", F.explode_outer(_token_pieces(text_col)).alias("_tok"))
         # the bucket is projected once; an empty piece (or a text without tokens) has no bucket
-        bucketed = toks.select(*keys, F.when(F.col("_tok") != "", token_bucket(F.col("_tok"), self.dims))
+        bucketed = toks.select(*keys, "_row", F.when(F.col("_tok") != "", token_bucket(F.col("_tok"), self.dims))
                                .alias("_b"))
         sums = [F.sum((F.col("_b") == F.lit(i)).cast("double")) for i in range(self.dims)]
-        return bucketed.groupBy(*keys).agg(F.array(*sums).alias(out_col))
+        return bucketed.groupBy(*keys, "_row").agg(F.array(*sums).alias(out_col)).drop("_row")
+
+
+def _call_model(model, texts: list, attempts: int = 3) -> list:
+    """One embedding call, repeated on failure or a wrong number of vectors; the last failure is raised."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            out = list(model(texts))
+            if len(out) != len(texts):
+                raise ValueError(f"model returned {len(out)} vectors for {len(texts)} texts")
+            return out
+        except Exception:
+            if not left:
+                raise
+    return []
 
 
 class PandasEmbedder:
@@ -92,7 +108,7 @@ class PandasEmbedder:
                 texts = pdf["_text"].tolist()
                 vecs = []
                 for i in range(0, len(texts), bs):
-                    vecs.extend(model(texts[i:i + bs]))
+                    vecs.extend(_call_model(model, texts[i:i + bs]))
                 out = pdf.drop(columns=["_text"])
                 out[out_col] = pd.Series(vecs, index=pdf.index, dtype=object)
                 yield out

@@ -2,7 +2,8 @@
 
 ``fn(list[str]) -> list[str]`` (a model client, a local model, …) is applied with ``mapInPandas``: the function
 is built once per task, called on slices of at most ``batch_size`` prompts, retried up to ``attempts`` times with
-a random exponential wait. A slice that still fails gives rows with ``error`` set instead of failing the job.
+a random exponential wait. A slice that still fails is asked again prompt by prompt, so one bad prompt does not fail
+its neighbours; what fails alone gives a row with ``error`` set instead of failing the job.
 
 Spark may run a task more than once (retries, lost executors, recomputation), so calls can repeat. Pipelines
 that must not call twice write the answers to the cache table first and read them back downstream
@@ -67,6 +68,9 @@ def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]
                 out, err = _call_with_retry(fn, [texts[j] for j in idx], attempts, max_wait, time.sleep)
                 for j, o in zip(idx, out):
                     responses[j], errors[j] = o, err
+                if err is not None and len(idx) > 1:
+                    for j in idx:
+                        (responses[j],), errors[j] = _call_with_retry(fn, [texts[j]], attempts, max_wait, time.sleep)
             res = pdf[keys].copy()
             res["response"] = pd.Series(responses, index=pdf.index, dtype=object)
             res["error"] = pd.Series(errors, index=pdf.index, dtype=object)
@@ -77,15 +81,19 @@ def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]
 
 def infer_to_cache(prompts: DataFrame, cache: DataFrame, cache_path: str, make_fn, as_of, *, key_col: str = "cache_key",
                    prompt_col: str = "prompt", **kw) -> DataFrame:
-    """Infer only the prompts without a live cache entry, append the answers to ``cache_path``, then answer
-    every prompt from the cache table as written (so downstream steps never trigger a second call)."""
-    from .cache import hits, misses
+    """``*prompts, response, error`` for every prompt: from the live cache, else from one call per distinct missing key.
+
+    The calls' results are written once (downstream steps never trigger a second call); answers are also appended to
+    ``cache_path``. A failed prompt keeps its row with ``error`` set and is not cached."""
+    from ..session import materialize
+    from .cache import live, misses
 
     todo = misses(prompts.select(key_col, prompt_col).dropDuplicates([key_col]), cache, as_of, key_col)
-    fresh = batch_infer(todo, make_fn, key_cols=[key_col], prompt_col=prompt_col, **kw)
+    fresh = materialize(batch_infer(todo, make_fn, key_cols=[key_col], prompt_col=prompt_col, **kw), "inferred")
     ok = fresh.filter(F.col("error").isNull()).select(
         F.col(key_col).alias("cache_key"), "response",
         (F.lit(as_of) if not isinstance(as_of, str) else F.to_timestamp(F.lit(as_of))).cast("timestamp").alias("ts"))
     ok.write.mode("append").parquet(cache_path)
-    stored = prompts.sparkSession.read.parquet(cache_path)
-    return hits(prompts, stored, as_of, key_col)
+    known = live(cache, as_of).select(F.col("cache_key").alias(key_col), "response",
+                                      F.lit(None).cast("string").alias("error"))
+    return prompts.join(known.unionByName(fresh.select(key_col, "response", "error")), key_col, "left")

@@ -99,18 +99,22 @@ def render_bundles(files: DataFrame, bundle_cols, order_col: str, path_col: str
 
 # A file block: comment with the path (its fence may follow on the same line), opening fence with an optional
 # info string, body, and a closing fence line equal to the opening one.
-BLOCK_PATTERN = r"(?ms)^<!-- (\S+) -->\n?(`{3,})[^`\n]*\n(.*?)^\2[ \t]*$"
+BLOCK_PATTERN = r"(?ms)^<!-- ([^\n]+?) -->\n?(`{3,})[^`\n]*\n(.*?)^\2[ \t]*$"
 # DuckDB's regex engine has no back-references: the oracle reads three-backtick fences only.
-BLOCK_PATTERN_SQL = r"(?ms)^<!-- (\S+) -->\n?```[^`\n]*\n(.*?)^```[ \t]*$"
+BLOCK_PATTERN_SQL = r"(?ms)^<!-- ([^\n]+?) -->\n?```[^`\n]*\n(.*?)^```[ \t]*$"
 
 
-def parse_bundle(df: DataFrame, bundle_col: str, keep_cols=()) -> DataFrame:
-    """Markdown → rows ``(*keep_cols, file_pos, path, text)``, one per file block (generator, no shuffle)."""
+def parse_bundle(df: DataFrame, bundle_col: str, keep_cols=(), keep_failed: str | None = None) -> DataFrame:
+    """Markdown → rows ``(*keep_cols, file_pos, path, text)``, one per file block (generator, no shuffle).
+
+    Paths are anything on one line. ``keep_failed`` names a column: rows where it is set stay, without a file."""
     b = F.col(bundle_col)
     paths = F.regexp_extract_all(b, F.lit(BLOCK_PATTERN), F.lit(1))
     bodies = F.regexp_extract_all(b, F.lit(BLOCK_PATTERN), F.lit(3))
-    out = df.select(*keep_cols, F.posexplode(F.arrays_zip(paths.alias("path"), bodies.alias("body"))).alias(
-        "file_pos", "_f"))
+    explode = F.posexplode if keep_failed is None else F.posexplode_outer
+    out = df.select(*keep_cols, explode(F.arrays_zip(paths.alias("path"), bodies.alias("body"))).alias("file_pos", "_f"))
+    if keep_failed is not None:
+        out = out.where(F.col("file_pos").isNotNull() | F.col(keep_failed).isNotNull())
     return out.select(*keep_cols, F.col("file_pos").cast("int").alias("file_pos"), F.col("_f.path").alias("path"),
                       F.regexp_replace(F.col("_f.body"), "\n\\z", "").alias("text"))
 

@@ -22,10 +22,11 @@ from ..operators import diffs as D
 from ..operators import prompts as PR
 from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
-from ..session import broadcast_if_small
+from ..session import materialize
 from ..sources.changes import require_changes
 from . import packing as P
-from .texts import BUILTIN_EXAMPLES, COMBINE_REQUEST, COMMIT_PRE_PROMPT, CREATE_PRE_PROMPT, RATING_PRE_PROMPT
+from .texts import BUILTIN_EXAMPLES, COMBINE_REQUEST, COMMIT_PRE_PROMPT, CREATE_PRE_PROMPT, DEFAULT_PRE_PROMPT
+from .texts import RATING_PRE_PROMPT
 from .texts import TRANSFORM_PRE_PROMPT
 
 DEFAULT_OUTPUT_TOKENS = 400
@@ -44,23 +45,9 @@ def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, **kw) ->
     return out.select(*key_cols, PR.clean_response("response", strip=strip).alias("answer"), "error")
 
 
-# A combining prompt takes at most this many messages; a repo with more chunks is combined as a tree.
-COMBINE_FAN_IN = 64
-
-
-def _combine_level(items: DataFrame, make_fn, group_cols, **kw) -> DataFrame:
-    """One combining step: the messages of each group (at most COMBINE_FAN_IN, in ``ord`` order) are joined;
-    a group of several gets one model call, a single message passes through without one."""
-    agg = items.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "answer"))), lambda s: s["answer"]),
-                     "\n").alias("joined"))
-    prompt = F.when(F.col("_k") > 1, PR.assemble_prompt("joined", F.lit(COMBINE_REQUEST), F.lit(COMMIT_PRE_PROMPT),
-                                                         example_array("combine")))
-    ans = _answers(agg.select(*group_cols, "_k", "joined", prompt.alias("prompt")), make_fn,
-                   [*group_cols, "_k", "joined"], **kw)
-    return ans.select(*group_cols, "_k", F.when(F.col("_k") > 1, F.col("answer")).otherwise(F.col("joined"))
-                      .alias("answer"))
+def _first_error(col: str = "error") -> Column:
+    """One error of a group (the smallest text, so that reruns agree); NULL when no call failed."""
+    return F.min(col)
 
 
 def rate_messages(messages: DataFrame, make_fn, key_col: str = "msg_id", message_col: str = "message",
@@ -85,7 +72,8 @@ def history_examples(history: DataFrame, make_rating_fn, max_log_tokens: int = P
     rated = rate_messages(picked.select(F.concat_ws("#", "repo", F.col("seq").cast("string")).alias("msg_id"),
                                         "message"), make_rating_fn, **kw)
     ex = picked.withColumn("msg_id", F.concat_ws("#", "repo", F.col("seq").cast("string"))).join(rated, "msg_id")
-    ex = ex.select("repo", "pick_no", F.struct(F.col("patch").alias("context"),
+    # a failed rating is no rating of 0: such an example is left out
+    ex = ex.where(F.col("error").isNull()).select("repo", "pick_no", F.struct(F.col("patch").alias("context"),
                                                PR.request_text(F.coalesce("rating", F.lit(0))).alias("request"),
                                                F.col("message").alias("response")).alias("ex"))
     return ex.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("pick_no", "ex"))),
@@ -96,7 +84,9 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
                       max_diff_tokens: int = P.DIFF_TOKENS, max_log_tokens: int = P.HISTORY_TOKENS,
                       num_examples: int = P.NUM_EXAMPLES, use_builtin_examples: bool = True, hint: str | None = None,
                       max_output_tokens: int = DEFAULT_OUTPUT_TOKENS, **kw) -> DataFrame:
-    """``repo, n_chunks, message``: one commit message per repo for its staged changes."""
+    """``repo, n_chunks, message, error``: one commit message per repo for its staged changes.
+
+    ``error`` is set, and ``message`` NULL, where any model call of the repo failed."""
     require_changes(changes)
     packed = P.pack_changes(changes, max_diff_tokens)
     chunks = P.chunk_texts(changes, packed, max_diff_tokens).withColumn(
@@ -108,34 +98,24 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
     request = PR.request_text(F.lit(10), F.lit(hint).cast("string"))
     # emit order of the chunks: by emit_seq, the final chunk (NULL) last; unique within a repo
     ord_key = F.coalesce(F.col("emit_seq"), F.lit(2 ** 62))
-    counts = chunks.groupBy("repo").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(ord_key).alias("_max_ord"))
-    # size of the tree, from the chunk table (no model call involved): one small job
-    top = counts.agg(F.max("n_chunks").alias("n"), F.max("_max_ord").alias("o")).collect()[0]
-    levels = 0
-    if top["n"] is not None and top["n"] > COMBINE_FAN_IN:
-        reach = COMBINE_FAN_IN
-        levels = 1
-        while reach <= top["o"]:
-            reach *= COMBINE_FAN_IN
-            levels += 1
-    # per-repo side tables join the chunks on repo, which may be hot: counts are broadcast when small, the
-    # examples (texts) are joined by shuffle with AQE splitting a skewed repo
-    prompts = chunks.join(broadcast_if_small(counts.select("repo", "n_chunks")), "repo").join(
-        hist, "repo", "left").select(
-        "repo", "n_chunks", ord_key.alias("ord"),
+    # examples (texts) are joined by shuffle: a hot repo's chunks are split by AQE
+    prompts = chunks.join(hist, "repo", "left").select(
+        "repo", ord_key.alias("ord"),
         PR.assemble_prompt("diff", request, F.lit(COMMIT_PRE_PROMPT), ex_col).alias("prompt"))
     # one linear path from here: the answers are never joined back or split into two branches
-    items = _answers(prompts, make_fn, ["repo", "n_chunks", "ord"], **kw)
-    # up to COMBINE_FAN_IN chunks: one combining call over all messages, as the original tool did; more:
-    # ranges of COMBINE_FAN_IN consecutive keys, level by level, so that no collected list is unbounded
-    g = F.when(F.col("n_chunks") <= COMBINE_FAN_IN, F.lit(-1)).otherwise(F.floor(F.col("ord") / COMBINE_FAN_IN))
-    items = _combine_level(items.withColumn("_g", g), make_fn, ["repo", "n_chunks", "_g"], **kw).select(
-        "repo", "n_chunks", F.col("_g").alias("ord"), "answer")
-    for _ in range(levels):
-        items = _combine_level(items.withColumn("_g", F.floor(F.col("ord") / COMBINE_FAN_IN)), make_fn,
-                               ["repo", "n_chunks", "_g"], **kw).select("repo", "n_chunks", F.col("_g").alias("ord"),
-                                                                        "answer")
-    return items.select("repo", "n_chunks", F.col("answer").alias("message"))
+    items = _answers(prompts, make_fn, ["repo", "ord"], **kw)
+    # one combining call over all messages of a repo in emit order, whatever their number; the prompt that holds them
+    # is one output row. A failed chunk leaves the repo without a message, never with one made of the others.
+    agg = items.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_chunks"), _first_error().alias("_chunk_error"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "answer"))), lambda s: s["answer"]),
+                     "\n").alias("joined"))
+    prompt = F.when((F.col("n_chunks") > 1) & F.col("_chunk_error").isNull(), PR.assemble_prompt(
+        "joined", F.lit(COMBINE_REQUEST), F.lit(DEFAULT_PRE_PROMPT), example_array("combine")))
+    ans = _answers(agg.withColumn("prompt", prompt), make_fn, ["repo", "n_chunks", "_chunk_error", "joined"], **kw)
+    message = F.when(F.col("n_chunks") > 1, F.col("answer")).otherwise(F.col("joined"))
+    return ans.withColumn("error", F.coalesce("_chunk_error", "error")).select(
+        "repo", "n_chunks", F.when(F.col("error").isNull(), message).alias("message"), "error")
 
 
 def originals_or_empty(results: DataFrame, originals: DataFrame, path_col: str = "path") -> DataFrame:
@@ -147,9 +127,10 @@ def originals_or_empty(results: DataFrame, originals: DataFrame, path_col: str =
 def transform_documents(files: DataFrame, request: str, make_fn, *, group_col: str = "source",
                         order_col: str = "doc_id", max_chunk_tokens: int | None = P.BUNDLE_TOKENS,
                         pre_prompt: str = TRANSFORM_PRE_PROMPT, **kw) -> DataFrame:
-    """``path, text, original, added, removed``: files rewritten by the model, bundle by bundle.
+    """``path, text, original, added, removed, error``: files rewritten by the model, bundle by bundle.
 
-    ``max_chunk_tokens=None`` puts each group in one bundle."""
+    ``max_chunk_tokens=None`` puts each group in one bundle. A bundle whose call failed gives one row for each of its
+    files, with ``error`` set and the text NULL."""
     if max_chunk_tokens is None:
         packed = files.select(group_col, order_col, F.lit(0).cast("bigint").alias("chunk_no"))
     else:
@@ -159,15 +140,26 @@ def transform_documents(files: DataFrame, request: str, make_fn, *, group_col: s
     prompts = bundles.select(F.concat_ws("#", group_col, F.col("chunk_no").cast("string")).alias("bundle_id"),
                              PR.assemble_prompt("bundle", F.lit(request), F.lit(pre_prompt)).alias("prompt"))
     ans = _answers(prompts, make_fn, ["bundle_id"], strip=False, **kw)
+    # answers feed two branches (files and failures): they are written once, so no call is repeated
+    ans = materialize(ans, "transform-answers")
     out = PR.parse_bundle(ans, "answer", ["bundle_id"]).select("path", "text")
     merged = originals_or_empty(out, files.select("path", "text"))
-    return D.with_diff_stats(merged, "original", "text")
+    good = D.with_diff_stats(merged, "original", "text").withColumn("error", F.lit(None).cast("string"))
+    failed = ans.where(F.col("error").isNotNull()).select("bundle_id", "error")
+    members = files.join(packed, [group_col, order_col]).select(
+        F.concat_ws("#", group_col, F.col("chunk_no").cast("string")).alias("bundle_id"), "path",
+        F.col("text").alias("original"))
+    bad = members.join(failed, "bundle_id").select("path", "original", "error")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def create_documents(requests: DataFrame, make_fn, key_col: str = "req_id", request_col: str = "request",
                      pre_prompt: str = CREATE_PRE_PROMPT, **kw) -> DataFrame:
-    """``key, file_pos, path, text``: the files the model writes for each request (context: no input)."""
+    """``key, file_pos, path, text, error``: the files the model writes for each request (context: no input).
+
+    A request whose call failed is one row with ``error`` set and no file."""
     prompts = requests.select(key_col, PR.assemble_prompt(F.lit(X.NO_INPUT), F.col(request_col),
                                                           F.lit(pre_prompt)).alias("prompt"))
     ans = _answers(prompts, make_fn, [key_col], strip=False, **kw)
-    return PR.parse_bundle(ans, "answer", [key_col])
+    return PR.parse_bundle(ans, "answer", [key_col, "error"], keep_failed="error").select(
+        key_col, "file_pos", "path", "text", "error")

@@ -590,7 +590,7 @@ def q_cache_misses(spark, sf_dir):
 
 
 def _echo(df):
-    return batch_infer(df, make_token_echo, key_cols=["cache_key"], prompt_col="input").select("cache_key", "response")
+    return batch_infer(df, make_token_echo, key_cols=["cache_key"], prompt_col="input")
 
 
 _FRESH_SQL = f"""
@@ -771,7 +771,7 @@ chunks AS (
   GROUP BY pc.repo, pc.truncated, pc.chunk_no, pc.emit_seq),
 per AS (SELECT repo, count(*) AS n_chunks, any_value(diff) AS diff FROM chunks GROUP BY repo)
 SELECT repo, n_chunks, 'Update ' || CAST(CASE WHEN n_chunks > 1 THEN n_chunks ELSE len({split_lines_sql('diff')}) END
-       AS VARCHAR) || ' lines' AS message FROM per""")
+       AS VARCHAR) || ' lines' AS message, CAST(NULL AS VARCHAR) AS error FROM per""")
 def q_summarize_changes(spark, sf_dir):
     """Commit message per repo (source) for its staged changes, history examples from the same change table."""
     ch = changes_from_documents(_docs(spark, sf_dir))
@@ -786,7 +786,7 @@ def q_transform_documents(spark, sf_dir):
 
 @register("create_documents", f"""
 SELECT item_id AS req_id, 0 AS file_pos, 'created/' || CAST({token_count_sql('text')} AS VARCHAR) || '.txt' AS path,
-       text FROM benchmark""")
+       text, CAST(NULL AS VARCHAR) AS error FROM benchmark""")
 def q_create_documents(spark, sf_dir):
     """One request per benchmark text → files written by the (offline) model."""
     req = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("req_id"),

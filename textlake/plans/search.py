@@ -60,7 +60,8 @@ def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int
                    F.concat(F.lit("Result "), F.col("rank").cast("string")).alias("header"),
                    F.round("similarity", 2).alias("similarity_2"), "path", "contents"))
     # "ascending" lists the best result last, any other value lists it first
-    return out.orderBy(F.col("rank").desc() if order == "ascending" else F.col("rank").asc())
+    first = [c for c in results.columns if c not in (*FRAGMENT_KEYS, "rank", "similarity")]
+    return out.orderBy(*first, F.col("rank").desc() if order == "ascending" else F.col("rank").asc())
 
 
 def search_statistics(documents: DataFrame, queries: DataFrame, *, query_key: str = "item_id",

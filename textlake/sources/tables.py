@@ -49,6 +49,7 @@ def read_text_files(spark: SparkSession, paths: str | list[str], ignore_empty: b
     default); ``ignore_empty`` matters for texts that arrive some other way.
     """
     df = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
+        # the path comes as a URI: %20 and its like are decoded, a plus sign stays
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text")
     )
     return non_empty(df) if ignore_empty else df
