@@ -196,6 +196,8 @@ def costs(b: Block) -> tuple[float, float]:
     score += 0.8 if b.text[-1:] in ".!?:;…。\"”’)" else 0.0
     if b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         score += 1.0
+    elif b.node.tag == "p":
+        score += 1.0
     elif b.node.tag in ("td", "th", "li", "label", "legend"):
         score -= 0.5
     soft = lambda x: x if x > 30 else math.log1p(math.exp(x))

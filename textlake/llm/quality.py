@@ -41,6 +41,7 @@ def _covered(p: Column) -> Column:
 
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the five base features, computed row by row over whole texts (no shuffle)."""
+    docs = docs.drop(*[c for c in FEATURES if c != text])
     t = F.coalesce(F.col(text), F.lit(""))
     first = docs.select("*", F.filter(F.split(t, WORD_GAP), lambda w: w != "").alias("_w"),
                         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
@@ -100,7 +101,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list
     ``max_symbols``: symbols per 100 word characters; ``max_dup_lines``: repeated lines per 100 words. The features
     are written once, because the host verdicts and the result both read them.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*FEATURES, "base_failed", "kept")]
     base = text_features(docs.select(*{*carry, host, text}), text)
     base = base.withColumn("base_failed", (F.col("n_words") < min_words)
                            | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))

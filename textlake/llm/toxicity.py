@@ -385,6 +385,9 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 7,
     docs = [text_words(t) for t in texts]
     keep = np.array([len(d) > 0 for d in docs], bool)
     docs, y = [d for d, k in zip(docs, keep, strict=True) if k], y[keep].astype(np.float64)
+    # small samples get smaller batches and more epochs, so that the number of steps is about the same
+    batch = min(batch, max(16, len(docs) // 12))
+    epochs = max(epochs, min(40, -(-450 * batch // max(len(docs), 1))))
     adam, numbers = Adam(net.p, rate), Numbers()
     rows = [np.fromiter(map(numbers.__getitem__, d), np.int32, len(d)) for d in docs]
     vocabulary = list(numbers)
