@@ -17,7 +17,7 @@ import numpy as np
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 RARE_SPACE = re.compile(r"[^\S \n]|[\u180e\u200b\ufeff]")
 #: remembered pieces per worker before the table starts afresh
-PIECE_CACHE, PIECES_KEPT = 500_000, 150_000
+PIECE_CACHE, PIECES_KEPT = 900_000, 400_000
 
 
 class Pieces(dict):
