@@ -10,9 +10,7 @@ RESPONSE_HEADING = "## Response"
 EXAMPLE_SUFFIX = " (Example)"
 END_INSTRUCTION = f"Once you're finished responding, write {END_MARKER} on a line by itself."
 
-# The commit-message request and the rating an answer carries.
-COMMIT_REQUEST = "Write a commit message for the given diff (quality: {quality}/10)"
-HINT_SUFFIX = " (hint: {hint})"
+# Fixed value: the rating an answer carries.
 RATING_PATTERN = r"\(RATING: (\d{1,2})/10\)"
 
 # Model context windows in tokens (any other model: the default).
