@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from textlake.operators.packing import greedy_chunks, pick_examples
+from textlake.operators.packing import block_summaries, greedy_chunks, in_blocks, next_picks, pick_examples
 
 
 def ref_next_fit(sizes, max_tokens, charge=True):
@@ -77,6 +77,37 @@ def test_pick_examples(spark):
                 assert sum(costs[x] for x in newer) + cost > 400, (g, t)
 
 
+def test_pick_examples_hot_group_in_blocks(spark):
+    """A group over many blocks picks as it does within one."""
+    rnd = random.Random(3)
+    rows = [("hot", t * 7, rnd.randint(50, 300)) for t in range(400)] + [("a", 1, 10), ("b", 5, 999)]
+    df = spark.createDataFrame(rows, "g string, t bigint, c int")
+    one, many = (sorted(map(tuple, pick_examples(df, "g", "t", "c", 500, 6, w).collect())) for w in (1000, 13))
+    assert one == many and one[0] == ("a", 1, 10, 1) and all(r[0] != "b" for r in one)
+
+
+def test_hot_groups_stay_spread(spark):
+    """Without broadcasts, no step over items is dealt out by the bare group before it has been cut down."""
+    rows = [("hot", i, 3) for i in range(300)] + [("a", 1, 2)]
+    df = spark.createDataFrame(rows, "g string, o bigint, _cost bigint")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        base = in_blocks(df, "g", "o", 50, "test")
+        assert base.select("_blk").where("g = 'hot'").distinct().count() >= 5
+        plan = block_summaries(base, "g", "o", "_cost", 30, True)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_blk" in plan and "hashpartitioning(g#" not in plan
+        first = next_picks(base, None, "g", "o", 30, 1)
+        plan = next_picks(base, first, "g", "o", 30, 2)._jdf.queryExecution().executedPlan().toString()
+        top = plan[:plan.index("SortMergeJoin")]
+        assert "Exchange hashpartitioning(g#" in top and "partial_max" in top
+        below = plan[plan.index("SortMergeJoin"):]
+        assert "_blk#" in below.split("Exchange hashpartitioning(g#", 1)[1].split(")")[0]
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_pick_examples_zero(spark):
     df = spark.createDataFrame([(1, 1, 5)], "g int, t bigint, c int")
     assert pick_examples(df, "g", "t", "c", 100, 0).count() == 0

@@ -2,7 +2,8 @@
 
 Next-fit packing (start a new chunk when the running size plus the next item exceeds the budget) is sequential
 within a group, and a group may be huge (one source can hold a third of all rows). The fold is therefore split
-into blocks of consecutive order keys (``floor(order / block_width)``), each at most ``block_width`` items:
+into blocks: ranges of about ``block_width`` rows of the items sorted by group and order key, so blocks go by rank
+and sparse keys or a hot group change neither their size nor their number:
 
 1. Per block (``applyInPandas`` on ``(group, block)``, items as ``(order, size)`` only) the block is summarised
    as a function *entry state → (exit state, number of chunk starts)*. The state is the size of the open chunk.
@@ -10,8 +11,10 @@ into blocks of consecutive order keys (``floor(order / block_width)``), each at
    starts no longer depends on the entry. So the function is a handful of pieces (one per distinct first flush
    whose chain ends differently, plus a linear piece when the whole block fits), computed for all k at once by
    dynamic programming over the block's next-chunk pointers.
+   Only a block's first and last group can reach into other blocks; the others need no summary.
 2. Per group, the block summaries (far fewer rows than items) are folded in block order to get each block's
-   entry state and the number of chunks before it.
+   entry state and the number of chunks before it. A group's fold holds a few rows per block; for very large inputs
+   ``block_width`` trades the length of this fold against the size of a block.
 3. Per block again, chunk numbers are assigned from the known entry state.
 
 All three steps are exact. Only ids and sizes cross into Python; text is joined back afterwards.
@@ -122,25 +125,49 @@ def _assign(max_tokens: int, charge: bool, group_col: str, order_col: str, size_
             return pd.DataFrame({group_col: [], order_col: [], size_col: [], "chunk_no": []})
         pdf = pdf.sort_values(order_col, kind="stable")
         n = pdf[size_col].to_numpy(dtype=np.int64)
-        s = int(entry["entry_s"].iloc[0])
-        c = int(entry["chunk_base"].iloc[0])
-        if bool(entry["first"].iloc[0]) and charge and n[0] > max_tokens:
+        s, c, first = (int(entry["entry_s"].iloc[0]), int(entry["chunk_base"].iloc[0]),
+                       bool(entry["first"].iloc[0])) if len(entry) else (0, 0, True)
+        if first and charge and n[0] > max_tokens:
             c -= 1  # the group's first item is oversize: its flush opens chunk 0, no empty chunk before it
-        chunk = np.empty(len(n), dtype=np.int64)
-        for i, x in enumerate(n.tolist()):
-            t = s + x
-            if t > max_tokens:
-                c += 1
-                s = x if charge else 0
-            else:
-                s = t
-            chunk[i] = c
+        cum = np.cumsum(n, dtype=np.int64)
+        starts = []
+        at = int(np.searchsorted(cum, max_tokens - s, side="right"))
+        while at < len(n):  # one step per chunk
+            starts.append(at)
+            left = max_tokens - (int(n[at]) if charge else 0)
+            at = max(at + 1, int(np.searchsorted(cum, left + cum[at], side="right")))
+        chunk = c + np.searchsorted(np.array(starts, dtype=np.int64), np.arange(len(n)), side="right")
         return pd.DataFrame({group_col: pdf[group_col].to_numpy(), order_col: pdf[order_col].to_numpy(),
-                             size_col: n, "chunk_no": chunk})
+                             size_col: n, "chunk_no": chunk.astype(np.int64)})
 
     return run
 
 
+def in_blocks(items: DataFrame, group_col: str, order_col: str, block_width: int, name: str) -> DataFrame:
+    """``items`` with ``_blk``: ranges of about ``block_width`` rows in (group, order) order, numbered in that order.
+
+    The items are written first, so that the count and the range sample do not recompute what made them, and again with
+    their block, so that a block's number never changes."""
+    items = materialize(items, name)
+    n = max(-(-items.count() // block_width), items.sparkSession.sparkContext.defaultParallelism)
+    ranged = items.repartitionByRange(n, group_col, order_col)
+    return materialize(ranged.withColumn("_blk", F.spark_partition_id().cast("bigint")), f"{name}-blocks")
+
+
+def block_summaries(base: DataFrame, group_col: str, order_col: str, size_col: str, max_tokens: int,
+                    charge: bool) -> DataFrame:
+    """Summaries of the blocks' first and last groups. Items meet by block, never by the bare group."""
+    types = dict(base.dtypes)
+    g = F.struct(group_col)
+    edges = base.groupBy("_blk").agg(F.min(g).alias("_lo"), F.max(g).alias("_hi"))
+    edge = F.col(group_col).eqNullSafe(F.col(f"_lo.{group_col}")) | F.col(group_col).eqNullSafe(F.col(f"_hi.{group_col}"))
+    items = base.join(edges, "_blk").where(edge).select(group_col, order_col, size_col, "_blk")
+    return items.groupBy(group_col, "_blk").applyInPandas(
+        _summarize(max_tokens, charge, group_col, order_col, size_col),
+        f"`{group_col}` {types[group_col]}, _blk bigint, lo bigint, hi bigint, linear int, exit_s bigint, "
+        f"nb bigint, first_size bigint, first_order {types[order_col]}")
+
+
 def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: str, max_tokens: int,
                   charge_after_flush: bool = True, block_width: int = DEFAULT_BLOCK_WIDTH) -> DataFrame:
     """``group, order, size, chunk_no``: chunk number (from 0 per group) of each item under next-fit packing
@@ -149,33 +176,18 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     An item starts a new chunk when the open chunk is non-empty and its size plus the item's exceeds the
     budget (strict); an item larger than the budget sits alone in its chunk. With ``charge_after_flush=False``
     the item that starts a chunk is not counted in that chunk's size (a quirk of the original commit packer,
-    where chunks can exceed the budget). ``order_col`` must be an integer key, unique within a group.
+    where chunks can exceed the budget). ``order_col`` must be unique within a group.
     """
-    max_tokens, w = int(max_tokens), int(block_width)
-    dtypes = dict((f.name, f.dataType.simpleString()) for f in items.schema.fields)
-    # narrow items, written once: both passes read them without recomputing sizes (tokenizing) upstream
-    base = materialize(items.select(
-        group_col, order_col, F.col(size_col).cast("bigint").alias(size_col),
-        F.floor(F.col(order_col) / F.lit(w)).cast("bigint").alias("_blk"),
-    ), "pack-items")
-    gtype, otype = dtypes[group_col], dtypes[order_col]
-    summary_schema = (f"`{group_col}` {gtype}, _blk bigint, lo bigint, hi bigint, linear int, exit_s bigint, "
-                      f"nb bigint, first_size bigint, first_order {otype}")
-    # a group within one block starts from state 0: its entry is known without summaries; only groups
-    # spanning several blocks (large ones) go through the summary and fold passes
-    nblk = base.groupBy(group_col).agg(F.min("_blk").alias("_b0"), F.max("_blk").alias("_b1")).select(
-        F.col(group_col).alias(group_col), "_b0", "_b1")  # fresh column ids: no ambiguity in the cogroup below
-    single = nblk.filter(F.col("_b0") == F.col("_b1")).select(
-        F.col(group_col).alias(group_col), F.col("_b0").alias("_blk"), F.lit(0).cast("bigint").alias("entry_s"),
-        F.lit(0).cast("bigint").alias("chunk_base"), F.lit(True).alias("first"))
-    multi = base.join(nblk.filter(F.col("_b0") != F.col("_b1")).select(group_col), group_col)
-    summaries = multi.groupBy(group_col, "_blk").applyInPandas(
-        _summarize(max_tokens, charge_after_flush, group_col, order_col, size_col), summary_schema)
-    folded = summaries.groupBy(group_col).applyInPandas(
+    max_tokens = int(max_tokens)
+    base = in_blocks(items.select(group_col, order_col, F.col(size_col).cast("bigint").alias(size_col)),
+                     group_col, order_col, int(block_width), "pack-items")
+    types = dict(base.dtypes)
+    gtype, otype = types[group_col], types[order_col]
+    summaries = block_summaries(base, group_col, order_col, size_col, max_tokens, charge_after_flush)
+    # a group that no block's edge shows lies within one block: it starts from the empty state, without an entry
+    entries = summaries.groupBy(group_col).applyInPandas(
         _fold_blocks(max_tokens, charge_after_flush, group_col),
         f"`{group_col}` {gtype}, _blk bigint, entry_s bigint, chunk_base bigint, first boolean")
-    entries = single.unionByName(folded)
-    # cogroup: the items side is partitioned exactly as in pass 1, so that exchange is reused
     assigned = base.groupBy(group_col, "_blk").cogroup(entries.groupBy(group_col, "_blk")).applyInPandas(
         _assign(max_tokens, charge_after_flush, group_col, order_col, size_col),
         f"`{group_col}` {gtype}, `{order_col}` {otype}, `{size_col}` bigint, chunk_no bigint")
@@ -183,47 +195,46 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     return materialize(assigned, "pack-chunks")
 
 
+def next_picks(it: DataFrame, prev: DataFrame | None, group_col: str, order_col: str, budget: int,
+               pick_no: int) -> DataFrame:
+    """One round of picks: the newest item of each group that is older than its last pick and fits what is left.
+
+    Items meet their group's state by (group, block): the state has one row for each block up to the last pick's, so
+    a hot group's items stay spread and only a partial maximum per task goes to the group."""
+    if prev is None:
+        cand = it.select("*", F.lit(0).cast("bigint").alias("_total"))
+    else:
+        state = prev.select(group_col, F.col(order_col).alias("_last"), F.col("_after").alias("_total"),
+                            F.explode(F.sequence("_b0", "_blk")).alias("_blk"))
+        cand = it.join(state, [group_col, "_blk"]).filter(
+            (F.col(order_col) < F.col("_last")) & (F.col("_cost") <= F.lit(budget) - F.col("_total")))
+    best = cand.groupBy(group_col).agg(F.max(F.struct(order_col, "_cost", "_total", "_blk")).alias("_p"),
+                                       F.min("_blk").alias("_b0"))
+    return best.select(group_col, F.col("_p")[order_col].alias(order_col), F.col("_p._cost").alias("_cost"),
+                       (F.col("_p._total") + F.col("_p._cost")).alias("_after"), F.col("_p._blk").alias("_blk"), "_b0",
+                       F.lit(pick_no).alias("pick_no"))
+
+
 def pick_examples(items: DataFrame, group_col: str, order_col: str, cost_col: str, budget: int,
-                  num_examples: int) -> DataFrame:
+                  num_examples: int, block_width: int = DEFAULT_BLOCK_WIDTH) -> DataFrame:
     """Newest-first example picking under a budget, skipping what does not fit, stopping at ``num_examples``.
 
     The r-th pick of a group is the newest item older than the (r-1)-th pick whose cost fits the budget left
     (items in between were skipped for a total that has not changed since). So each round is one grouped
     maximum over the items, with partial aggregation: at most ``num_examples`` rounds, each bounded per task,
-    however large a group is, stopping early when a round picks nothing. The narrow items are written once to
-    the checkpoint folder. Returns ``group, order, cost, pick_no`` (1 = newest pick).
+    however large a group is, stopping early when a round picks nothing. The narrow items and each round's picks are
+    written to the checkpoint folder. Returns ``group, order, cost, pick_no`` (1 = newest pick).
     """
-    budget, k = int(budget), int(num_examples)
-    it = materialize(items.select(group_col, order_col, F.col(cost_col).cast("bigint").alias("_cost")).filter(
-        F.col("_cost") <= budget), "pick-items")
-    news = []
-    prev = None  # last round's picks carry the running total: the state of the next round
-    for r in range(1, k + 1):
-        if prev is None:
-            cand = it.withColumn("_total", F.lit(0).cast("bigint"))
-        else:
-            state = prev.select(group_col, F.col(order_col).alias("_last"), F.col("_after").alias("_total"))
-            cand = it.join(state, group_col).filter(
-                (F.col(order_col) < F.col("_last")) & (F.col("_cost") <= F.lit(budget) - F.col("_total")))
-        best = cand.groupBy(group_col).agg(F.max(F.struct(F.col(order_col), F.col("_cost"), F.col("_total")))
-                                           .alias("_p"))
-        # a round's picks are at most one row per group: cached (recomputable from the written items if an
-        # executor is lost) and counted, one job per round; the count also tells when to stop
-        new = best.select(group_col, F.col("_p")[order_col].alias(order_col), F.col("_p._cost").alias("_cost"),
-                          (F.col("_p._total") + F.col("_p._cost")).alias("_after"), F.lit(r).alias("pick_no")).cache()
-        if new.count() == 0:  # no group picked: no later round can pick either
+    budget = int(budget)
+    it = in_blocks(items.select(group_col, order_col, F.col(cost_col).cast("bigint").alias("_cost")).filter(
+        F.col("_cost") <= budget), group_col, order_col, int(block_width), "pick-items")
+    picks = prev = None
+    for r in range(1, int(num_examples) + 1):
+        # a round's picks, at most one row per group, carry the running total: the state of the next round
+        prev = materialize(next_picks(it, prev, group_col, order_col, budget, r), "picks")
+        if prev.isEmpty():  # no group picked: no later round can pick either
             break
-        news.append(new)
-        prev = new
-    picks = None
-    for t in news:
-        picks = t if picks is None else picks.unionByName(t)
-    if picks is not None:
-        # write the picks once (at most k rows per group), then release the per-round caches
-        picks = materialize(picks.select(group_col, order_col, "_cost", "pick_no"), "picks")
-        for t in news:
-            t.unpersist()
+        picks = prev if picks is None else picks.unionByName(prev)
     if picks is None:  # num_examples = 0, or nothing fits: no example
-        return it.filter(F.lit(False)).select(group_col, order_col, F.col("_cost").alias(cost_col),
-                                              F.lit(0).alias("pick_no"))
+        picks = it.filter(F.lit(False)).withColumn("pick_no", F.lit(0))
     return picks.select(group_col, order_col, F.col("_cost").alias(cost_col), F.col("pick_no").cast("int"))
