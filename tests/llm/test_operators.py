@@ -217,6 +217,30 @@ def test_flight_keeps_totals():
     np.testing.assert_allclose(q @ x, p @ x, rtol=1e-6)
 
 
+def test_mixing_long_document_beside_a_hot_source(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join("w" * int(n)), "hot") for i, n in enumerate(rng.integers(1, 40, 6000))]
+    rows += [(10_000 + i, " ".join("w" * int(n)), s) for s in ("b", "c") for i, n in
+             enumerate(rng.integers(100, 300, 500))]
+    rows += [(20_000, "w " * 100_000, "b")]
+    df = frame(spark, rows, "doc_id long, text string, source string")
+    for weights in ((3, 1, 2), (1, 1, 1)):
+        by = {}
+        for r in mixing.mix(df, carry=["doc_id", "source"], weights=weights, block=64).collect():
+            assert 0 <= r.copies <= 2
+            t = by.setdefault(r.source, [0, r.target])
+            t[0] += r.copies * r.size
+        assert all(abs(taken - target) <= 20 for taken, target in by.values()), by
+
+
+def test_settled_documents_keep_their_rate():
+    size = np.array([500.0, 300.0])
+    got = np.array([mixing.settle(size, 3000.0, 2100.0, 2.0, np.random.default_rng(k)) for k in range(4000)])
+    np.testing.assert_allclose(got.mean(axis=0), 0.7, atol=0.04)
+    assert mixing.settle(np.array([900.0]), 1000.0, 500.0, 2.0, np.random.default_rng(0)) in ([0], [1])
+    assert mixing.settle(np.array([100.0]), 1000.0, 2000.0, 2.0, np.random.default_rng(0)) == [2]
+
+
 # ------------------------------------------------------------------ quality
 def test_quality_features_match_plain_python(spark):
     rng = np.random.default_rng(8)

@@ -5,13 +5,19 @@ No target is above ``max_copies`` times its source's words; what is cut off is s
 is above. Each document of a source then has the same expected number of copies, target / source words: the whole
 part is taken for certain, the fraction is its inclusion probability.
 
+Long documents come first: those with ``1 / LONG`` or more of their source's words and four times its mean length
+(fewer than ``LONG`` a source). They are settled one by one, longest first, each by a draw of its own; after each, the
+source's other documents get the ratio that the words still wanted ask for, so many short ones make up for it. A
+draw that would put this ratio below 0 or above ``max_copies`` gives way to the other choice if that one misses the
+target by less; but for this, every document keeps its expected number of copies.
+
 The cube method turns the fractions into 0 or 1. Within a block of documents of one source, the vector of
 probabilities moves along the null space of the balancing constraints (document count, words), so both totals stay
 exactly as expected, until a probability reaches 0 or 1; then the next document enters. A block ends with at most as
 many undecided documents as there are constraints. These go on to the next level, in blocks again, until one block
-per source is left. Its undecided documents, and a dozen set aside before that flight, are the landing problem: of all
-0/1 choices the one with the totals nearest to what was expected. The dozen let the choice make up for one long
-undecided document. Blocks are dealt by a hash of the document, so a hot source is many tasks, and random numbers
+of the source is left, whatever the other sources need; the first block of each earlier level sets a dozen documents
+aside that go on undecided too. The last block's undecided documents, and a dozen set aside before that flight, are the
+landing problem: of all 0/1 choices the one with the totals nearest to what was expected. Blocks are dealt by a hash of the document, so a hot source is many tasks, and random numbers
 are seeded by source, level and block, so reruns agree.
 
 Nulls: a null text has size 0 and takes nothing; a null source is a source of its own, sorted last; a null doc_id is
@@ -103,6 +109,8 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 #: documents set aside for the landing besides those the flight leaves undecided
 RESERVE = 12
+#: a document with this part of its source's words or more is settled before the flight
+LONG = 64
 
 
 def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -120,23 +128,56 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.rint(out)
 
 
-def _decide(pdf: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
+def settle(size: np.ndarray, words: float, target: float, max_copies: float, rng: np.random.Generator) -> list[int]:
+    """Copies of a source's long documents, in the order given; the rest of its ``words`` makes up for each."""
+    out = []
+    for n in size.tolist():
+        ratio = target / words
+        low = int(np.floor(ratio + EPS))
+        pick = [low + 1, low] if rng.random() < ratio - low else [low, low + 1]
+        words -= n
+        miss = [max(c * n - target, target - c * n - max_copies * words, 0.0) for c in pick]
+        # whole copies leave no choice
+        c = pick[0] if miss[0] <= miss[1] + EPS * n or abs(ratio - low) <= EPS else pick[1]
+        out.append(c)
+        target = min(max(target - c * n, 0.0), max_copies * words)
+    return out
+
+
+def _settler(max_copies: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "h", "uid"], ascending=[False, True, True], kind="stable")
+        rng = np.random.default_rng(zlib.crc32(f"{pdf['source'].iloc[0]}|long".encode()))
+        copies = settle(pdf["size"].to_numpy(np.float64), float(pdf["source_size"].iloc[0]),
+                        float(pdf["target"].iloc[0]), max_copies, rng)
+        return pdf[["uid", "size", "source"]].assign(copies=copies)
+
+    return run
+
+
+def _decide(pdf: pd.DataFrame, level: int, block: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["h", "size", "uid"], kind="stable")
     p, x = pdf["p"].to_numpy(np.float64), np.stack([np.ones(len(pdf)), pdf["size"].to_numpy(np.float64)], axis=1)
     seed = zlib.crc32(f"{pdf['source'].iloc[0]}|{level}|{pdf['blk'].iloc[0]}".encode())
     rng = np.random.default_rng(seed)
-    if not last:
-        return pdf.assign(p=flight(p, x, rng))
-    aside = np.flatnonzero((p > EPS) & (p < 1 - EPS))[-RESERVE:]
+    last = pdf["n"].iloc[0] <= block
+    reserve = RESERVE if last else _reserve(block) if pdf["blk"].iloc[0] == 0 else 0
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    aside = open_[max(len(open_) - reserve, 0):]
     flown = p.copy()
     flown[aside] = 0.0
     flown = flight(flown, x, rng)
     flown[aside] = p[aside]
-    return pdf.assign(p=landing(flown, x))
+    return pdf.assign(p=landing(flown, x) if last else flown)
+
+
+def _reserve(block: int) -> int:
+    """Documents that a source's first block sets aside before its last level; few enough that levels shrink."""
+    return min(RESERVE, block // 4)
 
 
-def _decider(level: int, last: bool):
-    return lambda pdf: _decide(pdf, level, last)
+def _decider(level: int, block: int):
+    return lambda pdf: _decide(pdf, level, block)
 
 
 def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[float] = (3, 1, 2),
@@ -148,32 +189,45 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[f
                                     F.xxhash64("doc_id").alias("_h"), F.col("source").alias("_source"), *carry), "sized")
     base = sized.select(F.col("_uid").alias("uid"), F.col("_size").alias("size"), F.col("_h").alias("h"),
                         F.col("_source").alias("source"))
-    targets = write_table(source_targets(base, weights, budget, max_copies).withColumn(
-        "ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
-    per = targets.select(F.col("source").alias("s2"), "ratio", "n_docs")
+    targets = write_table(source_targets(base, weights, budget, max_copies), "targets")
+    per = targets.select(F.col("source").alias("s2"), "source_size", "target", "n_docs")
+    is_long = (F.col("size") * LONG >= F.col("source_size")) & (F.col("size") * F.col("n_docs") >= 4 * F.col("source_size"))
+    # fewer than LONG rows a source
+    settled = write_table(
+        base.where("size > 0").join(per, base["source"].eqNullSafe(F.col("s2"))).where(is_long)
+        .select("uid", "size", "h", "source", "source_size", "target").groupBy("source")
+        .applyInPandas(_settler(max_copies), "uid long, size long, source string, copies int"), "settled")
+    gone = settled.groupBy(F.col("source").alias("s3")).agg(
+        F.sum("size").alias("gone"), F.sum(F.col("size") * F.col("copies")).alias("taken"))
+    rest = F.col("source_size") - F.col("gone")
+    per = per.join(gone, F.col("s2").eqNullSafe(F.col("s3")), "left").select(
+        "s2", "n_docs", "source_size", F.when(F.col("gone").isNull(), F.when(
+            F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).when(rest > 0, F.least(
+                F.greatest((F.col("target") - F.col("taken")) / rest, F.lit(0.0)), F.lit(float(max_copies))))
+        .otherwise(0.0).alias("ratio"))
     # rows that are alike in id, size and source are dealt by row number too, all others by their content alone
     alike = base.where("size > 0").groupBy("h", "size").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = base.where("size > 0").join(alike, ["h", "size"], "left").withColumn(
         "salt", F.when(F.col("c") > 1, F.col("uid")).otherwise(0)).drop("c")
-    todo = rows.join(per, rows["source"].eqNullSafe(F.col("s2"))).select(
+    todo = rows.join(per, rows["source"].eqNullSafe(F.col("s2"))).where(~is_long).select(
         "uid", "size", "h", "source", "salt", F.floor("ratio").cast("int").alias("whole"),
         (F.col("ratio") - F.floor("ratio")).alias("p"), F.col("n_docs").alias("n"))
     schema = "uid long, size long, h long, source string, salt long, whole int, p double, n long, blk long"
-    done, level = [], 0
+    done, level = [settled.select("uid", "copies")], 0
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     while True:
-        last = most <= block
         blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
         dealt = todo.withColumn("blk", F.pmod(F.xxhash64("h", "size", "salt", F.lit(level)), blocks))
-        decided = write_table(dealt.groupBy("source", "blk").applyInPandas(_decider(level, last), schema),
+        decided = write_table(dealt.groupBy("source", "blk").applyInPandas(_decider(level, block), schema),
                               f"flight{level}")
         open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(decided.where(~open_).select("uid", (F.col("whole") + F.rint("p").cast("int")).alias("copies")))
-        if last:
+        if most <= block:
             break
-        # at most two undecided documents a block go on
-        todo = decided.where(open_).withColumn("n", 2 * F.ceil(F.col("n") / F.lit(block)).cast("long")).drop("blk")
-        most, level = 2 * -(-most // block), level + 1
+        # at most two undecided documents a block and the reserve go on
+        todo = decided.where(open_).withColumn(
+            "n", 2 * F.ceil(F.col("n") / F.lit(block)).cast("long") + _reserve(block)).drop("blk")
+        most, level = 2 * -(-most // block) + _reserve(block), level + 1
     copies = done[0]
     for more in done[1:]:
         copies = copies.unionByName(more)
