@@ -1,6 +1,7 @@
 """Small-table tests of the training-data operators: brute force, round trips, nulls, empties, ties, repeated rows."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -318,6 +319,30 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_files_in_standard_form(spark):
+    full = {i: t for i, t in license_scan.KNOWN if t.startswith("Permission")}
+    titles = {"MIT": ["", "MIT License\n\n", "The MIT License (MIT)\r\n\r\n", "  The MIT Licence\n"],
+              "ISC": ["", "ISC License\n\n", "The ISC License\n\n"]}
+    notices = ["", "Copyright (c) 2020 Some One\n\n", "Copyright 2019-2021, A\nAll rights reserved.\n\n", "© A Company\n",
+               "(c) 2020 B\n", "Copyright (c) <year> <holder>\n", "Copyright <year> <holder>\n"]
+    rows = []
+    for lic, text in full.items():
+        wrapped = [textwrap.fill(text, n) for n in (30, 55, 72, 79)]
+        # a line break before every "copyright"
+        wrapped.append(re.sub("(?i) (copyright)", r"\n\1", text))
+        for title in titles[lic]:
+            rows += [(lic, title + n + w) for n in notices for w in wrapped] + [(lic, notices[1] + title + wrapped[0])]
+    rows += [(None, full["MIT"].replace("The above copyright notice", "The above")), (None, "MIT License"),
+             (None, "MIT License\n"), (None, "(c) You must keep this.\n" + full["MIT"]),
+             (None, "Copyright law applies.\n" + full["ISC"])]
+    df = frame(spark, [(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: lic for i, (lic, _) in enumerate(rows)}
+    known = frame(spark, [("X", "MIT License")], "license_id string, text string")
+    lines = license_scan.scan_licenses(frame(spark, [(1, "a\nMIT License\nb")], "doc_id long, text string"), known)
+    assert [x.line for x in lines.first().notices] == [2]
+
+
 def test_preferences(spark):
     rows = [(1, s, 0, "user", "Hi") for s in ("chosen", "rejected")]
     rows += [(1, "chosen", 1, "assistant", "Good"), (1, "rejected", 1, "assistant", "Bad one"),

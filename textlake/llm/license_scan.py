@@ -1,6 +1,9 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is normalised: lower case, copyright lines removed, equivalent spellings mapped to one form, everything but
+A text is normalised: lower case, copyright notices removed (lines that
+begin with "copyright" or "(c)" followed by a year, a place for one or a (c) sign, with "©", or are "all rights
+reserved"; other lines that begin with "copyright" are text), a title line of the known whole texts before further
+lines dropped, equivalent spellings mapped to one form, everything but
 letters and digits turned into single spaces. The SHA-256 of what is left is hash-joined to the digests of known
 licence texts and notices. Units looked up per document: the whole text, and every line as a whole (a notice inside
 other text is a unit of its own). Equality of digests is equality of entire normalised units, never of a prefix.
@@ -66,12 +69,16 @@ SPELLINGS = [
     ("while", "whilst"), ("wilful", "willful"), ("analogue", "analog"), ("v", "version"),
 ]
 
-_COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©).*$"
+_YEAR = r"(?:\d{4}\b|[<\[{(]*(?:yyyy|years?)\b)"
+_COPYRIGHT = (r"(?m)^[ \t]*(?:©|copyright[ \t:,]*(?:\(c\)|©|" + _YEAR + r")|\(c\)[ \t]*(?:copyright\b|©|" + _YEAR + r"))"
+              r".*$|^[ \t]*all rights reserved[ \t.!]*$")
+_TITLE = r"\A\s*(?:the )?(?:mit|expat|isc) licen[sc]e(?: \((?:mit|expat|isc)\))?[ \t:.]*(?:\r\n|\n|\r)(?=\s*\S)"
 
 
 def normalise(text: Column) -> Column:
-    """Canonical form of a unit: see the module text. Empty when nothing but copyright lines or punctuation is left."""
+    """Canonical form of a unit: see the module text. Empty when nothing but copyright notices or punctuation is left."""
     t = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    t = F.regexp_replace(t, _TITLE, " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
     for a, b in SPELLINGS:
