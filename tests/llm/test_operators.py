@@ -286,6 +286,30 @@ def test_main_text(spark):
     assert got[1:4] == [(2, "", 0), (3, "", 0), (3, "", 0)] and got[4][1] == "Only text here."
 
 
+def test_article_text_is_not_lost_to_unclosed_elements_or_slugs():
+    para = "A sentence of the article, long enough to be read as such. " * 8
+    text = para.strip()
+    embedded = ("button", "select", "svg", "object", "noscript", "video", "audio", "canvas", "map", "template")
+    for tag in embedded:
+        for page in (f"<body><article><p>{para}</p><div><{tag}>Share</div><p>Last. {para}</p></article>",
+                     f"<body><div><{tag}>Share</div><article><p>{para}</p><p>Last. {para}</p></article><{tag}>x</{tag}>",
+                     f"<body><article><p>{para}</p><{tag}>a<{tag}>b</{tag}>c</{tag}><p>Last. {para}</p></article>"):
+            got = html_main.main_text(page)
+            assert text in got and f"Last. {text}" in got, page[:60]
+        assert "Share" not in html_main.main_text(f"<article><p>{para}</p><{tag}>Share</{tag}></article>")
+    for tag in ("button", "svg", "video"):
+        assert text in html_main.main_text(f"<body><{tag}>Menu<article><p>{para}</p></article><{tag}>x</{tag}>")
+    for names in ('id="related-work"', 'id="social-impact"', 'id="notice"', 'class="social-impact"'):
+        assert text in html_main.main_text(f"<article><p>{para}</p><section {names}><p>Here. {para}</p></section></article>"
+                                           ).split("Here. ")[-1], names
+        assert "Here. " in html_main.main_text(
+            f"<article><p>{para}</p><section {names}><p>Here. {para}</p></section></article>"), names
+    for names in ('class="related"', 'class="share-buttons"', 'id="comments"'):
+        assert "Tweet" not in html_main.main_text(f"<article><p>{para}</p><div {names}>Tweet this</div></article>"), names
+    assert html_main.main_text(f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be. {para}</p></article>"
+                               ).startswith("Let x=1 be. ")
+
+
 def test_min_cut_matches_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(30):

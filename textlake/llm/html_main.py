@@ -1,7 +1,9 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 1. A page is scanned into blocks: runs of text between block-level tags, with the open elements around them. Scripts,
-   styles, comments, templates and other raw-text elements are skipped whole; unclosed ``p`` and ``li`` elements end
+   styles, comments and other raw-text elements are skipped whole. Embedded elements (buttons, pictures, players,
+   templates) are nodes whose text is not read: one that is not closed ends with its parent, at an article, main,
+   section or heading (where it cannot hold one), or is ignored where no end tag of its kind follows. Unclosed ``p`` and ``li`` elements end
    where HTML says they do. Character references are decoded, white space inside a block becomes one blank.
 2. A classifier gives every block a cost for being labelled content and one for boilerplate, from its enclosing
    elements (semantic tags, class and id words, roles), link density, length and punctuation. The costs are the
@@ -30,12 +32,19 @@ from pyspark.sql import DataFrame
 from textlake.llm.common import prepare
 
 # Element groups of HTML.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "button",
-       "title", "noframes", "noembed", "canvas", "audio", "video", "map", "head"}
+RAW = {"script", "style", "textarea", "iframe", "title", "noframes", "noembed"}
+EMBEDDED = {"noscript", "template", "svg", "object", "select", "button", "canvas", "audio", "video", "map",
+            "annotation", "annotation-xml"}
+#: a start tag of these ends an open embedded element, unless it is one of the second group, which may hold them
+ENDS_EMBEDDED = {"article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6"}
+HOLDS_FLOW = {"noscript", "template", "object", "foreignobject"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub",
-          "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
+          "sup", "time", "tt", "u", "var", "wbr", "img", "br",
+          "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup",
+          "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "mstyle",
+          "mpadded", "mphantom", "menclose", "merror"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
             "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol",
             "p", "pre", "section", "table", "ul"}
@@ -57,28 +66,45 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: weight of a smoothness edge between blocks at DOM distance 1, its fall-off, and the cost of a certain ancestor
 SMOOTH, FALL, CERTAIN = 0.6, 0.5, 8.0
+#: what a boilerplate word weighs inside an article where it is only part of a class token, or a whole id
+DOUBT = 11.0
+
+
+def boiler_weight(classes: str, ident: str, story: bool) -> float:
+    """Weight of the boilerplate words in an element's class and id.
+
+    Inside an article only a whole class token is certain; a part of one, or an id that is the word, can be outvoted
+    by length and punctuation, and a word inside a longer id (a heading's slug) says nothing.
+    """
+    if not (BOILER_WORDS.search(classes) or BOILER_WORDS.search(ident)):
+        return 0.0
+    if not story or any(BOILER_WORDS.fullmatch(c) for c in classes.split()):
+        return 2 * CERTAIN
+    return DOUBT if BOILER_WORDS.search(classes) or BOILER_WORDS.fullmatch(ident) else 0.0
 
 
 class Node:
     """An open element: tag, parent, depth and its summed verdict (positive: content)."""
 
-    __slots__ = ("tag", "up", "depth", "lean", "story", "link")
+    __slots__ = ("tag", "up", "depth", "lean", "story", "link", "embedded")
 
     def __init__(self, tag: str, up: Node | None, attrs: str = ""):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         self.lean, self.story = (up.lean, up.story) if up else (0.0, False)
         self.link = bool(up and up.link) or tag == "a"
-        got, names, hidden = {}, "", False
+        self.embedded = bool(up and up.embedded) or tag in EMBEDDED
+        got, names, hidden, words = {}, "", False, 0.0
         if attrs:
             got = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTR.findall(attrs)} if "=" in attrs else {}
             names = f"{got.get('class', '')} {got.get('id', '')}".strip()
+            if names and tag not in ("body", "html", "article", "main"):
+                words = boiler_weight(got.get("class", ""), got.get("id", "").strip(), self.story)
             hidden = ("hidden" in attrs.lower().split() or got.get("aria-hidden") == "true"
                       or "display:none" in got.get("style", "").replace(" ", "").lower())
         boiler = (tag in BOILER_TAGS or got.get("role") in BOILER_ROLES or hidden
-                  or tag == "header" and not self.story
-                  or bool(names and BOILER_WORDS.search(names) and tag not in ("body", "html", "article", "main")))
-        if boiler:
-            self.lean -= 2 * CERTAIN
+                  or tag == "header" and not self.story)
+        if boiler or words:
+            self.lean -= 2 * CERTAIN if boiler else words
         elif tag in CONTENT_TAGS or got.get("role") in ("main", "article"):
             # an article inside boilerplate (a teaser in a sidebar, a comment) does not win over it
             self.lean, self.story = self.lean + (CERTAIN if self.lean >= 0 and not self.story else 0.0), True
@@ -100,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def text(upto: int) -> None:
         nonlocal links
-        if upto > at:
+        if upto > at and not node.embedded:
             raw = page[at:upto]
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
@@ -139,6 +165,24 @@ def blocks_of(page: str) -> list[Block]:
             n = n.up
         return None
 
+    lower, ends = page.lower(), {}
+
+    def closed(tag: str) -> bool:
+        """Whether an end tag of this kind follows."""
+        if tag not in ends:
+            ends[tag] = max((e.start() for e in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", lower)), default=-1)
+        return ends[tag] >= pos
+
+    def end_embedded() -> None:
+        """Ends the open embedded elements that cannot hold a section or heading."""
+        nonlocal node
+        n, top = node, None
+        while n.embedded and n.tag not in HOLDS_FLOW:
+            top = n if n.tag in EMBEDDED else top
+            n = n.up
+        if top is not None and not n.embedded:
+            node = top.up
+
     pos = 0
     while (m := TOKEN.search(page, pos)) is not None:
         text(m.start())
@@ -147,6 +191,35 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in EMBEDDED:
+            # phrasing elements do not end the block they stand in
+            if tag not in ("button", "select", "svg", "annotation", "annotation-xml"):
+                flush()
+            if m[1]:
+                close(tag)
+            elif not m[3].rstrip().endswith("/") and closed(tag):
+                node = Node(tag, node, m[3])
+            continue
+        if node.embedded:
+            if m[1]:
+                n = node
+                while n.embedded and n.tag != tag:
+                    n = n.up
+                if n.embedded:
+                    node = n.up
+                    continue
+                # an end tag of an element around the embedded one ends both
+                while n.up and n.tag != tag:
+                    n = n.up
+                if not n.up:
+                    continue
+            else:
+                if tag in ENDS_EMBEDDED:
+                    end_embedded()
+                if node.embedded and tag not in RAW:
+                    if tag not in VOID and not m[3].rstrip().endswith("/"):
+                        node = Node(tag, node, "")
+                    continue
         if m[1]:
             if tag == "p" and inside({"p"}, {"article", "body", "div", "section", "td"}) is None:
                 flush()
@@ -160,12 +233,13 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag == "head":
+            flush()
+            continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
-            if tag != "head":
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos)
-                at = pos = stop.end()
-            if tag not in INLINE and tag not in ("button", "select"):
-                flush()
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos)
+            at = pos = stop.end()
+            flush()
             continue
         if tag in VOID:
             if tag == "hr":
