@@ -431,3 +431,39 @@ def test_toxicity_learns_a_stem(spark):
     assert got[1000] == got[1001] == 0.0
     assert toxicity.train(d, y.where("toxic = 1")) == 1.0
     assert toxicity.score_documents(d.limit(0), net).count() == 0
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    rng = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(240):
+        w = [f"{rng.choice(['ba', 'de', 'lo'])}{rng.choice(['na', 'ti', 'ru'])}{rng.integers(9)}"
+             for _ in range(1200 if i % 2 or i % 3 == 0 else 40)]
+        if i % 2:  # toxic documents are all above 4,000 characters, in many of their windows
+            for k in range(5, len(w), 30):
+                w[k] = f"zork{rng.integers(1000)}"
+        docs.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    d, y = frame(spark, docs, "doc_id long, text string"), frame(spark, labels, "doc_id long, toxic int")
+    net = toxicity.train(d, y, learn_from=F.col("doc_id") % 5 != 0)
+    assert isinstance(net, toxicity.Net) and net.bend <= 0
+    got = {r.doc_id: r.score for r in toxicity.score_documents(d, net).collect()}
+    for long in (True, False):
+        right = [(got[i] >= 0.5) == bool(i % 2) for i in range(0, 240, 5) if (len(docs[i][1]) > 4000) == long]
+        assert np.mean(right) > 0.9
+
+
+def test_windows_of_toxicity():
+    for n in (1, 47, 48, 49, 71, 72, 73, 96, 97, 1000):
+        starts = toxicity.window_starts(n)
+        assert toxicity.window_count(n) == len(starts)
+        assert all(b - a <= toxicity.WINDOW // 2 for a, b in zip(starts, starts[1:]))
+    text = b" ".join(b"w%d" % k for k in range(5000))
+    parts = toxicity.spread_parts(text, 8)
+    assert len(parts) == 8 and all(len(p.split()) == toxicity.WINDOW for p in parts)
+    assert parts[0].startswith(b"w0 ") and parts[-1].endswith(b"w4999")
+    best, count = np.zeros(400), np.repeat([1.0, 100.0], 200)
+    y = np.r_[np.ones(150), np.zeros(50), np.zeros(150), np.ones(50)]
+    slope, bend, shift = toxicity.calibrate(best, count, y, np.ones(400))
+    assert bend < -0.2 and slope > 0
+    assert toxicity.calibrate(best, count, 1 - y, np.ones(400))[1] == 0.0

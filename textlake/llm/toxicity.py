@@ -5,14 +5,17 @@
 * Character side: a bidirectional GRU reads a word's characters; its two last states and a hashed word embedding are
   the word's input vector. It depends on the word alone, so a task computes it once per distinct word.
 * Word side: a bidirectional GRU reads windows of ``WINDOW`` words, one every ``STRIDE`` words and one at the text's
-  end; neighbours overlap by a quarter, so every word lies in at least one window. Attention pools a window's states to one logit.
+  end; neighbours overlap by half, so every word lies in at least one window. Attention pools a window's states to one logit.
 * A document's logit is its highest window's. Training sees the same: the window that scores highest stands for the
   document (multiple-instance learning), short toxic documents first, as their label has few windows to mean.
-* A two-parameter logistic calibration at the true class shares maps the highest logit to the score.
+* A logistic calibration at the true class shares maps the highest logit and the logarithm of the number of windows to
+  the score: a long document has more chances of a high window. More windows never raise a score.
 
-Training takes a bounded sample of labelled rows: at most ``max_toxic`` and ``max_clean`` documents in the order of a
-hash of their id, none longer than ``max_chars``. It runs on the driver in numpy, single-threaded. Scoring covers
-every window of every text, in Arrow batches.
+Training takes a bounded sample of labelled rows: at most ``max_toxic`` and ``max_clean`` documents of any length in
+the order of a hash of their id. It learns from all windows of a document that has at most ``max_windows``, and from so
+many windows spread evenly over a longer one (cut in the tasks), on the driver in numpy, single-threaded. The
+calibration scores every window of the sampled documents, in tasks. Scoring covers every window of every text, in Arrow
+batches.
 
 Nulls and empty texts score 0. Rows whose label is null or whose id is null are not learned from; an id labelled
 twice counts as toxic if one label says so. Without any toxic or any clean label every score is the share of toxic
@@ -30,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlake.llm.common import WORD_GAP, prepare
+from textlake.llm.common import WORD_GAP, prepare, write_table
 
-WINDOW, STRIDE, PIECE = 48, 36, 24
+WINDOW, STRIDE, PIECE = 48, 24, 24
 CHAR_DIM, CHAR_H, WORD_DIM, WORD_H, BUCKETS = 8, 8, 8, 8, 1 << 14
 #: distinct words whose input projections a worker remembers before it starts afresh
 WORD_CACHE = 400_000
@@ -126,6 +129,20 @@ def window_starts(n: int) -> list[int]:
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
+def window_count(n: int) -> int:
+    return 1 if n <= WINDOW else 1 + -(-(n - WINDOW) // STRIDE)
+
+
+def spread_parts(text: bytes | None, most: int) -> list[bytes]:
+    """The whole text where it has at most ``most`` windows, else so many of them, evenly spread."""
+    words = text_words(text)
+    starts = window_starts(len(words))
+    if len(starts) <= most:
+        return [b" ".join(words)]
+    at = np.linspace(0, len(starts) - 1, most).round().astype(int).tolist()
+    return [b" ".join(words[starts[k]:starts[k] + WINDOW]) for k in at]
+
+
 class Net:
     """Parameters and the two halves of the network. ``float32`` throughout."""
 
@@ -144,7 +161,7 @@ class Net:
                        f"ch{side}": init(3, CHAR_H, CHAR_H, scale=CHAR_H**-0.5),
                        f"wx{side}": init(x, 3 * WORD_H), f"wb{side}": np.zeros(3 * WORD_H, np.float32),
                        f"wh{side}": init(3, WORD_H, WORD_H, scale=WORD_H**-0.5)}
-        self.slope, self.shift = 1.0, 0.0
+        self.slope, self.bend, self.shift = 1.0, 0.0, 0.0
 
     # words -> vectors ----------------------------------------------------------------------------------------
     def chars(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +225,8 @@ class Net:
             tape |= {"f": f_notes, "b": b_notes, "s": s, "k": k, "att": att, "pooled": pooled}
         return (pooled @ self.p["o"])[:, 0] + self.p["b"][0]
 
-    def score(self, best: np.ndarray) -> np.ndarray:
-        return _sig(self.slope * best.astype(np.float64) + self.shift)
+    def score(self, best: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return _sig(self.slope * best.astype(np.float64) + self.bend * np.log(count) + self.shift)
 
 
 class Numbers(dict):
@@ -225,12 +242,16 @@ class Numbers(dict):
         return n
 
 
-def window_scores(net: Net, table: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(logit, document number) of every window of every non-empty document; ``rows`` are its words' table rows."""
+def window_scores(net: Net, table: np.ndarray, rows: list[np.ndarray],
+                  starts_of: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, document number) of every window of every non-empty document; ``rows`` are its words' table rows.
+
+    ``starts_of``: where the documents' windows start, if not where their lengths say.
+    """
     full, whose, short = [], [], []
     for d, r in enumerate(rows):
         if len(r) >= WINDOW:
-            starts = np.array(window_starts(len(r)))
+            starts = np.array(starts_of[d] if starts_of is not None else window_starts(len(r)))
             full.append(r[starts[:, None] + np.arange(WINDOW)])
             whose.append(np.full(len(starts), d))
         elif len(r):
@@ -365,24 +386,32 @@ def gradients(net: Net, vocabulary: list[bytes], windows: list[np.ndarray], y: n
     return g
 
 
-def calibrate(best: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of labels on highest logits by Newton steps, with a small ridge on the slope."""
-    a, b = 1.0, 0.0
-    for _ in range(30):
-        q = _sig(a * best + b)
-        r, h = (q - y) * weight, np.maximum(q * (1 - q), 1e-6) * weight
-        ga, gb = (r * best).sum() + 0.1 * (a - 1), r.sum()
-        haa, hab, hbb = (h * best * best).sum() + 0.1, (h * best).sum(), h.sum() + 1e-6
-        det = haa * hbb - hab * hab
-        a, b = a - np.clip((hbb * ga - hab * gb) / det, -1, 1), b - np.clip((haa * gb - hab * ga) / det, -1, 1)
-    return float(max(a, 0.05)), float(b)
-
+def calibrate(best: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Logistic fit of labels on highest logits and log window counts, with a small ridge on both slopes.
 
-def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 7, batch: int = 64,
-        rate: float = 0.01, seed: int = 7) -> Net:
-    """Train on documents (bytes) and 0/1 labels; ``toxic_share`` is the share of toxic labels in the whole table."""
+    Newton steps. The slope of the count is never positive: if it were, the fit is on the logits alone.
+    """
+    x = np.stack([best, np.log(count), np.ones(len(best))], axis=1)
+    ridge, middle = np.array([0.1, 1.0, 1e-6]), np.array([1.0, 0.0, 0.0])
+    for use in (np.array([0, 1, 2]), np.array([0, 2])):
+        b = middle.copy()
+        for _ in range(30):
+            q = _sig(x @ b)
+            grad = x.T @ ((q - y) * weight) + ridge * (b - middle)
+            hess = (x * (np.maximum(q * (1 - q), 1e-6) * weight)[:, None]).T @ x + np.diag(ridge)
+            b[use] -= np.clip(np.linalg.solve(hess[np.ix_(use, use)], grad[use]), -1, 1)
+        if b[1] <= 0:
+            break
+    return float(max(b[0], 0.05)), float(b[1]), float(b[2])
+
+
+def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 7, batch: int = 64, rate: float = 0.01,
+        seed: int = 7) -> Net:
+    """Train on documents, given as their parts (see ``spread_parts``), and 0/1 labels. Not calibrated."""
     rng, net = np.random.default_rng(seed), Net(seed)
-    docs = [text_words(t) for t in texts]
+    docs = [[w for part in t for w in text_words(part)] for t in texts]
+    # parts of a long document are one window each
+    spread = [len(t) > 1 for t, d in zip(texts, docs, strict=True) if d]
     keep = np.array([len(d) > 0 for d in docs], bool)
     docs, y = [d for d, k in zip(docs, keep, strict=True) if k], y[keep].astype(np.float64)
     # small samples get smaller batches and more epochs, so that the number of steps is about the same
@@ -391,13 +420,13 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 7,
     adam, numbers = Adam(net.p, rate), Numbers()
     rows = [np.fromiter(map(numbers.__getitem__, d), np.int32, len(d)) for d in docs]
     vocabulary = list(numbers)
-    starts = [window_starts(len(d)) for d in docs]
+    starts = [list(range(0, len(d), WINDOW)) if s else window_starts(len(d)) for d, s in zip(docs, spread, strict=True)]
     few = np.array([len(s) for s in starts])
     for epoch in range(epochs):
         adam.rate = rate * (1.0 if epoch < epochs - 2 else 0.3 if epoch < epochs - 1 else 0.1)
         top, second = rng.integers(0, few), rng.integers(0, few)
         if epoch:
-            logit, whose = window_scores(net, net.project(vocabulary), rows)
+            logit, whose = window_scores(net, net.project(vocabulary), rows, starts)
             # windows of one document come in the order of their starts
             order = np.argsort(whose, kind="stable")
             edges = np.searchsorted(whose[order], np.arange(len(docs) + 1)).tolist()
@@ -417,24 +446,39 @@ def fit(texts: list[bytes], y: np.ndarray, toxic_share: float, epochs: int = 7,
             yy = np.array([c[1] for c in cut])
             weight = np.where(yy == 1, share, 1.0) / len(cut)
             adam.step(gradients(net, vocabulary, [c[0] for c in cut], yy, weight))
-    best = Scorer(net).best(docs)
-    weight = np.where(y == 1, toxic_share / max(y.mean(), 1e-9), (1 - toxic_share) / max(1 - y.mean(), 1e-9))
-    net.slope, net.shift = calibrate(best, y, weight)
     return net
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [spread_parts(t, most) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))],
+                                         ["doc_id", "y", "parts"])
+
+
+def _peaks(batches: Iterator[pa.RecordBatch], net: Net) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(net)
+    for batch in batches:
+        docs = [text_words(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(scorer.best(docs)),
+             pa.array([window_count(len(d)) for d in docs], pa.int64())], ["doc_id", "y", "best", "count"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int = 3000, max_clean: int = 4500,
-          max_chars: int = 4_000, learn_from=None) -> Net | float:
+          max_windows: int = 32, learn_from=None) -> Net | float:
     """Fit on a bounded sample of ``docs (doc_id, text)`` with ``labels (doc_id, label)``; see the module text.
 
     ``learn_from``: a condition on ``doc_id`` for rows that may be learned from. Returns the constant share of toxic
     labels where one class is missing.
     """
+    prepare(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col(label)).cast("int").alias("y"))
     known = known if learn_from is None else known.where(learn_from)
-    # lengths first (no text leaves its task), then the few chosen texts
-    sized = docs.where(F.length("text").between(1, max_chars)).select("doc_id").join(known, "doc_id")
+    # ids first (no text leaves its task), then the few chosen texts
+    full = docs.where(~_blank(F.col("text")))
+    sized = full.select("doc_id").join(known, "doc_id")
     count = {int(r["y"] > 0): r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(count.values())
     ids = []
@@ -446,19 +490,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: i
     spark = docs.sparkSession
     # at most max_toxic + max_clean rows of two numbers
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int"))
-    rows = (docs.where(F.length("text").between(1, max_chars)).join(chosen, "doc_id")
-            .groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(
-                "doc_id", "y", F.col("text").cast("binary").alias("text")).collect())
+    sample = write_table(full.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(
+        "doc_id", "y", F.col("text").cast("binary").alias("text")), "toxicity_sample")
+    rows = sample.mapInArrow(lambda it: _cut(it, max_windows), "doc_id long, y int, parts array<binary>").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return fit([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows]), count.get(1, 0) / total)
+    net = fit([[bytes(p) for p in r["parts"]] for r in rows], np.array([r["y"] for r in rows]))
+    peaks = sample.repartition(max(1, min(len(ids) // 100, 32)), "doc_id").mapInArrow(
+        lambda it: _peaks(it, net), "doc_id long, y int, best double, count long").collect()
+    peaks.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    y, share = np.array([r["y"] for r in peaks], np.float64), count.get(1, 0) / total
+    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    net.slope, net.bend, net.shift = calibrate(np.array([r["best"] for r in peaks]),
+                                               np.array([r["count"] for r in peaks], np.float64), y, weight)
+    return net
 
 
 def _score(batches: Iterator[pa.RecordBatch], net: Net, column: str) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(net)
     for batch in batches:
         texts = batch.column(column).cast(pa.binary()).to_pylist()
-        best = scorer.best([text_words(t) for t in texts])
-        score = np.where(np.isfinite(best), net.score(np.where(np.isfinite(best), best, 0.0)), 0.0)
+        words = [text_words(t) for t in texts]
+        best = scorer.best(words)
+        count = np.array([window_count(len(w)) for w in words], np.float64)
+        score = np.where(np.isfinite(best), net.score(np.where(np.isfinite(best), best, 0.0), count), 0.0)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
 
