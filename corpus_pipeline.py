@@ -30,11 +30,16 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more)."""
-    docs = docs.select(*COLUMNS)
-    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): that with the smallest id.
+
+    Rows are told apart by a written row number, so repeated ids and null ids (last in a group) are rows like others.
+    """
+    docs = write_table(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "numbered")
+    groups = near_dedup.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row"))
+    kept = groups.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first"))
+    return docs.join(kept.select("first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

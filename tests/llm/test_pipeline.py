@@ -24,3 +24,12 @@ def test_stages(spark):
     copies = after["mixing"].groupBy("doc_id").count().collect()
     assert {r["count"] for r in copies} <= {1, 2}
     assert after["packing"].where("piece = 0").count() == after["mixing"].count()
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, a + " more"), (None, c), (None, c), (3, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.keep_one_of_each(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, c), (3, ""), (3, None)], key=str)
