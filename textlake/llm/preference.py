@@ -76,7 +76,8 @@ def stale_answer_pairs(conversations: DataFrame) -> DataFrame:
 
     For every conversation with two or more assistant turns: chosen is the conversation up to its last assistant
     turn; rejected is the same, but answers that last time with its previous assistant text again. Conversations with
-    one assistant turn get an empty rejected answer; those without give no pair.
+    one assistant turn get an empty rejected answer; those without give no pair. Rows with a null turn or null conversation
+    are left out, as in the query's SQL, so a conversation whose assistant turns all have null numbers gives no pair.
     """
     order = F.struct("turn", "text")
     heard = conversations.where("conv_id is not null and turn is not null")
