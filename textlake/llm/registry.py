@@ -12,10 +12,13 @@ from textlake.llm import (
     license_scan,
     mixing,
     near_dedup,
+    neighbour_graph,
     preference,
     quality,
     records,
     toxicity,
+    vector_codes,
+    whitening,
 )
 from textlake.llm.common import prepare, table
 
@@ -85,6 +88,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.search_all(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +108,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_near_dedup, op3_records, op4_embedding_dedup, op5_html_extraction, op6_license_scan,
-    op7_best_fit_packing, op8_chat_format, op9_quality_rules, op10_mixing, pipeline)}
+    op7_best_fit_packing, op8_chat_format, op9_quality_rules, op10_mixing, op11_embedding_whitening,
+    op12_vector_codes, op13_nearest_neighbours, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -198,5 +214,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g JOIN verdict ON verdict.source IS NOT DISTINCT FROM g.source
 """
 
-ORACLE = {"op2_near_dedup": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_license_scan": OP6_SQL,
+def _assigned(source: str, books: str) -> str:
+    """Each part's distance to its nearest entry and that entry's number, as ``64 d + k`` (ties: the lower number)."""
+    d = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(4))
+    return f"""SELECT a.vec_id, a.p, min(({d}) * 64 + b.k) AS m, {", ".join(f"any_value(a.x{i}) AS x{i}" for i in range(4))}
+           FROM {source} a JOIN {books} b ON a.p = b.p GROUP BY a.vec_id, a.p"""
+
+
+def _moved(assigned: str, books: str) -> str:
+    means = ", ".join(f"coalesce(CAST(floor(sum(a.x{i}) / count(a.p)) AS BIGINT), any_value(b.x{i})) AS x{i}" for i in range(4))
+    return f"""SELECT b.p, b.k, {means} FROM {books} b
+           LEFT JOIN {assigned} a ON a.p = b.p AND a.m % 64 = b.k GROUP BY b.p, b.k"""
+
+
+# for vectors of 64 components, as the given tables hold: parts of four
+OP12_SQL = f"""
+WITH v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda c: CAST(floor(256 * c) AS BIGINT)) AS e
+           FROM embeddings WHERE len(embedding) = 64
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  parts AS (SELECT vec_id, p, {", ".join(f"e[4 * p + {i + 1}] AS x{i}" for i in range(4))}
+            FROM (SELECT vec_id, e, unnest(range(16)) AS p FROM v)),
+  b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x0, x1, x2, x3 FROM parts
+         QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 64),
+  a0 AS ({_assigned("parts", "b0")}),
+  b1 AS ({_moved("a0", "b0")}),
+  a1 AS ({_assigned("parts", "b1")}),
+  b2 AS ({_moved("a1", "b1")}),
+  a2 AS ({_assigned("parts", "b2")}),
+  coded AS (SELECT vec_id, string_agg(format('{{:02x}}', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error
+            FROM a2 GROUP BY vec_id),
+  book AS (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), book
+"""
+
+ORACLE = {"op12_vector_codes": OP12_SQL, "op2_near_dedup": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_license_scan": OP6_SQL,
           "op8_chat_format": OP8_SQL, "op9_quality_rules": OP9_SQL}
