@@ -62,36 +62,39 @@ class Graph:
         rows = np.arange(b)
         ids, dist = np.full((b, beam), n, np.int32), np.full((b, beam), NONE)
         open_ = np.zeros((b, beam), bool)
-        seen = np.zeros((b, n + 1), bool)
         ids[:, 0], dist[:, 0], open_[:, 0] = self.start, 1 - q @ self.x[self.start], True
-        seen[:, [self.start, n]] = True
-        while len(rows):
-            # places of the first ``width`` open entries of each beam; a row without any is finished
-            order = np.argsort(~open_[rows], axis=1, kind="stable")[:, :width]
-            live = np.take_along_axis(open_[rows], order, axis=1)
-            some = live[:, 0]
-            rows, order, live = rows[some], order[some], live[some]
+        # the step's place at which a node was first met, so a node that two expanded ones share is taken once
+        place = np.arange(1, width * self.edges.shape[1] + 1, dtype=np.uint16)
+        met = np.zeros((b, n + 1), np.uint16)
+        met[:, [self.start, n]] = len(place) + 1
+        width = min(width, beam)
+        while True:
+            waiting = np.where(open_[rows], dist[rows], NONE)
+            pick = np.argpartition(waiting, width - 1, axis=1)[:, :width]
+            live = np.take_along_axis(waiting, pick, axis=1) < NONE
+            some = live.any(axis=1)
+            rows, pick, live = rows[some], pick[some], live[some]
             if not len(rows):
                 break
-            open_[rows[:, None], order] = False
-            near = self.edges[np.where(live, ids[rows[:, None], order], n)].reshape(len(rows), -1)
-            fresh = ~seen[rows[:, None], near]
-            seen[rows[:, None], near] = True
-            # the same node may come from two expanded ones: the first of a run stays
-            run = np.argsort(near, axis=1, kind="stable")
-            sorted_ = np.take_along_axis(near, run, axis=1)
-            again = np.zeros_like(fresh)
-            np.put_along_axis(again, run[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], axis=1)
-            fresh &= ~again
-            d = np.full(near.shape, NONE)
+            at = rows[:, None]
+            open_[at, pick] = False
+            near = self.edges[np.where(live, ids[at, pick], n)].reshape(len(rows), -1)
+            fresh = met[at, near] == 0
             i, j = np.nonzero(fresh)
-            d[i, j] = 1 - np.einsum("ij,ij->i", self.x[near[i, j]], q[rows[i]])
-            all_d = np.concatenate([dist[rows], d], axis=1)
-            keep = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            dist[rows] = np.take_along_axis(all_d, keep, axis=1)
-            ids[rows] = np.take_along_axis(np.concatenate([ids[rows], np.where(fresh, near, n)], axis=1), keep, axis=1)
+            node = near[i, j]
+            met[rows[i], node] = place[j]
+            once = met[rows[i], node] == place[j]
+            i, j, node = i[once], j[once], node[once]
+            d = np.full(near.shape, NONE)
+            d[i, j] = 1 - np.einsum("ij,ij->i", self.x[node], q[rows[i]])
+            d = np.concatenate([dist[rows], d], axis=1)
+            keep = np.argpartition(d, beam - 1, axis=1)[:, :beam]
+            dist[rows] = np.take_along_axis(d, keep, axis=1)
+            ids[rows] = np.take_along_axis(np.concatenate([ids[rows], near], axis=1), keep, axis=1)
             open_[rows] = np.take_along_axis(np.concatenate([open_[rows], fresh], axis=1), keep, axis=1)
-        return ids, dist
+        order = np.argsort(dist, axis=1, kind="stable")
+        dist = np.take_along_axis(dist, order, axis=1)
+        return np.where(dist < NONE, np.take_along_axis(ids, order, axis=1), n), dist
 
     # build ---------------------------------------------------------------------------------------------------
     def prune(self, nodes: np.ndarray, pool: np.ndarray) -> None:
@@ -139,7 +142,7 @@ class Graph:
             extra = np.where(np.arange(wide) < count[part][:, None], src[np.minimum(at, len(src) - 1)], self.n)
             self.prune(over[part], np.concatenate([self.edges[over[part]], extra.astype(np.int32)], axis=1))
 
-    def build(self, batch: int = 512, seed: int = 5) -> Graph:
+    def build(self, batch: int = 128, seed: int = 5) -> Graph:
         order = np.random.default_rng(seed).permutation(self.n)
         order = np.concatenate([[self.start], order[order != self.start]]) if self.n else order
         at = 1
@@ -276,7 +279,8 @@ def search_all(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int
     shards = max(1, -(-usable.count() // shard_rows))
     low = Window.partitionBy("x").orderBy("vec_id")
     few = usable.withColumn("place", F.row_number().over(low)).where(F.col("place") <= k + 1).drop("place")
-    dealt = few.withColumn("shard", F.pmod(F.xxhash64("x"), F.lit(shards)).cast("int"))
+    # more partitions than shards, so that few shards share one
+    dealt = few.withColumn("shard", F.pmod(F.xxhash64("x"), F.lit(shards)).cast("int")).repartition(4 * shards, "shard")
     graph = write_table(dealt.groupBy("shard").applyInPandas(
         lambda f: _build(f, dim, kind, degree, alpha, build_beam),
         "shard int, node int, start int, vec_ids array<long>, x binary, edges binary"), "graph")
@@ -285,7 +289,7 @@ def search_all(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int
         F.lit(None).cast("int").alias("start"), F.lit(None).cast("array<long>").alias("vec_ids"), "x",
         F.lit(None).cast("binary").alias("edges"), F.col("vec_id").alias("query_id"))
     both = graph.withColumn("query_id", F.lit(None).cast("long")).unionByName(asks)
-    found = (both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    found = (both.repartition(4 * shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
              .mapInPandas(lambda it: _answers(it, dim, kind, beam, k), "query_id long, x binary, vec_id long, score double"))
     best = Window.partitionBy("query_id", "x").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
