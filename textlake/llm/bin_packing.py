@@ -8,8 +8,9 @@ tokens whose last one may be shorter. A full piece is a sequence of its own. All
   injects whole well-filled bins of one parent into the other, removes the other's bins that hold any of the same
   pieces, and puts the pieces thereby displaced back by best fit. Fitness is the mean square of the fill.
 * After an epoch each island's elite goes to the next island of its ring, and a second epoch starts with it.
-* The best island's well-filled bins are final. Pieces of the worse bins of all groups are dealt again, level by
-  level, until they are one group, so unfilled space does not add up over groups.
+* The best island's well-filled bins are final; where those hold less than half of a group's pieces, so are the fullest
+  others up to half. Pieces of the worse bins of all groups are dealt again, level by level, until they are one group,
+  so unfilled space does not add up over groups. Every level sends on at most half of what it got.
 
 Group state travels as one row of bounded arrays per island. Piece lengths and row numbers are all that is shuffled.
 Random numbers are seeded by level, group and island.
@@ -134,8 +135,17 @@ def _epoch(frames: Iterator[pd.DataFrame], capacity: int, level: int, epoch: int
 _STATE = "grp long, island int, uids array<long>, sizes array<int>, own array<int>, n_bins int, fit double"
 
 
+def settled(fill: np.ndarray, count: np.ndarray, enough: float) -> np.ndarray:
+    """Which bins are final: those filled enough, and the fullest ones until they hold half of the pieces."""
+    order = np.argsort(-fill, kind="stable")
+    held = np.cumsum(count[order]) - count[order]
+    out = np.empty(len(fill), bool)
+    out[order] = (fill[order] >= enough) | (2 * held < count.sum())
+    return out
+
+
 def _placed(frames: Iterator[pd.DataFrame], capacity: int, last: bool, well: float) -> Iterator[pd.DataFrame]:
-    """Rows ``(uid, size, grp, bin, offset)``; ``bin`` is null where a bin is not full enough to be final."""
+    """Rows ``(uid, size, grp, bin, offset, final)``; pieces of bins that are not final are dealt again."""
     for f in frames:
         for r in f.itertuples(index=False):
             size, own, uids = np.asarray(r.sizes, np.int64), np.asarray(r.own), np.asarray(r.uids)
@@ -144,22 +154,19 @@ def _placed(frames: Iterator[pd.DataFrame], capacity: int, last: bool, well: flo
             first = np.r_[True, own[order][1:] != own[order][:-1]]
             offset = ends - size[order]
             offset = offset - np.maximum.accumulate(np.where(first, offset, 0))
-            fill = np.bincount(own, weights=size)
-            final = last | (fill[own[order]] >= well * capacity)
-            yield pd.DataFrame({"uid": uids[order], "size": size[order], "grp": r.grp,
-                                "bin": pd.array(np.where(final, own[order], 0), "Int64").copy(), "offset": offset,
-                                "final": final})
+            done = last | settled(np.bincount(own, weights=size), np.bincount(own), well * capacity)
+            yield pd.DataFrame({"uid": uids[order], "size": size[order], "grp": r.grp, "bin": own[order].astype(np.int64),
+                                "offset": offset, "final": done[own[order]]})
 
 
 def pack(items: DataFrame, capacity: int = 4096, group: int = 2048, islands: int = 2,
-         well_filled: float = 0.99) -> DataFrame:
+         well_filled: float = 0.999) -> DataFrame:
     """``(uid, sequence_id, offset)`` for ``items (uid long unique, size int in 1..capacity)``."""
-    todo, done, level, before = items.select("uid", "size"), [], 0, None
+    todo, done, level = items.select("uid", "size"), [], 0
     while True:
         n = todo.count()
         groups = max(1, -(-n // group))
-        # a level that sent on more than half of what it got would gain nothing by another deal
-        last = groups == 1 or (before is not None and 2 * n > before)
+        last = groups == 1
         rows = (todo.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)).alias("grp"))
                 .agg(F.array_sort(F.collect_list(F.struct("size", "uid"))).alias("x"))
                 .select("grp", F.col("x.uid").alias("uids"), F.col("x.size").alias("sizes")))
@@ -182,7 +189,7 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = 2048, islands: int
             "offset"))
         if last:
             break
-        todo, before, level = placed.where("not final").select("uid", "size"), n, level + 1
+        todo, level = placed.where("not final").select("uid", "size"), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -194,7 +201,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacit
     encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
-        for doc_id, raw in zip(doc_ids, encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for doc_id, raw in zip(doc_ids, encoder.encode(batch.column(1)), strict=True):
             raw += end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 ids = raw[at:at + 4 * capacity]

@@ -98,7 +98,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
         if data is None:
             store.create_dir(base, recursive=True)
             data, encoder = store.open_output_stream(path), encoder_of(tokenizer)
-        ids_of = encoder.encode(batch.column(1).to_pylist())
+        ids_of = encoder.encode(batch.column(1))
         for doc_id, raw in zip(batch.column(0).to_pylist(), ids_of, strict=True):
             ids = np.frombuffer(raw + end, "<u4")
             record = frame(serialise(doc_id, ids))

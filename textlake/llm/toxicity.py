@@ -13,9 +13,10 @@
 
 Training takes a bounded sample of labelled rows: at most ``max_toxic`` and ``max_clean`` documents of any length in
 the order of a hash of their id. It learns from all windows of a document that has at most ``max_windows``, and from so
-many windows spread evenly over a longer one (cut in the tasks), on the driver in numpy, single-threaded. The
-calibration scores every window of the sampled documents, in tasks. Scoring covers every window of every text, in Arrow
-batches.
+many windows spread evenly over a longer one (cut in parallel tasks). One task trains on the sample in numpy; it holds
+the sample as word numbers and one copy of each distinct word, and returns the network's parameters, all that the driver
+sees. Its result depends on the sample alone, so a lost executor costs a repeat. The calibration scores every window of
+the sampled documents, in tasks. Scoring covers every window of every text, in Arrow batches.
 
 Nulls and empty texts score 0. Rows whose label is null or whose id is null are not learned from; an id labelled
 twice counts as toxic if one label says so. Without any toxic or any clean label every score is the share of toxic
@@ -24,16 +25,17 @@ labels (0 without labels). Extra columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlake.llm.common import WORD_GAP, prepare, write_table
+from textlake.llm.common import prepare, write_table
 
 WINDOW, STRIDE, PIECE = 48, 24, 24
 CHAR_DIM, CHAR_H, WORD_DIM, WORD_H, BUCKETS = 8, 8, 8, 8, 1 << 14
@@ -405,22 +407,24 @@ def calibrate(best: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.nda
     return float(max(b[0], 0.05)), float(b[1]), float(b[2])
 
 
-def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 7, batch: int = 64, rate: float = 0.01,
+def fit(sample: Iterable[tuple[int, list[bytes]]], epochs: int = 7, batch: int = 64, rate: float = 0.01,
         seed: int = 7) -> Net:
-    """Train on documents, given as their parts (see ``spread_parts``), and 0/1 labels. Not calibrated."""
+    """Train on ``(0/1 label, parts)`` of documents (see ``spread_parts``), read once. Not calibrated."""
     rng, net = np.random.default_rng(seed), Net(seed)
-    docs = [[w for part in t for w in text_words(part)] for t in texts]
-    # parts of a long document are one window each
-    spread = [len(t) > 1 for t, d in zip(texts, docs, strict=True) if d]
-    keep = np.array([len(d) > 0 for d in docs], bool)
-    docs, y = [d for d, k in zip(docs, keep, strict=True) if k], y[keep].astype(np.float64)
+    numbers, rows, spread, marks = Numbers(), [], [], []
+    for label, parts in sample:
+        row = np.fromiter((numbers[w] for part in parts for w in text_words(part)), np.int32)
+        if len(row):
+            rows.append(row)
+            spread.append(len(parts) > 1)  # parts of a long document are one window each
+            marks.append(label)
+    y, vocabulary = np.array(marks, np.float64), list(numbers)
+    del numbers
     # small samples get smaller batches and more epochs, so that the number of steps is about the same
-    batch = min(batch, max(16, len(docs) // 12))
-    epochs = max(epochs, min(40, -(-450 * batch // max(len(docs), 1))))
-    adam, numbers = Adam(net.p, rate), Numbers()
-    rows = [np.fromiter(map(numbers.__getitem__, d), np.int32, len(d)) for d in docs]
-    vocabulary = list(numbers)
-    starts = [list(range(0, len(d), WINDOW)) if s else window_starts(len(d)) for d, s in zip(docs, spread, strict=True)]
+    batch = min(batch, max(16, len(rows) // 12))
+    epochs = max(epochs, min(40, -(-450 * batch // max(len(rows), 1))))
+    adam = Adam(net.p, rate)
+    starts = [list(range(0, len(r), WINDOW)) if s else window_starts(len(r)) for r, s in zip(rows, spread, strict=True)]
     few = np.array([len(s) for s in starts])
     for epoch in range(epochs):
         adam.rate = rate * (1.0 if epoch < epochs - 2 else 0.3 if epoch < epochs - 1 else 0.1)
@@ -429,7 +433,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 7, batch: int = 6
             logit, whose = window_scores(net, net.project(vocabulary), rows, starts)
             # windows of one document come in the order of their starts
             order = np.argsort(whose, kind="stable")
-            edges = np.searchsorted(whose[order], np.arange(len(docs) + 1)).tolist()
+            edges = np.searchsorted(whose[order], np.arange(len(rows) + 1)).tolist()
             top = np.array([int(np.argmax(logit[order[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)])
             peak = np.array([logit[order[a + k]] for a, k in zip(edges[:-1], top.tolist(), strict=True)])
         # toxic documents with many windows join once the network can tell which window is meant
@@ -437,7 +441,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 7, batch: int = 6
         fits = (y == 0) | (few <= limit)
         if epoch > 2:  # documents that are clearly right by now are visited now and then only
             sure = np.where(y == 1, peak > 4, peak < -4)
-            fits &= ~sure | (rng.random(len(docs)) < 0.15)
+            fits &= ~sure | (rng.random(len(rows)) < 0.15)
         use = rng.permutation(np.flatnonzero(fits))
         share = max(1.0, (y[use] == 0).sum() / max((y[use] == 1).sum(), 1) / 2)
         for lo in range(0, len(use), batch):
@@ -456,6 +460,13 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatc
                                          ["doc_id", "y", "parts"])
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the trained network, from the rows of ``_cut`` in their order."""
+    net = fit((label, parts) for batch in batches
+              for label, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+
 def _peaks(batches: Iterator[pa.RecordBatch], net: Net) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(net)
     for batch in batches:
@@ -478,13 +489,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: i
     known = known if learn_from is None else known.where(learn_from)
     # ids first (no text leaves its task), then the few chosen texts
     full = docs.where(~_blank(F.col("text")))
-    sized = full.select("doc_id").join(known, "doc_id")
     count = {int(r["y"] > 0): r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(count.values())
-    ids = []
-    for y, most in ((1, max_toxic), (0, max_clean)):
-        part = sized.where(F.col("y") > 0 if y else F.col("y") <= 0)
-        ids += [(r["doc_id"], y) for r in part.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    total, toxic = sum(count.values()), F.col("y") > 0
+    place = F.row_number().over(Window.partitionBy(toxic).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = [(r["doc_id"], int(r["y"] > 0)) for r in full.select("doc_id").join(known, "doc_id").distinct()
+           .withColumn("place", place).where(F.col("place") <= max(max_toxic, max_clean))
+           .where(F.col("place") <= F.when(toxic, max_toxic).otherwise(max_clean)).collect()]
     if not total or len({y for _, y in ids}) < 2:
         return count.get(1, 0) / total if total else 0.0
     spark = docs.sparkSession
@@ -492,9 +502,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: i
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int"))
     sample = write_table(full.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(
         "doc_id", "y", F.col("text").cast("binary").alias("text")), "toxicity_sample")
-    rows = sample.mapInArrow(lambda it: _cut(it, max_windows), "doc_id long, y int, parts array<binary>").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    net = fit([[bytes(p) for p in r["parts"]] for r in rows], np.array([r["y"] for r in rows]))
+    parts = write_table(sample.mapInArrow(lambda it: _cut(it, max_windows), "doc_id long, y int, parts array<binary>"),
+                        "toxicity_parts")
+    net = pickle.loads(bytes(parts.repartition(1).sortWithinPartitions(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").mapInArrow(_learn, "net binary").first()["net"]))
     peaks = sample.repartition(max(1, min(len(ids) // 100, 32)), "doc_id").mapInArrow(
         lambda it: _peaks(it, net), "doc_id long, y int, best double, count long").collect()
     peaks.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
@@ -517,7 +528,8 @@ def _score(batches: Iterator[pa.RecordBatch], net: Net, column: str) -> Iterator
 
 
 def _blank(text) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), WORD_GAP, "")) == 0
+    """No word in the text; the search ends at the first character of one."""
+    return ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
 def score_rows(docs: DataFrame, net: Net | float, text: str = "text") -> DataFrame:
