@@ -167,17 +167,19 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = 2048, islands: int
         n = todo.count()
         groups = max(1, -(-n // group))
         last = groups == 1
+        # a group's epoch is short work, so a task takes several
+        tasks = -(-groups * islands // 16)
         rows = (todo.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)).alias("grp"))
                 .agg(F.array_sort(F.collect_list(F.struct("size", "uid"))).alias("x"))
                 .select("grp", F.col("x.uid").alias("uids"), F.col("x.size").alias("sizes")))
         held = write_table(rows, "pack_groups")
         spread = held.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).repartition(
-            max(1, min(groups * islands, 20_000)), "grp", "island")
+            tasks, "grp", "island")
         state = write_table(spread.mapInPandas(lambda it, level=level: _epoch(it, capacity, level, 0), _STATE), "epoch")
         guest = state.select("grp", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"),
                              F.col("own").alias("guest"))
         state = write_table(state.drop("n_bins", "fit").join(guest, ["grp", "island"]).repartition(
-            max(1, min(groups * islands, 20_000)), "grp", "island").mapInPandas(
+            tasks, "grp", "island").mapInPandas(
             lambda it, level=level: _epoch(it, capacity, level, 1), _STATE), "epoch")
         best = state.groupBy("grp").agg(F.min_by(F.struct("uids", "sizes", "own"), F.struct("n_bins", -F.col("fit"),
                                                                                              "island")).alias("b"))

@@ -6,7 +6,8 @@ pieces, joined. Which rule holds is read from the file (``piece_rule``):
 * ``blank``: a blank belongs to the piece after it, and runs of white space are tokens. Pieces are cut before each blank.
   Where a piece ends with white space and the next one has nothing or white space after its blank, the run goes on
   across the cut: such a text is encoded whole.
-* ``word``: white space is dropped, so line feeds count as blanks and pieces are what stands between.
+* ``word``: white space is dropped and case is lowered, so line feeds count as blanks, pieces are what stands between,
+  and ASCII capitals need no entries of their own.
 * ``None``: any other file. Every text is encoded whole.
 
 A batch's texts are split and numbered by Arrow; only its distinct pieces are looked up in the worker's table, and only
@@ -92,14 +93,14 @@ class Encoder:
 
         self.tok, self.rule = Tokenizer.from_file(path), piece_rule(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        #: ids that open a piece (blank rule) or are the mark between pieces (word rule)
-        self.opens = np.zeros(1 + max(self.tok.get_vocab().values()), bool)
+        #: ids that start with a blank (blank rule) or end a word (word rule)
+        self.bounds, self.mark = np.zeros(1 + max(self.tok.get_vocab().values()), bool), None
         if self.rule == "blank":
-            self.opens[[n for t, n in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+            self.bounds[[n for t, n in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
         elif self.rule == "word":
+            self.bounds[[n for t, n in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
             mark = self.tok.encode(MARK, add_special_tokens=False).ids
-            self.rule = "word" if len(mark) == 1 else None
-            self.opens[mark] = True
+            self.rule, self.mark = ("word", mark[0]) if len(mark) == 1 else (None, None)
         self._reset()
 
     def _reset(self) -> None:
@@ -137,7 +138,7 @@ class Encoder:
     def _learn(self) -> None:
         """Encodes the new pieces and appends their ids to the table. Pieces that a blank cuts off from what stands before
         them, and that have no white space at their edges, stand in a row a few hundred at a time without any effect on
-        each other; they are cut apart at the tokens that hold a blank, or at those of a mark put between them."""
+        each other."""
         new, self.pieces.new = self.pieces.new, []
         base = len(self.pieces) - len(new)
         blank = self.rule == "blank"
@@ -157,18 +158,38 @@ class Encoder:
                      self.tok.encode_batch_fast([new[k] for k in apart], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self._store(base + np.array(apart), np.concatenate(found), sizes, np.cumsum(sizes) - sizes)
-        row = np.setdiff1d(np.arange(len(new)), np.array(apart, np.int64), assume_unique=True)
-        rest = [new[k] for k in row.tolist()] if apart else new
-        mark = "" if blank else MARK
-        texts = [mark.join(rest[lo:lo + 300]) for lo in range(0, len(rest), 300)]
-        for lo, e in zip(range(0, len(rest), 300), self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        rest = np.setdiff1d(np.arange(len(new)), np.array(apart, np.int64), assume_unique=True)
+        if blank:
+            left = self._in_rows(new, base, rest, "", False)
+        else:  # a piece of letters alone is one word nearly always: its last token says so
+            simple = np.fromiter((new[k].isalpha() for k in rest.tolist()), bool, len(rest))
+            left = self._in_rows(new, base, rest[simple], " ", False)
+            left = self._in_rows(new, base, np.concatenate([left, rest[~simple]]), MARK, True)
+        if len(left):
+            raise ValueError("the tokenizer file does not keep pieces apart")
+
+    def _in_rows(self, new: list[str], base: int, which: np.ndarray, gap: str, between: bool) -> np.ndarray:
+        """Encodes pieces a few hundred in a row and cuts their ids apart: at tokens that start with a blank (no gap), end
+        a word, or are the mark ``between`` pieces. Returns the pieces of rows that did not fall into as many parts."""
+        left = [np.zeros(0, np.int64)]
+        rows = [which[lo:lo + 300] for lo in range(0, len(which), 300)]
+        texts = [gap.join([new[k] for k in r.tolist()]) for r in rows]
+        for r, e in zip(rows, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(self.opens[ids])
-            if blank:  # the token that holds a blank is the first of its piece
-                starts, ends = cuts, np.append(cuts[1:], len(ids))
-            else:  # the mark's token stands between two pieces
+            if between:
+                cuts = np.flatnonzero(ids == self.mark)
                 starts, ends = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
-            self._store(base + row[lo:lo + 300], ids, ends - starts, starts)
+            elif gap:
+                ends = np.flatnonzero(self.bounds[ids]) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+            else:
+                starts = np.flatnonzero(self.bounds[ids])
+                ends = np.append(starts[1:], len(ids))
+            if len(starts) == len(r) == len(ends) and ends[-1] == len(ids):
+                self._store(base + r, ids, ends - starts, starts)
+            else:
+                left.append(r)
+        return np.concatenate(left)
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit bytes, one entry per text (null: no ids)."""
@@ -190,7 +211,9 @@ class Encoder:
         if len(self.pieces) > PIECE_CACHE:
             self._reset()
         texts = pc.fill_null(texts, "")
-        words = pc.split_pattern(texts if self.rule == "blank" else pc.replace_substring(texts, "\n", " "), " ")
+        if self.rule == "word":  # the file lower-cases: ASCII letters may as well be lower-cased before the look-up
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        words = pc.split_pattern(texts, " ")
         at = words.offsets.to_numpy().astype(np.int64)
         flat = words.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
