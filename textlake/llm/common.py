@@ -40,6 +40,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of the column names has, whatever their case: for temporary columns beside them."""
+    prefix = "_t_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser on uint64 arrays (wrapping arithmetic)."""
     x = x ^ (x >> np.uint64(31))

@@ -35,7 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import prepare, write_table
+from textlake.llm.common import free_prefix, prepare, write_table
+from textlake.session import broadcast_if_small
 
 EPS = 1e-9
 
@@ -184,11 +185,12 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[f
         budget: float = 1.5, max_copies: float = 2.0, block: int = 8192) -> DataFrame:
     """``carry`` columns plus ``size, source_size, target, copies`` for every row of ``docs (doc_id, text, source)``."""
     prepare(docs.sparkSession)
-    carry = [c for c in carry if c not in ("size", "source_size", "target", "copies")]
-    sized = write_table(docs.select(F.monotonically_increasing_id().alias("_uid"), word_count().alias("_size"),
-                                    F.xxhash64("doc_id").alias("_h"), F.col("source").alias("_source"), *carry), "sized")
-    base = sized.select(F.col("_uid").alias("uid"), F.col("_size").alias("size"), F.col("_h").alias("h"),
-                        F.col("_source").alias("source"))
+    carry = [c for c in carry if c.lower() not in ("size", "source_size", "target", "copies")]
+    uid_c, size_c, hash_c, source_c, key_c = (free_prefix([*docs.columns]) + k for k in ("uid", "size", "h", "source", "key"))
+    sized = write_table(docs.select(F.monotonically_increasing_id().alias(uid_c), word_count().alias(size_c),
+                                    F.xxhash64("doc_id").alias(hash_c), F.col("source").alias(source_c), *carry), "sized")
+    base = sized.select(F.col(uid_c).alias("uid"), F.col(size_c).alias("size"), F.col(hash_c).alias("h"),
+                        F.col(source_c).alias("source"))
     targets = write_table(source_targets(base, weights, budget, max_copies), "targets")
     per = targets.select(F.col("source").alias("s2"), "source_size", "target", "n_docs")
     is_long = (F.col("size") * LONG >= F.col("source_size")) & (F.col("size") * F.col("n_docs") >= 4 * F.col("source_size"))
@@ -231,14 +233,15 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[f
     copies = done[0]
     for more in done[1:]:
         copies = copies.unionByName(more)
-    per = targets.select(F.col("source").alias("s2"), "source_size", "target")
-    out = sized.join(copies.withColumnRenamed("uid", "_uid"), "_uid", "left").join(
-        per, F.col("_source").eqNullSafe(F.col("s2")), "left")
-    return out.select(*carry, F.col("_size").alias("size"), "source_size", "target",
+    per = broadcast_if_small(targets.select(F.col("source").alias(key_c), "source_size", "target"))
+    out = sized.join(copies.withColumnRenamed("uid", uid_c), uid_c, "left").join(
+        per, F.col(source_c).eqNullSafe(F.col(key_c)), "left")
+    return out.select(*carry, F.col(size_c).alias("size"), "source_size", "target",
                       F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
 def materialise(mixed: DataFrame) -> DataFrame:
     """The mixed corpus itself: every row as often as its ``copies`` say."""
-    return (mixed.where("copies > 0").withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-            .drop("_c", "copies", "size", "source_size", "target"))
+    one = free_prefix(mixed.columns)
+    return (mixed.where("copies > 0").withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+            .drop(one, "copies", "size", "source_size", "target"))

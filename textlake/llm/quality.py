@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import WORD_GAP, write_table
+from textlake.llm.common import WORD_GAP, free_prefix, write_table
+from textlake.session import broadcast_if_small
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,35 +43,37 @@ def _covered(p: Column) -> Column:
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the five base features, computed row by row over whole texts (no shuffle)."""
     docs = docs.drop(*[c for c in FEATURES if c != text])
+    prefix = free_prefix(docs.columns)
+    words_c, lines_c, hash_c, distinct_c, bits_c, sorted_c, repeat_c, place_c = (prefix + k for k in "wlhdbsrp")
     t = F.coalesce(F.col(text), F.lit(""))
-    first = docs.select("*", F.filter(F.split(t, WORD_GAP), lambda w: w != "").alias("_w"),
-                        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
+    first = docs.select("*", F.filter(F.split(t, WORD_GAP), lambda w: w != "").alias(words_c),
+                        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines_c),
                         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
-    n = F.size("_w")
+    n = F.size(words_c)
     second = first.select(
-        *[c for c in first.columns if c not in ("_w", "_l")],
+        *[c for c in first.columns if c not in (words_c, lines_c)],
         n.cast("long").alias("n_words"),
-        F.aggregate("_w", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(0))),
-                    lambda w, i: F.xxhash64(w, F.element_at("_w", i + 2), F.element_at("_w", i + 3))).alias("_h"))
+        F.aggregate(words_c, F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
+        (F.size(lines_c) - F.size(F.array_distinct(lines_c))).cast("long").alias("n_dup_lines"),
+        F.transform(F.slice(words_c, 1, F.greatest(n - 2, F.lit(0))),
+                    lambda w, i: F.xxhash64(w, F.element_at(words_c, i + 2), F.element_at(words_c, i + 3))).alias(hash_c))
     # window positions need this many low bits
-    bits = F.length(F.bin(F.size("_h")))
-    third = second.select("*", F.size(F.array_distinct("_h")).alias("_d"), bits.alias("_b"))
-    fourth = third.select("*", F.when(F.col("_d") == F.size("_h"), F.array().cast("array<bigint>")).otherwise(
-        F.sort_array(F.transform("_h", lambda h, i: F.call_function("shiftleft", F.call_function(
-            "shiftright", h, F.col("_b")), F.col("_b")).bitwiseOR(i.cast("long"))))).alias("_s"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b")) - 1
+    bits = F.length(F.bin(F.size(hash_c)))
+    third = second.select("*", F.size(F.array_distinct(hash_c)).alias(distinct_c), bits.alias(bits_c))
+    fourth = third.select("*", F.when(F.col(distinct_c) == F.size(hash_c), F.array().cast("array<bigint>")).otherwise(
+        F.sort_array(F.transform(hash_c, lambda h, i: F.call_function("shiftleft", F.call_function(
+            "shiftright", h, F.col(bits_c)), F.col(bits_c)).bitwiseOR(i.cast("long"))))).alias(sorted_c))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits_c)) - 1
 
     def same(x: Column, y: Column) -> Column:
-        at = lambda z: F.get("_h", z.bitwiseAND(mask).cast("int"))
+        at = lambda z: F.get(hash_c, z.bitwiseAND(mask).cast("int"))
         return (x.bitwiseOR(mask) == y.bitwiseOR(mask)) & (at(x) == at(y))
 
-    fifth = fourth.select("*", F.filter("_s", lambda x, i: F.coalesce(same(x, F.get("_s", i + 1)), F.lit(False))
-                                        | F.coalesce(same(x, F.get("_s", i - 1)), F.lit(False))).alias("_r"))
-    sixth = fifth.select("*", F.sort_array(F.transform("_r", lambda x: x.bitwiseAND(mask))).alias("_p"))
-    keep = [c for c in docs.columns if c not in FEATURES]
-    return sixth.select(*keep, *FEATURES[:4], _covered(F.col("_p")).alias("n_repeat_words"))
+    fifth = fourth.select("*", F.filter(sorted_c, lambda x, i: F.coalesce(same(x, F.get(sorted_c, i + 1)), F.lit(False))
+                                        | F.coalesce(same(x, F.get(sorted_c, i - 1)), F.lit(False))).alias(repeat_c))
+    sixth = fifth.select("*", F.sort_array(F.transform(repeat_c, lambda x: x.bitwiseAND(mask))).alias(place_c))
+    keep = [c for c in docs.columns if c.lower() not in FEATURES]
+    return sixth.select(*keep, *FEATURES[:4], _covered(F.col(place_c)).alias("n_repeat_words"))
 
 
 def host_verdicts(flags: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
@@ -101,16 +104,20 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list
     ``max_symbols``: symbols per 100 word characters; ``max_dup_lines``: repeated lines per 100 words. The features
     are written once, because the host verdicts and the result both read them.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*FEATURES, "base_failed", "kept")]
-    base = text_features(docs.select(*{*carry, host, text}), text)
+    made = (*FEATURES, "base_failed", "kept")
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in made]
+    host_c, failed_c, key_c, ok_c = (free_prefix(docs.columns) + k for k in ("host", "failed", "key", "ok"))
+    base = text_features(docs.select(*{*carry, text}, F.col(host).alias(host_c)), text)
     base = base.withColumn("base_failed", (F.col("n_words") < min_words)
                            | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     soft = ((100 * F.col("n_symbols") > max_symbols * F.col("word_chars"))
             | (100 * F.col("n_dup_lines") > max_dup_lines * F.col("n_words")))
-    kept_cols = [c for c in dict.fromkeys([*carry, *FEATURES, "base_failed"])]
-    base = write_table(base.withColumn("_failed", F.col("base_failed") | soft).withColumn("_host", F.col(host))
-                       .select(*kept_cols, "_host", "_failed"), "quality")
-    verdicts = host_verdicts(base.select(F.col("_host").alias("host"), F.col("_failed").alias("failed")),
-                             max_host_rate).select("host", "host_kept")
-    joined = base.join(verdicts, F.col("_host").eqNullSafe(F.col("host")), "left")
-    return joined.select(*kept_cols, (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
+    kept_cols = [*dict.fromkeys(carry), *FEATURES, "base_failed"]
+    base = write_table(base.withColumn(failed_c, F.col("base_failed") | soft).select(*kept_cols, host_c, failed_c),
+                       "quality")
+    verdicts = write_table(host_verdicts(base.select(F.col(host_c).alias("host"), F.col(failed_c).alias("failed")),
+                                         max_host_rate).select(F.col("host").alias(key_c), F.col("host_kept").alias(ok_c)),
+                           "verdicts")
+    # a row a host: where a count proves the table small it goes to the documents, which then stay where they are
+    joined = base.join(broadcast_if_small(verdicts), F.col(host_c).eqNullSafe(F.col(key_c)), "left")
+    return joined.select(*kept_cols, (~F.col("base_failed") & F.col(ok_c)).alias("kept"))

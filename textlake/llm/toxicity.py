@@ -40,7 +40,7 @@ from textlake.llm.common import prepare, write_table
 WINDOW, STRIDE, PIECE = 48, 24, 24
 CHAR_DIM, CHAR_H, WORD_DIM, WORD_H, BUCKETS = 8, 8, 8, 8, 1 << 14
 #: distinct words whose input projections a worker remembers before it starts afresh
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -292,7 +292,7 @@ class Scorer:
         if self.row.new:
             lo = len(self.row) - len(self.row.new)
             if len(self.row) > self.table.shape[1]:
-                wide = np.empty((6, 2 * len(self.row), WORD_H), np.float32)
+                wide = np.empty((6, 5 * len(self.row) // 4, WORD_H), np.float32)
                 wide[:, :lo] = self.table[:, :lo]
                 self.table = wide
             self.table[:, lo:len(self.row)] = self.net.project(self.row.new)
