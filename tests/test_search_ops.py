@@ -1,4 +1,4 @@
-"""Cosine search edge cases, slicing of large query tables, invariance to partitioning."""
+"""Cosine search edge cases, large query tables, statistics of all similarities, invariance to partitioning."""
 
 import math
 
@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlake.functions.vectors import cosine, round6
-from textlake.operators.search import all_similarities, similarity_stats, top_n_search
+from textlake.operators.search import similarity_statistics, top_n_search
+from textlake.operators.tiles import ranked
+from textlake.plans.search import embedded_fragments
 
 ITEMS = [(0, [0.0, 0.0, 0.0]), (1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [-1.0, -2.0, -3.0]),
          (4, [3.0, 2.0, 1.0]), (5, [1.0, 0.0, 0.0])]
@@ -67,56 +69,109 @@ def test_cosine_column_and_stats(spark):
     for i, v in ITEMS:
         want = py_cos(v, [1.0, 2.0, 3.0])
         assert (got[i] is None) if want is None else abs(got[i] - want) < 1e-6
-    sims = all_similarities(spark.createDataFrame(ITEMS, "id int, embedding array<double>"),
-                            spark.createDataFrame(QUERIES[:1], "qid int, embedding array<double>"),
-                            item_keys=["id"], query_key="qid")
-    st = similarity_stats(sims, ["qid"]).collect()[0]
-    vals = [py_cos(v, QUERIES[0][1]) for _, v in ITEMS if py_cos(v, QUERIES[0][1]) is not None]
-    assert st.n_scored == len(vals)
-    assert abs(st.sim_median - float(np.median(vals))) < 1e-6
-    assert abs(st.sim_std - float(np.std(vals))) < 1e-6
 
 
-def test_exact_median_large_group(spark):
-    rnd = np.random.default_rng(1)
-    vals = rnd.normal(size=20001).round(4)  # many ties
-    df = spark.createDataFrame([(1, float(x)) for x in vals], "g int, similarity double")
-    st = similarity_stats(df, ["g"], accuracy=100).collect()[0]
-    assert abs(st.sim_median - float(np.median(vals))) < 1e-9
+def plain_stats(vals):
+    v = np.array([x for x in vals if x is not None])
+    return (len(v), *(round(float(f(v)), 6) for f in (np.min, np.max, np.mean, np.median, np.std)))
 
 
-def test_empty_query_table(spark):
-    items = spark.createDataFrame(ITEMS, "id int, embedding array<double>")
-    q = spark.createDataFrame([], "qid int, embedding array<double>")
-    assert top_n_search(items, q, item_keys=["id"], query_key="qid").count() == 0
-    assert all_similarities(items, q, item_keys=["id"], query_key="qid").count() == 0
+@pytest.mark.parametrize("max_q", [4096, 1])
+def test_statistics_of_odd_vectors(spark, max_q):
+    items = spark.createDataFrame([*ITEMS, (6, None), (7, [1.0]), (8, [1.0, None, 0.0])], "id int, embedding array<double>")
+    got = similarity_statistics(items, spark.createDataFrame(QUERIES, "qid int, embedding array<double>"),
+                                item_keys=["id"], query_key="qid", max_broadcast_queries=max_q, block_rows=2).collect()
+    want = {q: plain_stats([py_cos(v, qv) for _, v in ITEMS]) for q, qv in QUERIES if any(qv)}
+    assert {r.qid: pytest.approx(tuple(r)[1:], abs=1e-9) for r in got} == want
+
 
+def on_circle(cosines):
+    """Two-dimensional vectors with given cosines to (1, 0)."""
+    return [[float(c), float(np.sqrt(1 - c * c))] for c in cosines]
 
-def test_exact_median_heavy_ties(spark):
-    rnd = np.random.default_rng(2)
-    for vals in (np.concatenate([np.full(9000, 0.25), rnd.random(3001)]),   # the median is a tied value
-                 np.full(5000, 0.5),                                       # all equal
-                 np.concatenate([np.full(2000, 0.1), np.full(2000, 0.9)]),  # even count, median between ties
-                 np.array([0.3])):
-        df = spark.createDataFrame([(1, float(x)) for x in vals], "g int, similarity double")
-        st = similarity_stats(df, ["g"], accuracy=100).collect()[0]
-        assert abs(st.sim_median - round(float(np.median(vals)), 6)) < 1e-9, vals[:3]
 
+@pytest.mark.parametrize("case", range(6))
+def test_median_is_exact(spark, case):
+    rnd = np.random.default_rng(case)
+    vals = (np.concatenate([np.full(9000, 0.25), rnd.random(3001)]),    # the median is a tied value
+            np.full(500, 0.5), np.array([0.3]),
+            np.concatenate([np.full(2000, 0.1), np.full(2000, 0.9)]),   # even count, middle between ties
+            0.5 + 1e-9 * rnd.normal(size=4001),                         # all in one bin, several passes
+            rnd.uniform(-1, 1, 20_000).round(4))[case]
+    items = spark.createDataFrame(list(enumerate(on_circle(vals))), "id int, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([(1, [2.0, 0.0])], "qid int, embedding array<double>")
+    row = similarity_statistics(items, q, item_keys=["id"], query_key="qid").collect()[0]
+    assert tuple(row)[1:] == pytest.approx(plain_stats(vals), abs=1.1e-6)
+    assert abs(row.sim_median - float(np.median(vals))) < 6e-7
 
-def test_stats_plan_never_broadcasts_similarities(spark):
-    """The similarities (all pairs) are the streamed side of the pass-2 join; only per-group bounds are broadcast."""
-    import contextlib
-    import io
 
+def test_empty_query_table(spark):
     items = spark.createDataFrame(ITEMS, "id int, embedding array<double>")
-    q = spark.createDataFrame(QUERIES, "qid int, embedding array<double>")
-    sims = all_similarities(items, q, item_keys=["id"], query_key="qid")
-    for bound in (3, None):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            similarity_stats(sims, ["qid"], groups_bound=bound).explain()
-        plan = buf.getvalue()
-        for line_no, line in enumerate(plan.splitlines()):
-            if "BroadcastExchange" in line:
-                below = "\n".join(plan.splitlines()[line_no:line_no + 4])
-                assert "HashAggregate" in below or "ObjectHashAggregate" in below, below
+    q = spark.createDataFrame([], "qid int, embedding array<double>")
+    for max_q in (4096, 0):
+        assert top_n_search(items, q, item_keys=["id"], query_key="qid", max_broadcast_queries=max_q).count() == 0
+        assert similarity_statistics(items, q, item_keys=["id"], query_key="qid", max_broadcast_queries=max_q).count() == 0
+
+
+def many(spark, n_items=700, n_queries=10_000, dim=8):
+    rnd = np.random.default_rng(3)
+    items = rnd.integers(-3, 4, (n_items, dim)).astype(float)   # many equal and scaled vectors
+    queries = rnd.integers(-3, 4, (n_queries, dim)).astype(float)
+    frame = lambda x, k: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{k} int, embedding array<double>")
+    return items, queries, frame(items, "id"), frame(queries, "qid")
+
+
+def test_ten_thousand_queries_in_tiles(spark):
+    items, queries, di, dq = many(spark)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sims = (queries @ items.T) / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(items, axis=1)[None, :]
+    res = top_n_search(di, dq, item_keys=["id"], query_key="qid", top_n=3, threshold=0.2, block_rows=200)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    got = {}
+    for r in res.collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id))
+    for q in range(0, len(queries), 37):
+        scored = sorted((-np.floor(s * 1e6 + 0.5), i) for i, s in enumerate(sims[q]) if s >= 0.2)[:3]
+        assert sorted(got.get(q, [])) == [(k + 1, i) for k, (_, i) in enumerate(scored)]
+
+
+def test_same_rows_with_any_blocks_and_repeated_keys(spark):
+    _, _, di, dq = many(spark, 300, 60)
+    dq = dq.withColumn("qid", F.col("qid") % 7)  # keys repeat: one query with several vectors
+    rows = lambda **kw: sorted(map(tuple, top_n_search(di, dq, item_keys=["id"], query_key="qid", threshold=0.5,
+                                                       **kw).select("qid", "rank", "similarity", "id").collect()))
+    base = rows(top_n=4)
+    assert rows(top_n=4, max_broadcast_queries=16, block_rows=64) == base
+    assert rows(top_n=4, max_broadcast_queries=2, block_rows=1000) == base
+    everything = rows(top_n=None)
+    assert rows(top_n=None, max_broadcast_queries=16, block_rows=64) == everything
+    assert [r for r in everything if r[1] <= 4] == base
+
+
+def test_ranks_of_a_hot_group_come_from_many_tasks(spark):
+    rnd = np.random.default_rng(4)
+    data = [(1 if k % 10 else k % 4, int(rnd.integers(0, 50)), k) for k in range(5000)]
+    out = ranked(spark.createDataFrame(data, "g int, s int, id int"), "g", [F.col("s").desc(), F.col("id")], partitions=16)
+    rows = out.collect()
+    for g in {g for g, _, _ in data}:
+        want = sorted([(-s, i) for h, s, i in data if h == g])
+        assert [(-r.s, r.id) for r in sorted((r for r in rows if r.g == g), key=lambda r: r.rank)] == want
+        assert sorted(r.rank for r in rows if r.g == g) == list(range(1, len(want) + 1))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert len(windows) == 1 and "windowspecdefinition(_part" in windows[0]  # places are counted within partitions only
+
+
+def test_embedding_moves_no_vector(spark):
+    docs = spark.createDataFrame([(k, f"some text {k}\nmore of it") for k in range(200)], "doc_id long, text string").repartition(8)
+    plan = embedded_fragments(docs, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Repartition" not in plan.split("MapInArrow")[0]
+
+
+def test_token_embedder_edges(spark):
+    from textlake.operators.embed import HashedEmbedder
+
+    df = spark.createDataFrame([(1, None), (1, ""), (2, "Aa aA\taa\n"), (2, " ")], "k int, text string")
+    got = sorted((r.k, sum(r.embedding), max(r.embedding)) for r in HashedEmbedder().embed(df, ["k"]).collect())
+    assert got == [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 0.0), (2, 3.0, 3.0)]

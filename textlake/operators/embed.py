@@ -3,24 +3,35 @@
 The hosted embedding service of the original tool is replaced by a pluggable embedder. Two are provided:
 
 * :class:`HashedEmbedder` (default, offline, deterministic): lower-cased tokens of the newline-flattened text are
-  hashed into ``dims`` buckets (first 8 hex digits of the token's MD5, modulo ``dims``) and counted. It runs in the
-  JVM and has an exact SQL twin, which is what lets search results be checked against DuckDB.
+  hashed into ``dims`` buckets (first 8 hex digits of the token's MD5, modulo ``dims``) and counted. It has an exact SQL
+  twin, which is what lets search results be checked against DuckDB.
 * :class:`PandasEmbedder`: any Python model ``list[str] -> list[list[float]]`` applied with ``mapInPandas`` in
   batches of at most ``batch_size`` texts, the model built once per task.
 """
 
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+import time
+from collections.abc import Iterator
 from typing import Callable
 
+import numpy as np
 import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import flatten_newlines
 
 DEFAULT_DIMS = 64
+TOKEN = re.compile(r"[^ \t\n\r]+")
+#: tokens whose bucket a task remembers
+MAX_BUCKETS = 500_000
+# Fixed value: the longest wait between two attempts of an embedding call, in seconds.
+MAX_WAIT_SECONDS = 10.0
 
 
 def _c(col: Column | str) -> Column:
@@ -53,24 +64,44 @@ class HashedEmbedder:
     def embed(self, df: DataFrame, key_cols, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
         """Dense count vector ``ARRAY<DOUBLE>`` (length ``dims``) per row of ``df``, keyed by ``key_cols``.
 
-        Tokens are exploded and bucketed inside whole-stage code generation, then counted by one hash
-        aggregate with a conditional sum per bucket. Partial aggregation leaves one row per text before the
-        shuffle, and if ``df`` is already hash-partitioned on a subset of the keys there is no shuffle at all.
-        A text without tokens gets the zero vector.
+        Each row is embedded where it lies (Arrow batches), so no vector is shuffled. Text is lower-cased in the JVM, as
+        in the sparse form and its SQL twin. A text without tokens (or a null one) gets the zero vector.
         """
-        keys = list(key_cols)
-        # rows that share a key stay apart: numbered before the tokens are exploded
-        rows = df.withColumn("_row", F.monotonically_increasing_id())
-        toks = rows.select(*keys, "_row", F.explode_outer(_token_pieces(text_col)).alias("_tok"))
-        # the bucket is projected once; an empty piece (or a text without tokens) has no bucket
-        bucketed = toks.select(*keys, "_row", F.when(F.col("_tok") != "", token_bucket(F.col("_tok"), self.dims))
-                               .alias("_b"))
-        sums = [F.sum((F.col("_b") == F.lit(i)).cast("double")) for i in range(self.dims)]
-        return bucketed.groupBy(*keys, "_row").agg(F.array(*sums).alias(out_col)).drop("_row")
-
-
-def _call_model(model, texts: list, attempts: int = 3) -> list:
-    """One embedding call, repeated on failure or a wrong number of vectors; the last failure is raised."""
+        keys, dims = list(key_cols), self.dims
+        src = df.select(*keys, F.lower(_c(text_col)).alias("_text"))
+        schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys) + f", `{out_col}` array<double>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            buckets = Buckets(dims)
+            for batch in batches:
+                if len(buckets) > MAX_BUCKETS:
+                    buckets.clear()
+                counts = np.zeros((batch.num_rows, dims))
+                for row, text in zip(counts, batch.column(len(keys)).to_pylist(), strict=True):
+                    if text:
+                        row += np.bincount([buckets[t] for t in TOKEN.findall(text)], minlength=dims)
+                ends = pa.array(np.arange(0, counts.size + 1, dims, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], [*keys, out_col])
+
+        return src.mapInArrow(run, schema)
+
+
+class Buckets(dict):
+    """Bucket of each token met, by the first 8 hex digits of its MD5."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        b = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
+        return b
+
+
+def _call_model(model, texts: list, attempts: int = 3, max_wait: float = MAX_WAIT_SECONDS, sleep=time.sleep) -> list:
+    """One embedding call, repeated on failure or a wrong number of vectors after a random, growing wait; the last
+    failure is raised."""
     for left in range(attempts - 1, -1, -1):
         try:
             out = list(model(texts))
@@ -80,6 +111,7 @@ def _call_model(model, texts: list, attempts: int = 3) -> list:
         except Exception:
             if not left:
                 raise
+            sleep(random.uniform(0, min(max_wait, 2 ** (attempts - 1 - left))))
     return []
 
 

@@ -1,15 +1,12 @@
-"""Cosine search of text fragments (or stored vectors) against one or many queries.
+"""Cosine search of text fragments (or stored vectors) against one or many queries, and statistics of all similarities.
 
-Plan shape, for any number of queries:
+Items are scored block by block (:mod:`.tiles`); what leaves a task is a mergeable state, never a pair table:
 
-1. Query vectors are a small table. Its row count is checked against ``max_broadcast_queries`` before it is
-   collected and broadcast; a larger query table is cut into slices of at most that many rows, each scanned
-   in turn (exact, no cap on queries).
-2. The item side is scanned once per slice with ``mapInPandas``: each Arrow batch of item vectors is multiplied
-   by the query matrix (numpy), the threshold is applied, and only each batch's own top-n per query leaves the
-   task. No pair table and no cross join is ever built.
-3. A ``row_number`` window per query over those candidates (at most batches × n rows per query; Spark plans it
-   with a partial group limit) gives the final top-n.
+* Top-n: a task keeps each query's own n best. A ``row_number`` window with a partial group limit merges the tasks.
+* No limit: the rows above the threshold are the result. They are ranked by a range partition and partition counts
+  (:func:`.tiles.ranked`), so a query with very many hits spreads over tasks.
+* Statistics: a histogram per query with count, centred moments, least and largest value of each bin. The median is
+  selected exactly by counting again within the bin that holds it, until the two middle values are known.
 
 Ranking key: similarity rounded to 6 places (half away from zero, as DuckDB's ``round``), then the item keys
 ascending. Repeated texts give scaled vectors whose cosines agree only to the last bit; rounding makes them tie
@@ -18,231 +15,210 @@ and the keys break the tie, so the result is deterministic.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import np_round6, round6
+from ..session import materialize
+from .tiles import BLOCK_ROWS, MAX_BROADCAST_QUERIES, ranked, score
+
+DEFAULT_MAX_BROADCAST_QUERIES = MAX_BROADCAST_QUERIES
+
+
+def _type_of(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
+class TopN:
+    """The best ``n`` rows per query met so far (all rows above the threshold where ``n`` is None)."""
+
+    def __init__(self, queries: pd.DataFrame, query_key: str, keys: list[str], n: int | None, threshold: float):
+        self.ids, self.query_key, self.keys, self.n, self.threshold = queries[query_key], query_key, keys, n, threshold
+        self.floor, self.held, self.rows = np.full(len(queries), -np.inf), [], 0
+
+    def add(self, names: pd.DataFrame, sims: np.ndarray) -> Iterator[pd.DataFrame]:
+        near = np_round6(sims)
+        with np.errstate(invalid="ignore"):
+            keep = (sims >= self.threshold) & (near >= self.floor)
+        if self.n is not None and len(near) > 4 * self.n:  # at most the batch's own n best, and their ties
+            low = np.partition(np.where(keep, near, -np.inf), len(near) - self.n, axis=0)[len(near) - self.n]
+            keep &= near >= low
+        i, j = np.nonzero(keep)
+        if not len(i):
+            return
+        part = names.iloc[i].assign(_j=j, similarity=near[i, j])
+        if self.n is None:
+            yield self._named(part)
+            return
+        self.held.append(part)
+        self.rows += len(part)
+        if self.rows > max(50_000, 8 * self.n * len(self.ids)):
+            self._prune()
+
+    def _prune(self) -> None:
+        """Cuts every query's rows to its best ``n``. Batches may hold many rows that tie, so this may take several."""
+        part = pd.concat(self.held).sort_values(["_j", "similarity", *self.keys], ascending=[True, False] + [True] * len(self.keys))
+        part = part.groupby("_j", sort=False).head(self.n)
+        full = part.groupby("_j")["similarity"].agg(["min", "size"])
+        full = full[full["size"] == self.n]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+        self.held, self.rows = [part], len(part)
+
+    def _named(self, part: pd.DataFrame) -> pd.DataFrame:
+        named = part.assign(**{self.query_key: self.ids.to_numpy()[part["_j"].to_numpy()]})
+        return named[[self.query_key, *self.keys, "similarity"]]
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            self._prune()
+            yield self._named(self.held[0])
+
+
+def top_n_schema(items: DataFrame, queries: DataFrame, item_keys, query_key: str) -> str:
+    keys = ", ".join(f"`{k}` {_type_of(items, k)}" for k in item_keys)
+    return f"`{query_key}` {_type_of(queries, query_key)}, {keys}, similarity double"
+
+
+def merge_top_n(found: DataFrame, query_key: str, item_keys, top_n: int | None) -> DataFrame:
+    """``found`` candidates ranked per query from 1 (best); the best ``top_n``, or all."""
+    order = [F.col("similarity").desc(), *[F.col(k).asc() for k in item_keys]]
+    if top_n is None:
+        return ranked(found, query_key, order)
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(*order))
+    return found.withColumn("rank", place).filter(F.col("rank") <= int(top_n))
 
-DEFAULT_MAX_BROADCAST_QUERIES = 4096
 
+def top_n_search(items: DataFrame, queries: DataFrame, *, item_keys, query_key: str, vec_col: str = "embedding",
+                 query_vec_col: str = "embedding", top_n: int | None = 3, threshold: float | None = 0.0,
+                 max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES, query_row_bound: int | None = None,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Top-n items per query by cosine similarity, with ``rank`` from 1 (best).
 
-def _schema_of(df: DataFrame, cols) -> str:
-    by_name = {f.name: f for f in df.schema.fields}
-    return ", ".join(f"`{c}` {by_name[c].dataType.simpleString()}" for c in cols)
+    ``threshold`` keeps similarity ≥ threshold on the unrounded value (zero vectors never pass);
+    ``top_n=None`` keeps every item above the threshold. Null vectors, and those of another length than the queries',
+    match nothing. Rows that share a query key are one query with several vectors.
+    """
+    keys, floor = list(item_keys), -np.inf if threshold is None else float(threshold)
+    asked = queries.select(query_key, F.col(query_vec_col).alias("_q"))
+    found = score(items, asked, lambda q: TopN(q, query_key, keys, top_n, floor),
+                  top_n_schema(items, queries, keys, query_key), item_keys=keys, vec_col=vec_col, query_vec_col="_q",
+                  max_broadcast_queries=max_broadcast_queries, row_bound=query_row_bound, block_rows=block_rows)
+    return merge_top_n(found, query_key, keys, top_n)
 
 
-def query_slices(queries: DataFrame, query_key: str, vec_col: str, max_rows: int, row_bound: int | None = None):
-    """Yield ``(ids, matrix)`` slices of the query table, each at most ``max_rows`` rows.
+# ------------------------------------------------------------------ statistics
+BINS = 256
 
-    ``row_bound``, when known (for example the row count of the source table the vectors were made from), proves
-    the size: the vectors are then fetched in one plain job. Otherwise at most ``max_rows + 1`` rows are fetched
-    as the check. Above the bound the table is hashed into slices of bounded size, each fetched on its own.
-    No query is dropped.
+
+class Histogram:
+    """Per query: count, centred moments, least and largest value of each bin between ``_lo`` and ``_hi``.
+
+    Values below ``_lo`` are bin 0, those above ``_hi`` bin ``BINS + 1``, so every value is counted in every pass and
+    ranks never depend on an earlier pass.
     """
-    q = queries.select(query_key, vec_col)
-    if row_bound is not None and row_bound <= max_rows:
-        rows = q.collect()
-    else:
-        rows = q.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        slices = [rows]
-    else:
-        n = q.count()
-        n_slices = math.ceil(n / max_rows) * 2  # hashing is uneven: aim at half the bound per slice
-        keyed = q.withColumn("_slice", F.pmod(F.xxhash64(query_key), F.lit(n_slices)))
-        slices = (keyed.filter(F.col("_slice") == s).drop("_slice").collect() for s in range(n_slices))
-    for part in slices:
-        if not part:
-            continue
-        if len(part) > 2 * max_rows:
-            raise RuntimeError("query slice above the broadcast bound; raise max_broadcast_queries")
-        ids = [r[0] for r in part]
-        mat = np.asarray([np.asarray(r[1], dtype=np.float64) for r in part], dtype=np.float64)
-        yield ids, mat
-
-
-def _scores(pdf, vec_col, qmat, q_norm):
-    vecs = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64, copy=False)
-    if vecs.ndim == 1:
-        vecs = vecs.reshape(len(pdf), -1)
-    dots = vecs @ qmat.T
-    v_norm = np.sqrt((vecs * vecs).sum(axis=1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sims = dots / (v_norm[:, None] * q_norm[None, :])
-    sims[~np.isfinite(sims)] = np.nan
-    return sims
-
-
-def _top_candidates(items: DataFrame, item_keys, vec_col, qids, qmat, query_key, query_key_type, top_n,
-                    threshold):
-    spark = items.sparkSession
-    bq = spark.sparkContext.broadcast((list(qids), qmat))
-    keys = list(item_keys)
-    schema = f"`{query_key}` {query_key_type}, " + _schema_of(items, keys) + ", similarity double"
-    thr = -math.inf if threshold is None else float(threshold)
-
-    def run(batches):
-        import pandas as pd
-
-        ids, mat = bq.value
-        q_norm = np.sqrt((mat * mat).sum(axis=1))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            sims = _scores(pdf, vec_col, mat, q_norm)
-            rounded = np_round6(sims)
-            key_arrays = [pdf[k].to_numpy() for k in keys]
-            parts = []
-            for j, qid in enumerate(ids):
-                col = sims[:, j]
-                idx = np.nonzero(col >= thr)[0]
-                if idx.size == 0:
-                    continue
-                r = rounded[idx, j]
-                if top_n is not None and idx.size > top_n:
-                    cut = -np.partition(-r, top_n - 1)[top_n - 1]
-                    keep = r >= cut
-                    idx, r = idx[keep], r[keep]
-                    order = np.lexsort(tuple(k[idx] for k in reversed(key_arrays)) + (-r,))[:top_n]
-                    idx, r = idx[order], r[order]
-                out = {query_key: [qid] * idx.size}
-                for k, arr in zip(keys, key_arrays):
-                    out[k] = arr[idx]
-                out["similarity"] = r
-                parts.append(pd.DataFrame(out))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    return items.select(*keys, vec_col).mapInPandas(run, schema)
 
+    def __init__(self, queries: pd.DataFrame, query_key: str):
+        self.ids, self.query_key, q = queries[query_key], query_key, len(queries)
+        self.lo, self.hi = (queries[c].to_numpy(np.float64) for c in ("_lo", "_hi"))
+        size = q * (BINS + 2)
+        self.n, self.d, self.dd = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+        self.least, self.most = np.full(size, np.inf), np.full(size, -np.inf)
+        width = (self.hi - self.lo) / BINS
+        self.scale = np.where(width > 0, 1 / np.where(width > 0, width, 1), 0.0)
+        self.centre = (self.lo[:, None] + width[:, None] * (np.arange(BINS + 2) - 0.5)).ravel()
+
+    def add(self, names: pd.DataFrame, sims: np.ndarray) -> Iterator[pd.DataFrame]:
+        i, j = np.nonzero(~np.isnan(sims))
+        v = sims[i, j]
+        lo, hi = self.lo[j], self.hi[j]
+        inside = np.clip(((v - lo) * self.scale[j]).astype(np.int64), 0, BINS - 1) + 1
+        slot = j * (BINS + 2) + np.where(v < lo, 0, np.where(v > hi, BINS + 1, inside))
+        off = v - self.centre[slot]
+        self.n += np.bincount(slot, minlength=len(self.n))
+        self.d += np.bincount(slot, off, len(self.n))
+        self.dd += np.bincount(slot, off * off, len(self.n))
+        np.minimum.at(self.least, slot, v)
+        np.maximum.at(self.most, slot, v)
+        return iter(())
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        used = np.flatnonzero(self.n)
+        yield pd.DataFrame({self.query_key: self.ids.to_numpy()[used // (BINS + 2)], "bin": (used % (BINS + 2)).astype(np.int32),
+                            "n": self.n[used], "centre": self.centre[used], "d": self.d[used], "dd": self.dd[used],
+                            "least": self.least[used], "most": self.most[used]})
+
+
+def _bins(items: DataFrame, asked: DataFrame, query_key: str, keys: list[str], vec_col: str, **how) -> DataFrame:
+    """Merged bins per query with the number of values before each; a query has at most ``BINS + 2`` rows."""
+    schema = (f"`{query_key}` {_type_of(asked, query_key)}, bin int, n long, centre double, d double, dd double, "
+              "least double, most double")
+    parts = score(items, asked, lambda q: Histogram(q, query_key), schema, item_keys=keys, vec_col=vec_col,
+                  query_vec_col="_q", **how)
+    merged = parts.groupBy(query_key, "bin").agg(
+        F.sum("n").alias("n"), F.first("centre").alias("centre"), F.sum("d").alias("d"), F.sum("dd").alias("dd"),
+        F.min("least").alias("least"), F.max("most").alias("most"))
+    w = Window.partitionBy(query_key)
+    return merged.select("*", F.sum("n").over(w).alias("total"), F.coalesce(F.sum("n").over(
+        w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
+def _middle(bins: DataFrame, query_key: str) -> DataFrame:
+    """``(query, low, high, _lo, _hi)``: the two middle values where the bins tell them, else the range to look in.
+
+    Middle ranks in two bins are the largest value of one and the least of the next; in one bin they are known where the
+    bin holds a single value (or one of two at its ends).
+    """
+    k1, k2 = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    first, last = F.col("before"), F.col("before") + F.col("n") - 1
 
-def top_n_search(items: DataFrame, queries: DataFrame, *, item_keys, query_key: str, vec_col: str = "embedding",
-                 query_vec_col: str = "embedding", top_n: int | None = 3, threshold: float | None = 0.0,
-                 max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
-                 query_row_bound: int | None = None) -> DataFrame:
-    """Top-n items per query by cosine similarity, with ``rank`` from 1 (best).
+    def value(k):
+        return (F.when((k < first) | (k > last), F.lit(None)).when(k == first, F.col("least")).when(k == last, F.col("most"))
+                .when(F.col("least") == F.col("most"), F.col("least")))
 
-    ``threshold`` keeps similarity ≥ threshold on the unrounded value (zero vectors never pass);
-    ``top_n=None`` keeps every item above the threshold.
+    holds = (k1 >= first) & (k1 <= last) | (k2 >= first) & (k2 <= last)
+    return bins.where(holds).groupBy(query_key).agg(
+        F.max(value(k1)).alias("low"), F.max(value(k2)).alias("high"), F.min("least").alias("_lo"),
+        F.max("most").alias("_hi"))
+
+
+def similarity_statistics(items: DataFrame, queries: DataFrame, *, item_keys, query_key: str, vec_col: str = "embedding",
+                          query_vec_col: str = "embedding", max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
+                          query_row_bound: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``query, n_scored, sim_min, sim_max, sim_mean, sim_median, sim_std`` over the similarities of all items, rounded to
+    6 places (zero vectors are not scored; a query without any similarity gives no row).
+
+    Every pass scores all items and sends at most ``BINS + 2`` rows per query and task. The first one gives everything
+    but the median; each further one looks ``BINS`` times closer around the middle of the queries not settled yet: three
+    or four passes for a billion items. ``items`` are read once per pass, so they should be a table. A query key must
+    not repeat.
     """
-    qtype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[query_key]
-    parts = [
-        _top_candidates(items, item_keys, vec_col, ids, mat, query_key, qtype, top_n, threshold)
-        for ids, mat in query_slices(queries, query_key, query_vec_col, max_broadcast_queries, query_row_bound)
-    ]
-    if not parts:
-        spark: SparkSession = items.sparkSession
-        empty = spark.createDataFrame([], f"`{query_key}` {qtype}, " + _schema_of(items, item_keys) +
-                                      ", similarity double")
-        parts = [empty]
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), *[F.col(k).asc() for k in item_keys])
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    if top_n is not None:
-        ranked = ranked.filter(F.col("rank") <= int(top_n))
-    return ranked
-
-
-def all_similarities(items: DataFrame, queries: DataFrame, *, item_keys, query_key: str,
-                     vec_col: str = "embedding", query_vec_col: str = "embedding",
-                     max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
-                     query_row_bound: int | None = None) -> DataFrame:
-    """Raw similarity of every item to every query (NULL for zero vectors): input of the statistics."""
-    qtype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[query_key]
     keys = list(item_keys)
-    schema = f"`{query_key}` {qtype}, " + _schema_of(items, keys) + ", similarity double"
-    spark = items.sparkSession
-    parts = []
-    for ids, mat in query_slices(queries, query_key, query_vec_col, max_broadcast_queries, query_row_bound):
-        bq = spark.sparkContext.broadcast((ids, mat))
-
-        def run(batches, bq=bq):
-            import pandas as pd
-
-            qids, qm = bq.value
-            q_norm = np.sqrt((qm * qm).sum(axis=1))
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                sims = _scores(pdf, vec_col, qm, q_norm)
-                b = len(pdf)
-                out = {query_key: np.repeat(np.asarray(qids, dtype=object), b)}
-                for k in keys:
-                    out[k] = np.tile(pdf[k].to_numpy(), len(qids))
-                out["similarity"] = sims.T.reshape(-1)
-                yield pd.DataFrame(out)
-
-        parts.append(items.select(*keys, vec_col).mapInPandas(run, schema))
-    if not parts:  # no query: no similarity
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def similarity_stats(sims: DataFrame, group_cols, value_col: str = "similarity", accuracy: int = 10000,
-                     groups_bound: int | None = None) -> DataFrame:
-    """min, max, mean, exact median and population std of similarities per group (NULLs skipped), rounded
-    to 6 places.
-
-    Two passes over ``sims``, neither holding a whole group in one buffer:
-
-    1. one grouped aggregate with partial aggregation: count, min, max, mean, std, and a bracket [lo, hi] around
-       the middle ranks from ``percentile_approx`` (rank error at most n/accuracy, widened 4×);
-    2. per group, counts of values below lo, equal to lo and equal to hi, and the sorted values strictly inside
-       the bracket, from which the two middle values are read. Values tied with an end of the bracket are
-       counted, never collected, so heavy ties (copies of a text) cannot inflate the collected list, which stays
-       within the bracket's rank width (about 10n/accuracy values).
-
-    Median = mean of the two middle values (as DuckDB and numpy). A bracket that misses the middle ranks raises.
-
-    ``groups_bound`` (a proven upper bound on the number of groups, e.g. the query count) lets the one-row-per-
-    group bounds be broadcast to pass 2, so the values are never shuffled (a single hot group stays spread over
-    all tasks). Without it the join is a shuffle join; either way the value side is never the broadcast side,
-    whatever the planner estimates for the output of a Python step.
-    """
-    gcols = list(group_cols)
-    eps = 4.0 / accuracy
-    vals = sims.select(*gcols, F.col(value_col).alias("_v")).filter(F.col("_v").isNotNull())
-    first = vals.groupBy(*gcols).agg(
-        F.count(F.lit(1)).alias("n_scored"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"),
-        F.percentile_approx("_v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_b"),
-    )
-    # pass-1 results ride along with the bracket, so pass 1 feeds pass 2 only (no second branch to join)
-    bounds = first.select(*gcols, "n_scored", "_min", "_max", "_mean", "_std",
-                          F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    side = F.broadcast(bounds) if groups_bound is not None and groups_bound <= 100_000 else bounds.hint("shuffle_hash")
-    j = vals.join(side, gcols).groupBy(*gcols).agg(
-        *[F.first(c).alias(c) for c in ("n_scored", "_min", "_max", "_mean", "_std", "_lo", "_hi")],
-        F.count_if(v < lo).alias("_below"),
-        F.count_if(v == lo).alias("_eq_lo"),
-        F.count_if((v == hi) & (hi != lo)).alias("_eq_hi"),
-        F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("_w"),
-    )
-
-    def kth(k):
-        r = k - F.col("_below")
-        inner = r - F.col("_eq_lo")
-        n_in = F.size("_w")
-        return (F.when(r < 0, F.lit(None))
-                .when(r < F.col("_eq_lo"), lo)
-                .when(inner < n_in, F.element_at("_w", (inner + 1).cast("int")))
-                .when(inner < n_in + F.col("_eq_hi"), hi))
-
-    k1 = F.floor((F.col("n_scored") - 1) / 2)
-    k2 = F.ceil((F.col("n_scored") - 1) / 2)
-    a, b = kth(k1), kth(k2)
-    med = F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2).otherwise(
-        F.raise_error(F.lit("median bracket missed the middle ranks")))
-    return j.select(
-        *gcols, "n_scored", round6("_min").alias("sim_min"), round6("_max").alias("sim_max"),
-        round6("_mean").alias("sim_mean"), round6(med).alias("sim_median"), round6("_std").alias("sim_std"),
-    )
+    how = {"max_broadcast_queries": max_broadcast_queries, "row_bound": query_row_bound, "block_rows": block_rows}
+    vectors = queries.select(query_key, F.col(query_vec_col).alias("_q"))
+    asked = vectors.select("*", F.lit(-1.0).alias("_lo"), F.lit(1.0).alias("_hi"))
+    bins = materialize(_bins(items, asked, query_key, keys, vec_col, **how), "stat-bins")
+    w, c = Window.partitionBy(query_key), F.col("centre")
+    mean = F.sum(F.col("d") + F.col("n") * c).over(w) / F.col("total")
+    spread = F.col("dd") + 2 * F.col("d") * (c - F.col("_mean")) + F.col("n") * (c - F.col("_mean")) * (c - F.col("_mean"))
+    basics = bins.withColumn("_mean", mean).groupBy(query_key).agg(
+        F.first("total").alias("n_scored"), F.min("least").alias("_min"), F.max("most").alias("_max"),
+        F.first("_mean").alias("_mean"), F.sqrt(F.greatest(F.sum(spread) / F.first("total"), F.lit(0.0))).alias("_std"))
+    found, open_ = [], F.col("low").isNull() | F.col("high").isNull()
+    while True:
+        middle = materialize(_middle(bins, query_key), "stat-middle")
+        found.append(middle.where(~open_).select(query_key, "low", "high"))
+        left = middle.where(open_).select(query_key, "_lo", "_hi")
+        if left.isEmpty():
+            break
+        bins = _bins(items, vectors.join(left, query_key), query_key, keys, vec_col, **how)
+    settled = found[0]
+    for more in found[1:]:
+        settled = settled.unionByName(more)
+    return basics.join(settled, query_key).select(
+        query_key, "n_scored", round6("_min").alias("sim_min"), round6("_max").alias("sim_max"),
+        round6("_mean").alias("sim_mean"), round6((F.col("low") + F.col("high")) / 2).alias("sim_median"),
+        round6("_std").alias("sim_std"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embed import HashedEmbedder
 from ..operators.fragments import min_lines, split_fragments
-from ..operators.search import all_similarities, similarity_stats, top_n_search
+from ..operators.search import similarity_statistics, top_n_search
 from ..session import materialize, spread
 from ..sources.tables import non_empty
 
@@ -66,9 +66,7 @@ def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int
 
 def search_statistics(documents: DataFrame, queries: DataFrame, *, query_key: str = "item_id",
                       query_text: str = "text", fragment_lines: int = 20, embedder=None) -> DataFrame:
-    # the statistics read the similarities twice: embed once, keep it in the checkpoint folder
+    # every pass of the statistics reads the vectors: embed once, keep them in the checkpoint folder
     frags = materialize(embedded_fragments(documents, fragment_lines, 0, embedder), "embedded-fragments")
     q = embedded_queries(queries, query_key, query_text, embedder)
-    n_queries = queries.count()
-    sims = all_similarities(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, query_row_bound=n_queries)
-    return similarity_stats(sims, [query_key], groups_bound=n_queries)
+    return similarity_statistics(frags, q, item_keys=FRAGMENT_KEYS, query_key=query_key, query_row_bound=queries.count())
