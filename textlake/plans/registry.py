@@ -6,6 +6,7 @@ defaults unless the key says otherwise.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,9 @@ from ..functions.vectors import cosine, round6, round_half_away
 from ..operators.embed import HashedEmbedder
 from ..operators.fragments import combine_fragments, with_end_line
 from ..operators.search import top_n_search
-from ..session import broadcast_if_small, ship_package, spread
+from ..operators.vector_cache import VectorCache, embed_with_cache
+from ..operators.vector_index import build_index, indexed_search
+from ..session import broadcast_if_small, ensure_checkpoint_dir, ship_package, spread
 from ..sources.tables import DOCUMENT_PATH_SQL, non_empty, read_documents, read_table
 from . import search as S
 from .sqlparts import (bucket_sql, cosine_sql, hashed_tokens_sql, hashed_vector_sql, round6_sql, split_lines_sql,
@@ -217,20 +220,34 @@ def q_search_report(spark, sf_dir):
                       round_half_away(F.col("similarity"), 2).alias("similarity_2"), "path", "contents")
 
 
-@register("vector_topn", f"""
+_VECTOR_TOPN_SQL = f"""
 WITH q AS (SELECT item_id, {hashed_vector_sql('text')} AS v FROM benchmark),
 s AS (SELECT q.item_id, e.vec_id, {cosine_sql('CAST(e.embedding AS DOUBLE[])', 'q.v')} AS sim FROM q, embeddings e),
 r AS (SELECT item_id, vec_id, round(sim, 6) AS similarity,
              CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 6) DESC, vec_id) AS INTEGER) AS rank
       FROM s WHERE sim IS NOT NULL AND sim >= 0.0)
-SELECT * FROM r WHERE rank <= 3""")
+SELECT * FROM r WHERE rank <= 3"""
+
+
+def _stored_vectors(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@register("vector_topn", _VECTOR_TOPN_SQL)
 def q_vector_topn(spark, sf_dir):
     """Search over stored vectors: each benchmark text (hashed, 64 buckets) against ``embeddings``."""
-    emb = read_table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     q = S.embedded_queries(read_table(spark, sf_dir, "benchmark"))
-    return top_n_search(spread(emb, "vec_id"), q, item_keys=["vec_id"], query_key="item_id", top_n=3,
-                        threshold=0.0)
+    return top_n_search(spread(_stored_vectors(spark, sf_dir), "vec_id"), q, item_keys=["vec_id"], query_key="item_id",
+                        top_n=3, threshold=0.0)
+
+
+@register("vector_topn_indexed", _VECTOR_TOPN_SQL)
+def q_vector_topn_indexed(spark, sf_dir):
+    """The same rows as ``vector_topn`` through the exact cell index: cells that cannot reach the n-th score are skipped."""
+    index = build_index(spread(_stored_vectors(spark, sf_dir), "vec_id"), item_keys=["vec_id"])
+    q = S.embedded_queries(read_table(spark, sf_dir, "benchmark"))
+    return indexed_search(index, q, query_key="item_id", top_n=3, threshold=0.0)[0]
 
 
 # ---------------------------------------------------------------- tokens
@@ -621,6 +638,27 @@ def q_infer_with_cache(spark, sf_dir):
     return answers.select("req_id", "response", "from_cache")
 
 
+@register("embed_with_cache", f"""
+WITH {_CACHE_SQL.strip()},
+v AS (SELECT r.req_id, l.cache_key IS NOT NULL AS from_cache, {hashed_vector_sql('r.input')} AS v
+      FROM requests r LEFT JOIN live l ON l.cache_key = r.cache_key)
+SELECT req_id, from_cache, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ',') AS counts
+FROM v""")
+def q_embed_with_cache(spark, sf_dir):
+    """Vectors of documents and benchmark texts from a table of cached ones (entry ages as in the other cache queries);
+    missing and expired texts are embedded once each and appended."""
+    cache = VectorCache(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/vector-cache-{uuid.uuid4().hex}")
+    old = _docs(spark, sf_dir).select(_flat_key().alias("cache_key"), "n_chars", flatten_newlines("text").alias("text"))
+    ts = F.timestamp_seconds(F.lit(AS_OF_EPOCH) - F.col("n_chars") * AGE_PER_CHAR)
+    cache.append(HashedEmbedder().embed(spread(old, "cache_key"), ["cache_key", "n_chars"]).select(
+        "cache_key", "embedding", ts.alias("ts")))
+    requests = _requests(spark, sf_dir).select("req_id", F.col("input").alias("text"))
+    out = embed_with_cache(spread(requests, "req_id"), cache, HashedEmbedder(), _as_of(), key_cols=["req_id"],
+                           mode=EMBED_MODE, model=EMBED_MODEL)
+    return out.select("req_id", "from_cache", F.array_join(F.transform(
+        "embedding", lambda x: x.cast("int").cast("string")), ",").alias("counts"))
+
+
 @register("batch_infer", _prompt_sql("CAST(NULL AS VARCHAR)", False) + f"""
 SELECT conv_id, turn, CAST({token_count_sql('prompt')} AS VARCHAR) || ' tokens' AS response,
        CAST(NULL AS VARCHAR) AS error FROM y""")
