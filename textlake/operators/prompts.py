@@ -100,6 +100,7 @@ def render_bundles(files: DataFrame, bundle_cols, order_col: str, path_col: str
 # A file block: comment with the path (its fence may follow on the same line), opening fence with an optional
 # info string, body, and a closing fence line equal to the opening one.
 BLOCK_PATTERN = r"(?ms)^<!-- ([^\n]+?) -->\n?(`{3,})[^`\n]*\n(.*?)^\2[ \t]*$"
+BLOCK_HEAD, BLOCK_END = r"\A<!-- ([^\n]+?) -->\n?`{3,}[^`\n]*\n", r"\n?`{3,}[ \t]*\z"
 # DuckDB's regex engine has no back-references: the oracle reads three-backtick fences only.
 BLOCK_PATTERN_SQL = r"(?ms)^<!-- ([^\n]+?) -->\n?```[^`\n]*\n(.*?)^```[ \t]*$"
 
@@ -108,15 +109,15 @@ def parse_bundle(df: DataFrame, bundle_col: str, keep_cols=(), keep_failed: str
     """Markdown → rows ``(*keep_cols, file_pos, path, text)``, one per file block (generator, no shuffle).
 
     Paths are anything on one line. ``keep_failed`` names a column: rows where it is set stay, without a file."""
-    b = F.col(bundle_col)
-    paths = F.regexp_extract_all(b, F.lit(BLOCK_PATTERN), F.lit(1))
-    bodies = F.regexp_extract_all(b, F.lit(BLOCK_PATTERN), F.lit(3))
+    blocks = F.regexp_extract_all(F.col(bundle_col), F.lit(BLOCK_PATTERN), F.lit(0))
     explode = F.posexplode if keep_failed is None else F.posexplode_outer
-    out = df.select(*keep_cols, explode(F.arrays_zip(paths.alias("path"), bodies.alias("body"))).alias("file_pos", "_f"))
+    out = df.select(*keep_cols, explode(blocks).alias("file_pos", "_block"))
     if keep_failed is not None:
         out = out.where(F.col("file_pos").isNotNull() | F.col(keep_failed).isNotNull())
-    return out.select(*keep_cols, F.col("file_pos").cast("int").alias("file_pos"), F.col("_f.path").alias("path"),
-                      F.regexp_replace(F.col("_f.body"), "\n\\z", "").alias("text"))
+    # the pattern with its back-reference runs once per bundle; a block's head and closing fence are cut off by plain ones
+    body = F.regexp_replace(F.regexp_replace("_block", BLOCK_HEAD, ""), BLOCK_END, "")
+    return out.select(*keep_cols, F.col("file_pos").cast("int").alias("file_pos"),
+                      F.nullif(F.regexp_extract("_block", BLOCK_HEAD, 1), F.lit("")).alias("path"), body.alias("text"))
 
 
 def clean_response(response, strip: bool = True) -> Column:

@@ -198,7 +198,7 @@ def similarity_statistics(items: DataFrame, queries: DataFrame, *, item_keys, qu
     """
     keys = list(item_keys)
     how = {"max_broadcast_queries": max_broadcast_queries, "row_bound": query_row_bound, "block_rows": block_rows}
-    vectors = queries.select(query_key, F.col(query_vec_col).alias("_q"))
+    vectors = materialize(queries.select(query_key, F.col(query_vec_col).alias("_q")), "stat-queries")
     asked = vectors.select("*", F.lit(-1.0).alias("_lo"), F.lit(1.0).alias("_hi"))
     bins = materialize(_bins(items, asked, query_key, keys, vec_col, **how), "stat-bins")
     w, c = Window.partitionBy(query_key), F.col("centre")

@@ -57,6 +57,14 @@ def make_bundle_model():
     return fn
 
 
+def make_marking_model():
+    """Transform stand-in whose edit only inserts: every file of the bundle comes back with a last line added."""
+    def fn(prompts):
+        return ["\n".join(f"<!-- {path} -->\n{fence}\n{body}@@ end @@\n{fence}" for path, fence, body in
+                          _BLOCK.findall(_context(p))) + f"\n{_END}" for p in prompts]
+    return fn
+
+
 def make_create_model():
     """Create stand-in: one file ``created/<n>.txt`` holding the request, n = tokens of the request."""
     def fn(prompts):

@@ -39,10 +39,30 @@ def example_array(set_name: str) -> Column:
                               F.lit(a).alias("response")) for _seq, c, r, a in items])
 
 
-def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, **kw) -> DataFrame:
-    """Model answers, cleaned; ``key_cols`` (any columns) are carried through the call."""
-    out = batch_infer(prompts, make_fn, key_cols=key_cols, **kw)
-    return out.select(*key_cols, PR.clean_response("response", strip=strip).alias("answer"), "error")
+def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, model: str | None = None,
+             max_output_tokens: int | None = None, tokenizer=None, **kw) -> DataFrame:
+    """Model answers, cleaned; ``key_cols`` (any columns) are carried through the call.
+
+    With ``model`` its window holds: a prompt that leaves too little of it is not sent, and an answer beyond the output
+    budget (``max_output_tokens``, else what the prompt leaves) is not used. Both give a row with ``error`` set. Without
+    ``model`` only ``max_output_tokens`` is checked, where given."""
+    keys, checked = list(key_cols), model is not None or max_output_tokens is not None
+    if not checked:
+        out = batch_infer(prompts, make_fn, key_cols=keys, **kw)
+        return out.select(*keys, PR.clean_response("response", strip=strip).alias("answer"), "error")
+    limit = None if max_output_tokens is None else F.lit(int(max_output_tokens))
+    n, budget, fits = PR.prompt_budget("prompt", F.lit(model), limit, tokenizer=tokenizer)
+    sized = prompts.select(*keys, "prompt", n, budget, fits)
+    if model is not None and limit is not None:  # the asked output has to fit beside the prompt
+        sized = sized.withColumn("fits", F.col("prompt_tokens") + limit <= PR.model_window(F.lit(model)))
+    sent = sized.withColumn("prompt", F.when(F.col("fits"), F.col("prompt"))).withColumn("_long", F.when(
+        ~F.col("fits"), F.concat(F.lit("prompt too long: "), F.col("prompt_tokens").cast("string"), F.lit(" tokens"))))
+    out = batch_infer(sent, make_fn, key_cols=[*keys, "output_budget", "_long"], **kw)
+    _finished, overflow = PR.response_flags("response", "output_budget", tokenizer)
+    cut = F.when(overflow, F.concat(F.lit("answer longer than "), F.col("output_budget").cast("string"), F.lit(" tokens")))
+    out = out.withColumn("error", F.coalesce("_long", "error", cut))
+    return out.select(*keys, F.when(F.col("error").isNull(), PR.clean_response("response", strip=strip)).alias("answer"),
+                      "error")
 
 
 def _first_error(col: str = "error") -> Column:
@@ -70,7 +90,7 @@ def history_examples(history: DataFrame, make_rating_fn, max_log_tokens: int = P
     picks = pick_examples(sized, "repo", "seq", "cost", max_log_tokens, num_examples)
     picked = history.join(picks.select("repo", "seq", "pick_no"), ["repo", "seq"])
     rated = rate_messages(picked.select(F.concat_ws("#", "repo", F.col("seq").cast("string")).alias("msg_id"),
-                                        "message"), make_rating_fn, **kw)
+                                        "message"), make_rating_fn, tokenizer=tokenizer, **kw)
     ex = picked.withColumn("msg_id", F.concat_ws("#", "repo", F.col("seq").cast("string"))).join(rated, "msg_id")
     # a failed rating is no rating of 0: such an example is left out
     ex = ex.where(F.col("error").isNull()).select("repo", "pick_no", F.struct(F.col("patch").alias("context"),
@@ -83,16 +103,19 @@ def history_examples(history: DataFrame, make_rating_fn, max_log_tokens: int = P
 def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rating_fn, *,
                       max_diff_tokens: int = P.DIFF_TOKENS, max_log_tokens: int = P.HISTORY_TOKENS,
                       num_examples: int = P.NUM_EXAMPLES, use_builtin_examples: bool = True, hint: str | None = None,
-                      max_output_tokens: int = DEFAULT_OUTPUT_TOKENS, **kw) -> DataFrame:
+                      max_output_tokens: int | None = DEFAULT_OUTPUT_TOKENS, **kw) -> DataFrame:
     """``repo, n_chunks, message, error``: one commit message per repo for its staged changes.
 
+    A message of more than ``max_output_tokens`` is an error. ``model`` and ``tokenizer`` are honoured throughout.
     ``error`` is set, and ``message`` NULL, where any model call of the repo failed."""
     require_changes(changes)
-    packed = P.pack_changes(changes, max_diff_tokens)
-    chunks = P.chunk_texts(changes, packed, max_diff_tokens).withColumn(
+    packed = P.pack_changes(changes, max_diff_tokens, tokenizer=kw.get("tokenizer"))
+    chunks = P.chunk_texts(changes, packed, max_diff_tokens, kw.get("tokenizer")).withColumn(
         "chunk_id", F.concat_ws("#", "repo", F.coalesce(F.col("emit_seq"), F.lit(-1)).cast("string"),
                                 F.col("first_seq").cast("string")))
-    hist = history_examples(history, make_rating_fn, max_log_tokens, num_examples, **kw)
+    tokenizer = kw.get("tokenizer")
+    hist = history_examples(history, make_rating_fn, max_log_tokens, num_examples, tokenizer,
+                            **{k: v for k, v in kw.items() if k != "tokenizer"})
     builtin = example_array("commit") if use_builtin_examples else F.array()
     ex_col = F.concat(builtin, F.coalesce(F.col("examples"), F.array()))
     request = PR.request_text(F.lit(10), F.lit(hint).cast("string"))
@@ -103,7 +126,7 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
         "repo", ord_key.alias("ord"),
         PR.assemble_prompt("diff", request, F.lit(COMMIT_PRE_PROMPT), ex_col).alias("prompt"))
     # one linear path from here: the answers are never joined back or split into two branches
-    items = _answers(prompts, make_fn, ["repo", "ord"], **kw)
+    items = _answers(prompts, make_fn, ["repo", "ord"], max_output_tokens=max_output_tokens, **kw)
     # one combining call over all messages of a repo in emit order, whatever their number; the prompt that holds them
     # is one output row. A failed chunk leaves the repo without a message, never with one made of the others.
     agg = items.groupBy("repo").agg(
@@ -112,7 +135,8 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
                      "\n").alias("joined"))
     prompt = F.when((F.col("n_chunks") > 1) & F.col("_chunk_error").isNull(), PR.assemble_prompt(
         "joined", F.lit(COMBINE_REQUEST), F.lit(DEFAULT_PRE_PROMPT), example_array("combine")))
-    ans = _answers(agg.withColumn("prompt", prompt), make_fn, ["repo", "n_chunks", "_chunk_error", "joined"], **kw)
+    ans = _answers(agg.withColumn("prompt", prompt), make_fn, ["repo", "n_chunks", "_chunk_error", "joined"],
+                   max_output_tokens=max_output_tokens, **kw)
     message = F.when(F.col("n_chunks") > 1, F.col("answer")).otherwise(F.col("joined"))
     return ans.withColumn("error", F.coalesce("_chunk_error", "error")).select(
         "repo", "n_chunks", F.when(F.col("error").isNull(), message).alias("message"), "error")
@@ -134,8 +158,8 @@ def transform_documents(files: DataFrame, request: str, make_fn, *, group_col: s
     if max_chunk_tokens is None:
         packed = files.select(group_col, order_col, F.lit(0).cast("bigint").alias("chunk_no"))
     else:
-        packed = P.pack_documents(files, group_col, order_col, max_chunk_tokens).select(group_col, order_col,
-                                                                                          "chunk_no")
+        packed = P.pack_documents(files, group_col, order_col, max_chunk_tokens, kw.get("tokenizer")).select(
+            group_col, order_col, "chunk_no")
     bundles = PR.render_bundles(files.join(packed, [group_col, order_col]), [group_col, "chunk_no"], order_col)
     prompts = bundles.select(F.concat_ws("#", group_col, F.col("chunk_no").cast("string")).alias("bundle_id"),
                              PR.assemble_prompt("bundle", F.lit(request), F.lit(pre_prompt)).alias("prompt"))

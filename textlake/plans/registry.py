@@ -772,12 +772,22 @@ def q_diff_hunks_wide(spark, sf_dir):
     return D.hunks(D.diff_lines(edit_pairs(spark, sf_dir)), 4)
 
 
+@register("diff_hunk_lines", f"""
+WITH rows AS ({_diff_lines_sql(False)}), hunk AS ({_hunks_sql(3)})
+SELECT h.pair_id, h.hunk_no, r.pos, r.op, r.line,
+       CAST(r.pos + 1 AS INTEGER) AS new_line
+FROM hunk h JOIN rows r ON r.pair_id = h.pair_id AND r.pos >= h.start AND r.pos < h."end" """)
+def q_diff_hunk_lines(spark, sf_dir):
+    """The lines of each context hunk (context 3) of the insert-only edits, with new-side line numbers."""
+    return D.hunk_lines(D.diff_lines(edit_pairs(spark, sf_dir)), 3)
+
+
 # ---------------------------------------------------------------- pipelines
 # The offline stand-in models are deterministic; where their answers follow in SQL the query has an oracle,
 # which then checks the whole prompt → model → cleaning → parsing path (for commit summaries: packing, chunk
-# texts, per-chunk calls and the combining call). Transforms stay rows-only (the diff needs difflib).
+# texts, per-chunk calls and the combining call; for transforms an edit that only inserts).
 from . import pipelines as PL  # noqa: E402
-from .models import make_bundle_model, make_commit_model, make_create_model, make_rating_model  # noqa: E402
+from .models import make_commit_model, make_create_model, make_marking_model, make_rating_model  # noqa: E402
 
 
 @register("rate_messages", f"""
@@ -816,10 +826,13 @@ def q_summarize_changes(spark, sf_dir):
     return PL.summarize_changes(ch, ch, make_commit_model, make_rating_model)
 
 
-@register("transform_documents")
+@register("transform_documents", f"""
+SELECT {DOCUMENT_PATH_SQL} AS path, text || chr(10) || '@@ end @@' AS text, text AS original, CAST(1 AS INTEGER) AS added,
+       CAST(0 AS INTEGER) AS removed, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text <> ''""")
 def q_transform_documents(spark, sf_dir):
-    """All documents rewritten bundle by bundle (offline model), with line counts against the originals."""
-    return PL.transform_documents(read_documents(spark, sf_dir), "Upper-case every line.", make_bundle_model)
+    """All documents rewritten bundle by bundle (an offline model that adds a last line), with line counts against the
+    originals."""
+    return PL.transform_documents(non_empty(read_documents(spark, sf_dir)), "Add a last line.", make_marking_model)
 
 
 @register("create_documents", f"""
