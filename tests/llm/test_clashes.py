@@ -36,3 +36,14 @@ def test_a_failing_host_takes_its_good_documents_along(spark):
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert not got[2000].base_failed and not got[2000].kept  # its host is rejected
     assert got[2001].kept and got[0].kept and not got[1000].base_failed and not got[1000].kept
+
+
+def test_embedding_ids_that_stand_for_several_vectors(spark):
+    from textlake.llm import embed_dedup
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(7, a, 1), (7, b, 1), (2, near(a), 1), (9, near(b), 1), (7, c, 2), (1, c, 2), (5, a, 2)]
+    got = embed_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [
+        (1, 1, 1), (2, 1, 2), (5, 0, 5), (7, 1, 1), (7, 1, 2), (7, 1, 7), (9, 1, 7)]

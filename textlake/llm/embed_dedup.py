@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import connected_components, prepare, write_table
+from textlake.session import broadcast_if_small
 
 _SLICE = 1000
 _SLACK = 1e-6  # over the rounding of the double sums in the bounds and of the tile's float32 scaling
@@ -54,10 +55,10 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [quantise(unit(np.asarray(v))) for v in batch.column("v").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), batch.column("id"), batch.column("c"), batch.column("v"),
+            [batch.column("label"), batch.column("u"), batch.column("id"), batch.column("c"), batch.column("v"),
              pa.array([g[0].tobytes() for g in got], pa.binary()), *(pa.array([g[k] for g in got], pa.float64())
                                                                    for k in (1, 2, 3))],
-            ["label", "id", "c", "v", "q", "step", "err", "norm"])
+            ["label", "u", "id", "c", "v", "q", "step", "err", "norm"])
 
 
 def _product(qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
@@ -110,14 +111,14 @@ class Forest:
 
 
 def _tile(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Counts and forest of one tile: rows ``(id, other, n)``; ``other`` null for a count, ``n`` 0 for a forest edge."""
+    """Counts and forest of one tile: rows ``(u, other, n)`` of class numbers; ``other`` null for a count, ``n`` 0 for a forest edge."""
     rows: list[pd.DataFrame] = []
     for _, part in pdf.groupby(pdf["v"].map(len), sort=True):
         i0, j0 = part["ti"].iloc[0], part["tj"].iloc[0]
         a = part[part["blk"] == i0].reset_index(drop=True)
         same = i0 == j0
         b = a if same else part[part["blk"] == j0].reset_index(drop=True)
-        ids_a, ids_b, ca, cb = a["id"].to_numpy(), b["id"].to_numpy(), a["c"].to_numpy(), b["c"].to_numpy()
+        ids_a, ids_b, ca, cb = a["u"].to_numpy(), b["u"].to_numpy(), a["c"].to_numpy(), b["c"].to_numpy()
         na, nb, shift = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), 0 if same else len(a)
         forest = Forest(len(a) + (0 if same else len(b)))
         for i, j in tile_links(a, b, same, threshold):
@@ -128,12 +129,12 @@ def _tile(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         ids = ids_a if same else np.concatenate([ids_a, ids_b])
         counts = na + nb if same else np.concatenate([na, nb])
         some = counts > 0
-        rows.append(pd.DataFrame({"id": ids[some], "other": pd.array([None] * int(some.sum()), "Int64"),
+        rows.append(pd.DataFrame({"u": ids[some], "other": pd.array([None] * int(some.sum()), "Int64"),
                                   "n": counts[some]}))
         if forest.kept:
             k = np.array(forest.kept)
-            rows.append(pd.DataFrame({"id": ids[k[:, 0]], "other": pd.array(ids[k[:, 1]], "Int64"), "n": 0}))
-    return pd.concat(rows) if rows else pd.DataFrame({"id": [], "other": [], "n": []})
+            rows.append(pd.DataFrame({"u": ids[k[:, 0]], "other": pd.array(ids[k[:, 1]], "Int64"), "n": 0}))
+    return pd.concat(rows) if rows else pd.DataFrame({"u": [], "other": [], "n": []})
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 2048) -> DataFrame:
@@ -147,22 +148,27 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int
     classes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("c"))
     label_type = vectors.schema["label"].dataType.simpleString()
     v_type = vectors.schema["embedding"].dataType.simpleString()
-    packed = write_table(classes.select("label", "id", "c", "v").mapInArrow(
-        _quantised, f"label {label_type}, id long, c long, v {v_type}, q binary, step double, err double, "
+    # classes go by a number of their own, written once: an id may stand for several vectors
+    packed = write_table(classes.select("label", F.monotonically_increasing_id().alias("u"), "id", "c", "v").mapInArrow(
+        _quantised, f"label {label_type}, u long, id long, c long, v {v_type}, q binary, step double, err double, "
                     "norm double"), "quantised")
     sizes = packed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"))
     dealt = packed.join(sizes, "label").withColumn("blk", F.pmod(F.xxhash64("id", "v"), F.col("nb")).cast("int"))
     tiles = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "label", F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"), "blk", "id", "c", "v", "q",
+        "label", F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"), "blk", "u", "c", "v", "q",
         "step", "err", "norm")
     found = write_table(tiles.groupBy("label", "ti", "tj").applyInPandas(
-        lambda pdf: _tile(pdf, threshold), "id long, other long, n long"), "tile_links")
-    counts = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.where("n = 0"), "id", "other")
-    known = write_table(packed.select("label", "v", "id", "c").join(counts, "id", "left")
-                        .join(groups, "id", "left").select(
-                            "label", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"),
-                            F.coalesce("component", "id").alias("component_id")), "vector_groups")
+        lambda pdf: _tile(pdf, threshold), "u long, other long, n long"), "tile_links")
+    counts = found.where("n > 0").groupBy("u").agg(F.sum("n").alias("n"))
+    groups = connected_components(found.where("n = 0"), "u", "other").withColumnRenamed("id", "u")
+    grouped = write_table(packed.select("label", "v", "u", "id", "c").join(counts, "u", "left").join(groups, "u", "left"),
+                          "grouped")
+    # a row a component, sent to all tasks where a count proves them few: a large component's rows stay where they are
+    least = broadcast_if_small(grouped.where("component is not null").groupBy("component").agg(
+        F.min("id").alias("component_id")))
+    known = write_table(grouped.join(least, "component", "left").select(
+        "label", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"),
+        F.coalesce("component_id", "id").alias("component_id")), "vector_groups")
     named = usable.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~F.coalesce(good, F.lit(False))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
