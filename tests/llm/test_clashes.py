@@ -47,3 +47,29 @@ def test_embedding_ids_that_stand_for_several_vectors(spark):
     got = embed_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [
         (1, 1, 1), (2, 1, 2), (5, 0, 5), (7, 1, 1), (7, 1, 2), (7, 1, 7), (9, 1, 7)]
+
+
+def test_components_with_hubs_and_long_chains(spark, monkeypatch):
+    import random
+
+    from textlake.llm import common
+
+    rnd = random.Random(9)
+    star = [(5, 1000 + k) for k in range(900)] + [(1000 + k, 7000) for k in range(0, 900, 3)]  # two hubs share leaves
+    chain = [(2000 + k, 2001 + k) for k in range(40)]
+    loose = [(rnd.randrange(3000, 3400), rnd.randrange(3000, 3400)) for _ in range(250)]
+    links = [(a, b) if rnd.random() < 0.5 else (b, a) for a, b in star + chain + loose] + [(1, 1), (None, 2)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            ra, rb = find(a), find(b)
+            root[max(ra, rb)] = min(ra, rb)
+    want = {x: find(x) for x in list(root)}
+    got = common.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)

@@ -65,31 +65,48 @@ def long_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
+#: nodes whose edges are matched by a broadcast at most
+HUBS = 50_000
+
+
+def _with_least(edges: DataFrame, most: int) -> DataFrame:
+    """``edges (u, v)``, at most ``most`` rows, with ``m``, the least ``v`` of each ``u``.
+
+    Nodes with more than ``most / HUBS`` edges (so at most ``HUBS`` of them) are sent to all tasks: the edges of a large
+    star's centre stay where they are. All other nodes meet theirs by a join on ``u``.
+    """
+    per = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+    limit = max(64, most // HUBS)
+    hubs = F.broadcast(per.where(F.col("d") > limit).select("u", F.col("m").alias("hub_m")))
+    tagged = edges.join(hubs, "u", "left")
+    light = tagged.where("hub_m is null").select("u", "v").join(per.where(F.col("d") <= limit).select("u", "m"), "u")
+    return light.unionByName(tagged.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every node of an undirected link table; component is the smallest reachable id.
 
     Alternates two star steps (link every larger neighbour to the smallest neighbour, then every smaller one) until
-    nothing changes. Each step is a grouped minimum with partial aggregation and a join; its edges are written to the
-    shared checkpoint folder. Rows with a null end and self links are ignored; no links give an empty table.
+    nothing changes. Each step is a grouped minimum with partial aggregation and a join that spares the edges of large
+    stars the shuffle; its edges are written to the shared checkpoint folder. Rows with a null end and self links are ignored; no links give an empty table.
     """
     edges = write_table(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
                         .where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                         .distinct(), "cc")
-    stamp = None
+    stamp, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v"))
+        near = _with_least(both, 2 * n).select("u", "v", F.least("u", "m").alias("m"))
+        large = write_table(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+                            .distinct(), "cc_large")
         # each node now hangs on smaller ones only: link them to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m")))
-                                             .alias("e")).select("e.u", F.col("e.m").alias("v"))
+        small = (_with_least(large, n).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m")))
+                                              .alias("e")).select("e.u", F.col("e.m").alias("v"))
                  .where("u <> v").distinct())
         edges = write_table(small, "cc")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if stamp == (now["n"], now["x"]):
             break
-        stamp = (now["n"], now["x"])
+        stamp, n = (now["n"], now["x"]), now["n"]
     root = edges.groupBy("v").agg(F.first("v").alias("component")).select(F.col("v").alias("id"), "component")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(root)
