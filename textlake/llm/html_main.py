@@ -61,9 +61,12 @@ BOILER_WORDS = re.compile(
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-                   r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: a comment, declaration, or the start of a tag with its name; names are cut at 64 characters
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]{0,63})""", re.S)
+REST = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+MARK = re.compile(r"""[>"']""")
+#: an attribute starts where a run of name characters starts, so a run is read once
+ATTR = re.compile(r"""(?<![^\s"'>/=])([^\s"'>/=]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++)""")
 #: weight of a smoothness edge between blocks at DOM distance 1, its fall-off, and the cost of a certain ancestor
 SMOOTH, FALL, CERTAIN = 0.6, 0.5, 8.0
 #: what a boilerplate word weighs inside an article where it is only part of a class token, or a whole id
@@ -86,10 +89,12 @@ def boiler_weight(classes: str, ident: str, story: bool) -> float:
 class Node:
     """An open element: tag, parent, depth and its summed verdict (positive: content)."""
 
-    __slots__ = ("tag", "up", "depth", "lean", "story", "link", "embedded")
+    __slots__ = ("tag", "up", "depth", "lean", "story", "link", "embedded", "block")
 
     def __init__(self, tag: str, up: Node | None, attrs: str = ""):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+        #: the nearest element from here up that is not inline
+        self.block = up.block if up and tag in INLINE else self
         self.lean, self.story = (up.lean, up.story) if up else (0.0, False)
         self.link = bool(up and up.link) or tag == "a"
         self.embedded = bool(up and up.embedded) or tag in EMBEDDED
@@ -119,6 +124,45 @@ class Block:
         self.text, self.node, self.link_chars = text, node, link_chars
 
 
+class TagEnds:
+    """Ends of tags, found in time linear in the page however its quotes and brackets are (mis)placed.
+
+    A tag's end is the first ``>`` outside quotes. Where none follows, the tag is text. After the first such tag the search
+    notes the quotes it came by in vain: a later search that comes by one of them ends there.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.vain = page, {c: page.rfind(c) for c in ">\"'"}, set()
+        self.careful, self.mark_from, self.mark_at = False, 0, -1
+
+    def find(self, start: int) -> int:
+        """Position of the ``>`` that ends the tag whose name ends at ``start``; -1 if there is none."""
+        if start > self.last[">"]:
+            return -1
+        if not self.careful:
+            m = REST.match(self.page, start)
+            if m:
+                return m.end() - 1
+            self.careful = True
+        came, at = [], start
+        while True:
+            if not self.mark_from <= at <= self.mark_at:
+                m = MARK.search(self.page, at)
+                self.mark_from, self.mark_at = at, m.start() if m else len(self.page)
+            k = self.mark_at
+            if k == len(self.page) or k in self.vain:
+                break
+            c = self.page[k]
+            if c == ">":
+                return k
+            came.append(k)
+            if k >= self.last[c]:
+                break
+            at = self.page.index(c, k + 1) + 1
+        self.vain.update(came)
+        return -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, one scan over its tags."""
     root = Node("#", None)
@@ -138,24 +182,32 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                out.append(Block(joined, block_node(node), links))
+                out.append(Block(joined, node.block, links))
             parts.clear()
             links = 0
 
-    def block_node(n: Node) -> Node:
-        while n.tag in INLINE and n.up:
-            n = n.up
-        return n
+    def enter(tag: str, attrs: str) -> None:
+        nonlocal node
+        node = Node(tag, node, attrs)
+        open_[tag] = open_.get(tag, 0) + 1
 
-    def close(tag: str) -> None:
+    def leave(to: Node) -> None:
+        """Ends all elements below ``to``."""
         nonlocal node
-        n = node
-        while n.up and n.tag != tag:
-            n = n.up
-        if n.up:
-            node = n.up
+        while node is not to:
+            open_[node.tag] -= 1
+            node = node.up
+
+    def close(tag: str) -> None:
+        if open_.get(tag):
+            n = node
+            while n.tag != tag:
+                n = n.up
+            leave(n.up)
 
     def inside(tags: set[str], stop: set[str]) -> str | None:
+        if not any(open_.get(t) for t in tags):
+            return None
         n = node
         while n.up:
             if n.tag in tags:
@@ -175,21 +227,27 @@ def blocks_of(page: str) -> list[Block]:
 
     def end_embedded() -> None:
         """Ends the open embedded elements that cannot hold a section or heading."""
-        nonlocal node
         n, top = node, None
         while n.embedded and n.tag not in HOLDS_FLOW:
             top = n if n.tag in EMBEDDED else top
             n = n.up
         if top is not None and not n.embedded:
-            node = top.up
+            leave(top.up)
 
-    pos = 0
+    pos, tag_ends, open_ = 0, TagEnds(page), {}
     while (m := TOKEN.search(page, pos)) is not None:
-        text(m.start())
-        at = pos = m.end()
         tag = m[2]
         if tag is None:
+            text(m.start())
+            at = pos = m.end()
+            continue
+        close_at = tag_ends.find(m.end())
+        if close_at < 0:
+            pos = m.start() + 1
             continue
+        text(m.start())
+        attrs = page[m.end():close_at]
+        at = pos = close_at + 1
         tag = tag.lower()
         if tag in EMBEDDED:
             # phrasing elements do not end the block they stand in
@@ -197,16 +255,18 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             if m[1]:
                 close(tag)
-            elif not m[3].rstrip().endswith("/") and closed(tag):
-                node = Node(tag, node, m[3])
+            elif not attrs.rstrip().endswith("/") and closed(tag):
+                enter(tag, attrs)
             continue
         if node.embedded:
             if m[1]:
+                if not open_.get(tag):
+                    continue
                 n = node
                 while n.embedded and n.tag != tag:
                     n = n.up
                 if n.embedded:
-                    node = n.up
+                    leave(n.up)
                     continue
                 # an end tag of an element around the embedded one ends both
                 while n.up and n.tag != tag:
@@ -217,8 +277,8 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in ENDS_EMBEDDED:
                     end_embedded()
                 if node.embedded and tag not in RAW:
-                    if tag not in VOID and not m[3].rstrip().endswith("/"):
-                        node = Node(tag, node, "")
+                    if tag not in VOID and not attrs.rstrip().endswith("/"):
+                        enter(tag, "")
                     continue
         if m[1]:
             if tag == "p" and inside({"p"}, {"article", "body", "div", "section", "td"}) is None:
@@ -236,7 +296,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "head":
             flush()
             continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
+        if tag in RAW and not attrs.rstrip().endswith("/"):
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos)
             at = pos = stop.end()
             flush()
@@ -248,15 +308,17 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             # a new block ends inline elements left open in the last one, and an open paragraph
-            while node.up and node.tag in INLINE:
-                node = node.up
+            n = node
+            while n.up and n.tag in INLINE:
+                n = n.up
+            leave(n)
             if tag in CLOSES_P and inside({"p"}, {"table", "td", "th", "button", "object"}):
                 close("p")
             if tag in ENDS_AT:
                 names, stop_tags = ENDS_AT[tag]
                 while (old := inside(set(names.split()), stop_tags)) is not None:
                     close(old)
-        node = Node(tag, node, m[3])
+        enter(tag, attrs)
     text(end)
     flush()
     return out
