@@ -6,16 +6,38 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns what the next one reads.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm import bin_packing, mixing, near_dedup, quality, toxicity
 from textlake.llm.common import prepare, table, write_table
 from textlake.llm.records import default_tokenizer
+from textlake.session import drop_tables, noting_tables
+
+#: tables that the stages wrote for themselves and that may go once a stage's result has been written
+_spent: list[str] = []
+
+
+def stage(work):
+    """A stage that first deletes the tables earlier stages wrote for themselves: what it is given has been written and read
+    again, so nothing needs them any more. Tables that ``docs`` still reads stay."""
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _spent[:] = drop_tables(spark, _spent, keep=docs)
+        with noting_tables() as written:
+            out = work(spark, docs, sf_dir)
+        _spent.extend(written)
+        return out
+
+    return run_stage
+
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5. The score is a function of the text, so it is computed beside the row."""
     prepare(spark)
@@ -24,11 +46,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_rows(docs, net).where("score < 0.5").select(*COLUMNS)
 
 
+@stage
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
     return quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
+@stage
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): that with the smallest id.
 
@@ -42,12 +66,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(kept.select("first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     mixed = mixing.mix(docs.select(*COLUMNS), carry=COLUMNS)
     return mixing.materialise(mixed).select(*COLUMNS)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 4,096 tokens."""
     return bin_packing.pack_documents(docs.select("doc_id", "text"), default_tokenizer("word_bpe_49k.json"))
@@ -62,6 +88,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage_{name}")
+    for name, work in STAGES[:-1]:
+        docs = write_table(work(spark, docs, sf_dir), f"stage_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

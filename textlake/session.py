@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -100,6 +102,20 @@ def spread(df, *keys):
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting_tables():
+    """A list that gathers the paths of the tables written in the block, for :func:`drop_tables` later."""
+    paths: list[str] = []
+    token = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
+
+
 def materialize(df, name: str = "stage"):
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
@@ -110,10 +126,27 @@ def materialize(df, name: str = "stage"):
 
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths, keep: DataFrame | None = None) -> list[str]:
+    """Delete tables written by :func:`materialize` whose consumers are done; returns those left because ``keep`` (a
+    DataFrame still in use) reads them."""
+    used = [f.split(":", 1)[-1] for f in keep.inputFiles()] if keep is not None else []
+    left = []
+    for path in paths:
+        where = path.split(":", 1)[-1].rstrip("/") + "/"
+        if any(where in f for f in used):
+            left.append(path)
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return left
+
+
 def broadcast_if_small(df, max_rows: int = 100_000):
     """``broadcast(df)`` when a count proves it has at most ``max_rows`` rows, else ``df`` unchanged (a shuffle
     join, with AQE splitting skewed keys). For small sides joined on keys that may be hot."""
