@@ -33,3 +33,20 @@ def test_one_row_of_each_group_whatever_its_id(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in P.keep_one_of_each(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, c), (3, ""), (3, None)], key=str)
+
+
+def test_stages_delete_what_earlier_ones_wrote_for_themselves(spark):
+    import os
+
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{words} {k % 4}", "en", "s", 1) for k in range(12)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    there = lambda p: os.path.exists(p.split(":", 1)[-1])
+    judged = P.apply_quality_rules(spark, write_table(docs, "input"), SF)
+    first = list(P._spent)
+    assert first and all(there(p) for p in first)
+    P.keep_one_of_each(spark, judged, SF).count()  # not written in between: what it reads has to stay
+    assert judged.count() == 12 and any(there(p) for p in first)
+    out = write_table(judged, "judged")
+    mixed = write_table(P.mix_sources(spark, out, SF), "mixed")
+    assert not any(there(p) for p in first) and out.count() == 12 and mixed.count() > 0
