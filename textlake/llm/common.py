@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -40,6 +41,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. A worker process lives on after its task, beside those of later stages; the C
+    library would keep what numpy freed. Does nothing where that library has no such call."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def free_prefix(columns: list[str]) -> str:
     """A prefix that none of the column names has, whatever their case: for temporary columns beside them."""
     prefix = "_t_"

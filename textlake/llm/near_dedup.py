@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, long_lists, mix64, prepare, write_table
+from textlake.llm.common import connected_components, give_back, long_lists, mix64, prepare, write_table
 
 #: distinct words whose hash a worker remembers before it starts afresh
 WORD_CACHE = 400_000
@@ -111,6 +111,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(np.array(total, np.uint64).view(np.int64)), pa.array(np.array(mixed, np.uint64).view(np.int64)),
                  long_lists(lists)], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+    del cache
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -119,6 +121,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         for batch in batches:
             sets = [shingle_set(t, k, cache).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), long_lists(sets)], ["id", "s"])
+    del cache
+    give_back()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlake.llm.common import prepare, write_table
+from textlake.llm.common import give_back, prepare, write_table
 
 WINDOW, STRIDE, PIECE = 48, 24, 24
 CHAR_DIM, CHAR_H, WORD_DIM, WORD_H, BUCKETS = 8, 8, 8, 8, 1 << 14
 #: distinct words whose input projections a worker remembers before it starts afresh
-WORD_CACHE = 250_000
+WORD_CACHE = 150_000
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -464,6 +464,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row with the trained network, from the rows of ``_cut`` in their order."""
     net = fit((label, parts) for batch in batches
               for label, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
 
@@ -474,6 +475,8 @@ def _peaks(batches: Iterator[pa.RecordBatch], net: Net) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(scorer.best(docs)),
              pa.array([window_count(len(d)) for d in docs], pa.int64())], ["doc_id", "y", "best", "count"])
+    del scorer
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int = 3000, max_clean: int = 4500,
@@ -525,6 +528,8 @@ def _score(batches: Iterator[pa.RecordBatch], net: Net, column: str) -> Iterator
         count = np.array([window_count(len(w)) for w in words], np.float64)
         score = np.where(np.isfinite(best), net.score(np.where(np.isfinite(best), best, 0.0), count), 0.0)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+    del scorer
+    give_back()
 
 
 def _blank(text) -> Column:
