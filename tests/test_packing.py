@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from textlake.operators.packing import block_summaries, greedy_chunks, in_blocks, next_picks, pick_examples
+from textlake.operators.packing import block_summaries, greedy_chunks, in_blocks, pick_examples, pickable
 
 
 def ref_next_fit(sizes, max_tokens, charge=True):
@@ -77,13 +78,42 @@ def test_pick_examples(spark):
                 assert sum(costs[x] for x in newer) + cost > 400, (g, t)
 
 
-def test_pick_examples_hot_group_in_blocks(spark):
-    """A group over many blocks picks as it does within one."""
-    rnd = random.Random(3)
-    rows = [("hot", t * 7, rnd.randint(50, 300)) for t in range(400)] + [("a", 1, 10), ("b", 5, 999)]
-    df = spark.createDataFrame(rows, "g string, t bigint, c int")
-    one, many = (sorted(map(tuple, pick_examples(df, "g", "t", "c", 500, 6, w).collect())) for w in (1000, 13))
-    assert one == many and one[0] == ("a", 1, 10, 1) and all(r[0] != "b" for r in one)
+def _picks(rows, budget, k):
+    """Plain walk over ``(order, cost)``: newest first, dearer first among equal orders, one pick an order."""
+    out, last = [], None
+    for o, c in sorted(rows, reverse=True):
+        if len(out) < k and c <= budget and o != last:
+            out.append((o, c, len(out) + 1))
+            budget, last = budget - c, o
+    return out
+
+
+@pytest.mark.parametrize("budget,k", [(500, 6), (60, 3), (1400, 10), (0, 2)])
+def test_pick_examples_hot_group(spark, budget, k):
+    """A hot group in many tasks, with ties, repeated rows, free items and runs of falling costs, against the plain walk;
+    what reaches a group's walk is bounded by its costs, not by its rows."""
+    rnd = random.Random(budget)
+    groups = {"hot": [(t // 2, rnd.choice([0, rnd.randint(1, 40), rnd.randint(40, 600)])) for t in range(3000)],
+              "falling": [(t, t) for t in range(600)], "rising": [(t, 600 - t) for t in range(600)],
+              "same": [(5, 7)] * 50, "dear": [(1, 9999)], None: [(1, 3), (2, 0)]}
+    rows = [(g, o, c) for g, items in groups.items() for o, c in items]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("hot", 10 ** 6, None)], "g string, t bigint, c int").repartition(13)
+    got = sorted(map(tuple, pick_examples(df, "g", "t", "c", budget, k).collect()), key=str)
+    assert got == sorted(((g, *p) for g, items in groups.items() for p in _picks(items, budget, k)), key=str)
+    left = pickable(df.withColumnRenamed("c", "_cost").where(F.col("_cost") <= budget), "g", "t", k).distinct()
+    assert all(n <= (budget + 1) * k for _g, n in left.groupBy("g").count().collect())
+
+
+def test_pick_examples_is_lazy(spark):
+    """Building the plan starts no job and writes no table; items are cut down in their tasks, before any exchange."""
+    df = spark.range(1000).selectExpr("id % 3 g", "id t", "cast(id % 50 as int) c")
+    spark.sparkContext.setJobGroup("picks", "picks")
+    out = pick_examples(df, "g", "t", "c", 100, 4)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("picks")) == []
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "_cost" in below.split("\n")[0] and "WindowGroupLimit" in below
 
 
 def test_hot_groups_stay_spread(spark):
@@ -98,12 +128,6 @@ def test_hot_groups_stay_spread(spark):
         assert base.select("_blk").where("g = 'hot'").distinct().count() >= 5
         plan = block_summaries(base, "g", "o", "_cost", 30, True)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(_blk" in plan and "hashpartitioning(g#" not in plan
-        first = next_picks(base, None, "g", "o", 30, 1)
-        plan = next_picks(base, first, "g", "o", 30, 2)._jdf.queryExecution().executedPlan().toString()
-        top = plan[:plan.index("SortMergeJoin")]
-        assert "Exchange hashpartitioning(g#" in top and "partial_max" in top
-        below = plan[plan.index("SortMergeJoin"):]
-        assert "_blk#" in below.split("Exchange hashpartitioning(g#", 1)[1].split(")")[0]
     finally:
         spark.conf.set(key, old)
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -195,46 +195,46 @@ def greedy_chunks(items: DataFrame, group_col: str, order_col: str, size_col: st
     return materialize(assigned, "pack-chunks")
 
 
-def next_picks(it: DataFrame, prev: DataFrame | None, group_col: str, order_col: str, budget: int,
-               pick_no: int) -> DataFrame:
-    """One round of picks: the newest item of each group that is older than its last pick and fits what is left.
+def pickable(items: DataFrame, group_col: str, order_col: str, num_examples: int) -> DataFrame:
+    """The rows of ``(group, order, _cost)`` that some budget could pick: the newest ``num_examples`` order values of
+    every (group, cost).
 
-    Items meet their group's state by (group, block): the state has one row for each block up to the last pick's, so
-    a hot group's items stay spread and only a partial maximum per task goes to the group."""
-    if prev is None:
-        cand = it.select("*", F.lit(0).cast("bigint").alias("_total"))
-    else:
-        state = prev.select(group_col, F.col(order_col).alias("_last"), F.col("_after").alias("_total"),
-                            F.explode(F.sequence("_b0", "_blk")).alias("_blk"))
-        cand = it.join(state, [group_col, "_blk"]).filter(
-            (F.col(order_col) < F.col("_last")) & (F.col("_cost") <= F.lit(budget) - F.col("_total")))
-    best = cand.groupBy(group_col).agg(F.max(F.struct(order_col, "_cost", "_total", "_blk")).alias("_p"),
-                                       F.min("_blk").alias("_b0"))
-    return best.select(group_col, F.col("_p")[order_col].alias(order_col), F.col("_p._cost").alias("_cost"),
-                       (F.col("_p._total") + F.col("_p._cost")).alias("_after"), F.col("_p._blk").alias("_blk"), "_b0",
-                       F.lit(pick_no).alias("pick_no"))
+    Exact, not a cut: while picking goes on, what is left of the budget only falls. An item is passed over because more than
+    what is left was asked for it, so every newer item of the same cost was picked, or lost its order value to a picked
+    one. With ``num_examples`` newer ones picking has ended before an older item comes up. The rows kept of a group are
+    bounded by costs x examples whatever its size, and parts of a group can be cut down on their own: Spark does so in
+    every task before the exchange (group limit), and a hot group is dealt out by its costs."""
+    newest = Window.partitionBy(group_col, "_cost").orderBy(F.col(order_col).desc_nulls_last())
+    return items.withColumn("_n", F.dense_rank().over(newest)).where(F.col("_n") <= int(num_examples)).drop("_n")
 
 
 def pick_examples(items: DataFrame, group_col: str, order_col: str, cost_col: str, budget: int,
-                  num_examples: int, block_width: int = DEFAULT_BLOCK_WIDTH) -> DataFrame:
+                  num_examples: int) -> DataFrame:
     """Newest-first example picking under a budget, skipping what does not fit, stopping at ``num_examples``.
 
-    The r-th pick of a group is the newest item older than the (r-1)-th pick whose cost fits the budget left
-    (items in between were skipped for a total that has not changed since). So each round is one grouped
-    maximum over the items, with partial aggregation: at most ``num_examples`` rounds, each bounded per task,
-    however large a group is, stopping early when a round picks nothing. The narrow items and each round's picks are
-    written to the checkpoint folder. Returns ``group, order, cost, pick_no`` (1 = newest pick).
+    Costs are whole numbers (token counts). A group is first cut down to its :func:`pickable` rows, at most
+    ``(budget + 1) * num_examples`` of them; one walk over these, newest first, makes the picks inside the group's row. The
+    plan is lazy: no job runs while it is built. Of rows with equal group and order at most one is picked, the dearest
+    that fits. Rows with a null cost are never picked, a null order counts as oldest.
+    Returns ``group, order, cost, pick_no`` (1 = newest pick).
     """
-    budget = int(budget)
-    it = in_blocks(items.select(group_col, order_col, F.col(cost_col).cast("bigint").alias("_cost")).filter(
-        F.col("_cost") <= budget), group_col, order_col, int(block_width), "pick-items")
-    picks = prev = None
-    for r in range(1, int(num_examples) + 1):
-        # a round's picks, at most one row per group, carry the running total: the state of the next round
-        prev = materialize(next_picks(it, prev, group_col, order_col, budget, r), "picks")
-        if prev.isEmpty():  # no group picked: no later round can pick either
-            break
-        picks = prev if picks is None else picks.unionByName(prev)
-    if picks is None:  # num_examples = 0, or nothing fits: no example
-        picks = it.filter(F.lit(False)).withColumn("pick_no", F.lit(0))
-    return picks.select(group_col, order_col, F.col("_cost").alias(cost_col), F.col("pick_no").cast("int"))
+    budget, k = int(budget), int(num_examples)
+    it = items.select(group_col, order_col, F.col(cost_col).cast("bigint").alias("_cost")).filter(F.col("_cost") <= budget)
+    pick = f"struct<o:{dict(it.dtypes)[order_col]},c:bigint>"
+    one = F.struct(F.col(order_col).alias("o"), F.col("_cost").alias("c"))
+    walked = pickable(it, group_col, order_col, k).groupBy(group_col).agg(
+        F.sort_array(F.collect_set(one), asc=False).alias("_items"))
+
+    def step(state, item):
+        older = ((F.size(state["picks"]) == 0) | (item["o"] < state["last"])
+                 | (item["o"].isNull() & state["last"].isNotNull()))
+        fits = (F.size(state["picks"]) < k) & (item["c"] <= state["left"]) & older
+        took = F.struct((state["left"] - item["c"]).alias("left"), item["o"].alias("last"),
+                        F.concat(state["picks"], F.array(item)).alias("picks"))
+        return F.when(fits, took).otherwise(state)
+
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.lit(None).cast(pick)["o"].alias("last"),
+                     F.array().cast(f"array<{pick}>").alias("picks"))
+    picks = walked.select(group_col, F.posexplode(F.aggregate("_items", start, step, lambda s: s["picks"])).alias("_k", "_p"))
+    return picks.select(group_col, F.col("_p.o").alias(order_col), F.col("_p.c").alias(cost_col),
+                        (F.col("_k") + 1).cast("int").alias("pick_no"))
