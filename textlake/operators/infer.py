@@ -7,7 +7,7 @@ its neighbours; what fails alone gives a row with ``error`` set instead of faili
 
 Spark may run a task more than once (retries, lost executors, recomputation), so calls can repeat. Pipelines
 that must not call twice write the answers to the cache table first and read them back downstream
-(:func:`infer_to_cache`).
+(:func:`infer_to_cache`), or commit them slice by slice while they are made (:mod:`textlake.operators.answer_log`).
 """
 
 from __future__ import annotations
@@ -40,6 +40,22 @@ def _call_with_retry(fn, prompts, attempts, max_wait, sleep):
     return [None] * len(prompts), f"{type(last).__name__}: {last}"
 
 
+def ask(fn, prompts: list, batch_size: int, attempts: int, max_wait: float, sleep=time.sleep) -> tuple[list, list]:
+    """Responses and errors of ``prompts``, asked in slices; a slice that fails is asked again prompt by prompt."""
+    responses, errors = [], []
+    for i in range(0, len(prompts), batch_size):
+        part = prompts[i:i + batch_size]
+        out, err = _call_with_retry(fn, part, attempts, max_wait, sleep)
+        if err is not None and len(part) > 1:
+            alone = [_call_with_retry(fn, [p], attempts, max_wait, sleep) for p in part]
+            responses += [r for (r,), _e in alone]
+            errors += [e for _r, e in alone]
+        else:
+            responses += out
+            errors += [err] * len(part)
+    return responses, errors
+
+
 def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]], *, key_cols,
                 prompt_col: str = "prompt", batch_size: int = 16, attempts: int = ATTEMPTS,
                 max_wait: float = MAX_WAIT_SECONDS, num_partitions: int | None = None) -> DataFrame:
@@ -63,14 +79,8 @@ def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]
             texts = pdf[prompt_col].tolist()
             todo = [i for i, t in enumerate(texts) if t is not None]
             responses, errors = [None] * len(texts), [None] * len(texts)
-            for i in range(0, len(todo), bs):
-                idx = todo[i:i + bs]
-                out, err = _call_with_retry(fn, [texts[j] for j in idx], attempts, max_wait, time.sleep)
-                for j, o in zip(idx, out):
-                    responses[j], errors[j] = o, err
-                if err is not None and len(idx) > 1:
-                    for j in idx:
-                        (responses[j],), errors[j] = _call_with_retry(fn, [texts[j]], attempts, max_wait, time.sleep)
+            for j, r, e in zip(todo, *ask(fn, [texts[j] for j in todo], bs, attempts, max_wait), strict=True):
+                responses[j], errors[j] = r, e
             res = pdf[keys].copy()
             res["response"] = pd.Series(responses, index=pdf.index, dtype=object)
             res["error"] = pd.Series(errors, index=pdf.index, dtype=object)

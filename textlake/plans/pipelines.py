@@ -8,7 +8,8 @@
 * :func:`create_documents`   — request → model → files
 
 Model calls go through :func:`textlake.operators.infer.batch_infer`; ``make_fn`` builds the user's model
-function once per task. Chunks and bundles are answered in parallel, not one after another.
+function once per task. Chunks and bundles are answered in parallel, not one after another. Every pipeline takes ``log``, an
+:class:`~textlake.operators.answer_log.AnswerLog`: answers are then cached and the calls resumable.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..functions import fixed as X
 from ..functions.tokens import token_count
 from ..operators import diffs as D
 from ..operators import prompts as PR
+from ..operators.answer_log import AnswerLog
 from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
 from ..session import materialize
@@ -40,15 +42,23 @@ def example_array(set_name: str) -> Column:
 
 
 def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, model: str | None = None,
-             max_output_tokens: int | None = None, tokenizer=None, **kw) -> DataFrame:
+             max_output_tokens: int | None = None, tokenizer=None, log: AnswerLog | None = None, **kw) -> DataFrame:
     """Model answers, cleaned; ``key_cols`` (any columns) are carried through the call.
 
+    With ``log`` only prompts without a live answer in it are sent, each once, and a run that was cut short goes on where it
+    was. The calls then run while the plan is built.
+
     With ``model`` its window holds: a prompt that leaves too little of it is not sent, and an answer beyond the output
     budget (``max_output_tokens``, else what the prompt leaves) is not used. Both give a row with ``error`` set. Without
     ``model`` only ``max_output_tokens`` is checked, where given."""
     keys, checked = list(key_cols), model is not None or max_output_tokens is not None
+    def call(asked: DataFrame, carried: list[str]) -> DataFrame:
+        if log is None:
+            return batch_infer(asked, make_fn, key_cols=carried, **kw)
+        return log.answer(asked, make_fn, key_cols=carried, model=model, **kw)
+
     if not checked:
-        out = batch_infer(prompts, make_fn, key_cols=keys, **kw)
+        out = call(prompts, keys)
         return out.select(*keys, PR.clean_response("response", strip=strip).alias("answer"), "error")
     limit = None if max_output_tokens is None else F.lit(int(max_output_tokens))
     n, budget, fits = PR.prompt_budget("prompt", F.lit(model), limit, tokenizer=tokenizer)
@@ -57,7 +67,7 @@ def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, model: s
         sized = sized.withColumn("fits", F.col("prompt_tokens") + limit <= PR.model_window(F.lit(model)))
     sent = sized.withColumn("prompt", F.when(F.col("fits"), F.col("prompt"))).withColumn("_long", F.when(
         ~F.col("fits"), F.concat(F.lit("prompt too long: "), F.col("prompt_tokens").cast("string"), F.lit(" tokens"))))
-    out = batch_infer(sent, make_fn, key_cols=[*keys, "output_budget", "_long"], **kw)
+    out = call(sent, [*keys, "output_budget", "_long"])
     _finished, overflow = PR.response_flags("response", "output_budget", tokenizer)
     cut = F.when(overflow, F.concat(F.lit("answer longer than "), F.col("output_budget").cast("string"), F.lit(" tokens")))
     out = out.withColumn("error", F.coalesce("_long", "error", cut))
