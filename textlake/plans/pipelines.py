@@ -26,6 +26,7 @@ from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
 from ..session import materialize
 from ..sources.changes import require_changes
+from ..sources.tables import require_files
 from . import packing as P
 from .texts import BUILTIN_EXAMPLES, COMBINE_REQUEST, COMMIT_PRE_PROMPT, CREATE_PRE_PROMPT, DEFAULT_PRE_PROMPT
 from .texts import RATING_PRE_PROMPT
@@ -41,6 +42,21 @@ def example_array(set_name: str) -> Column:
                               F.lit(a).alias("response")) for _seq, c, r, a in items])
 
 
+EXAMPLE_SETS = tuple(dict.fromkeys(s for s, *_ in BUILTIN_EXAMPLES))
+
+
+def example_prompts(texts: DataFrame, key_cols, text_col: str = "text", pre_prompt: str = DEFAULT_PRE_PROMPT,
+                    tokenizer=None) -> DataFrame:
+    """``*keys, example_set, n_examples, prompt, prompt_tokens``: every text as a task behind each built-in example set, with
+    the set's own request line. Row-local; the sets are literals of a few rows."""
+    sets = F.array(*[F.struct(F.lit(s).alias("example_set"), example_array(s).alias("examples")) for s in EXAMPLE_SETS])
+    each = texts.select(*key_cols, text_col, F.explode(sets).alias("_s")).select(*key_cols, text_col, "_s.*")
+    request = F.element_at("examples", 1)["request"]
+    out = each.select(*key_cols, "example_set", F.size("examples").alias("n_examples"),
+                      PR.assemble_prompt(text_col, request, F.lit(pre_prompt), F.col("examples")).alias("prompt"))
+    return out.withColumn("prompt_tokens", token_count("prompt", tokenizer))
+
+
 def _answers(prompts: DataFrame, make_fn, key_cols, strip: bool = True, model: str | None = None,
              max_output_tokens: int | None = None, tokenizer=None, log: AnswerLog | None = None, **kw) -> DataFrame:
     """Model answers, cleaned; ``key_cols`` (any columns) are carried through the call.
@@ -165,6 +181,7 @@ def transform_documents(files: DataFrame, request: str, make_fn, *, group_col: s
 
     ``max_chunk_tokens=None`` puts each group in one bundle. A bundle whose call failed gives one row for each of its
     files, with ``error`` set and the text NULL."""
+    require_files(files.select(order_col))
     if max_chunk_tokens is None:
         packed = files.select(group_col, order_col, F.lit(0).cast("bigint").alias("chunk_no"))
     else:

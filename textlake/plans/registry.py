@@ -787,6 +787,8 @@ def q_diff_hunk_lines(spark, sf_dir):
 # which then checks the whole prompt → model → cleaning → parsing path (for commit summaries: packing, chunk
 # texts, per-chunk calls and the combining call; for transforms an edit that only inserts).
 from . import pipelines as PL  # noqa: E402
+from ..operators.answer_log import AnswerLog  # noqa: E402
+from .texts import BUILTIN_EXAMPLES  # noqa: E402
 from .models import make_commit_model, make_create_model, make_marking_model, make_rating_model  # noqa: E402
 
 
@@ -804,6 +806,50 @@ def q_rate_messages(spark, sf_dir):
     return PL.rate_messages(msgs, make_rating_model)
 
 
+def _refusing():
+    def fn(prompts):
+        raise AssertionError("asked again")
+    return fn
+
+
+@register("rate_messages_logged", ORACLE["rate_messages"])
+def q_rate_messages_logged(spark, sf_dir):
+    """As ``rate_messages``, from an answer log: a first run fills it, the second finds every answer there (its model would
+    fail if it was asked)."""
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    msgs = conv.select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+                       .alias("msg_id"), F.col("text").alias("message"))
+    log = AnswerLog(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/answer-log-{uuid.uuid4().hex}", _as_of())
+    PL.rate_messages(msgs, make_rating_model, log=log)
+    return PL.rate_messages(msgs, _refusing, log=log, attempts=1)
+
+
+def _example_prompts_sql() -> str:
+    """Examples as plain text parts per set; the prompt is these, the headings and the text."""
+    rows = []
+    for name in PL.EXAMPLE_SETS:
+        items = sorted((seq, c, r, a) for s, seq, c, r, a in BUILTIN_EXAMPLES if s == name)
+        lines = []
+        for _seq, context, request, response in items:
+            lines += [X.CONTEXT_HEADING, context, *([] if request is None else [X.REQUEST_HEADING, request]),
+                      X.RESPONSE_HEADING, X.START_MARKER, response, X.END_MARKER]
+        ask = items[0][2]
+        tail = [*([] if ask is None else [X.REQUEST_HEADING, ask]), X.RESPONSE_HEADING, X.START_MARKER]
+        head = [DEFAULT_PRE_PROMPT, X.END_INSTRUCTION, *lines, X.CONTEXT_HEADING, ""]
+        rows.append(f"({_q(name)}, {len(items)}, {_q(chr(10).join(head))}, {_q(chr(10).join(['', *tail]))})")
+    return f"""
+WITH s(example_set, n_examples, head, tail) AS (VALUES {', '.join(rows)}),
+p AS (SELECT item_id, example_set, n_examples, head || text || tail AS prompt FROM benchmark, s)
+SELECT item_id, example_set, CAST(n_examples AS INTEGER) AS n_examples, prompt,
+       CAST({token_count_sql('prompt')} AS INTEGER) AS prompt_tokens FROM p"""
+
+
+@register("example_prompts", _example_prompts_sql())
+def q_example_prompts(spark, sf_dir):
+    """Every benchmark text as a task behind each built-in example set (commit, rating, combine), with its tokens."""
+    return PL.example_prompts(read_table(spark, sf_dir, "benchmark"), ["item_id"])
+
+
 def _clip_head_sql(expr: str, n: int) -> str:
     toks = f"regexp_extract_all({expr}, '[^ \\t\\n\\r]+')"
     return f"(CASE WHEN len({toks}) > {n} THEN array_to_string({toks}[1:{n}], ' ') ELSE {expr} END)"

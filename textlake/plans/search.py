@@ -9,7 +9,7 @@ from ..operators.embed import HashedEmbedder
 from ..operators.fragments import min_lines, split_fragments
 from ..operators.search import similarity_statistics, top_n_search
 from ..session import materialize, spread
-from ..sources.tables import non_empty
+from ..sources.tables import document_path, non_empty, require_files
 
 FRAGMENT_KEYS = ("doc_id", "start_line")
 
@@ -35,7 +35,8 @@ def embedded_queries(queries: DataFrame, query_key: str = "item_id", text_col: s
 def semantic_search(documents: DataFrame, queries: DataFrame, *, query_key: str = "item_id",
                     query_text: str = "text", fragment_lines: int = 20, min_fragment_lines: int = 0,
                     top_n: int | None = 3, threshold: float = 0.0, embedder=None) -> DataFrame:
-    """Top-n fragments per query: ``query_key, doc_id, start_line, similarity, rank``."""
+    """Top-n fragments per query: ``query_key, doc_id, start_line, similarity, rank``. No document with text is an error."""
+    require_files(non_empty(documents.select("text")))
     frags = embedded_fragments(documents, fragment_lines, min_fragment_lines, embedder)
     q = embedded_queries(queries, query_key, query_text, embedder)
     # one vector per query row at most: the source row count (cheap on parquet) bounds the broadcast
@@ -47,18 +48,18 @@ def search_report(documents: DataFrame, results: DataFrame, fragment_lines: int
                   order: str = "ascending") -> DataFrame:
     """Result rows as the command line printed them: header, similarity (2 places), path, first line, text.
 
-    The fragment text is recomputed from the documents (narrow) instead of being carried through the scoring
-    step. The ranked results are n rows per query; no broadcast hint, since the number of queries is not bounded
-    (AQE broadcasts them at run time when they are small).
+    Texts come last: the ranked results (narrow, n rows per query) are written once, a semi-join keeps the documents that
+    occur in them, and only these are split again. The documents are read once. No broadcast hint, since the number of
+    queries is not bounded (AQE broadcasts the results' ids at run time when they are few).
     """
-    frag_text = fragments(documents.select("doc_id", "text"), fragment_lines)
-    paths = documents.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"),
-                                                F.lit(".txt")).alias("path"))
-    out = (frag_text.join(results, list(FRAGMENT_KEYS))
-           .join(paths, "doc_id")
-           .select(*[c for c in results.columns if c not in FRAGMENT_KEYS], "doc_id", "start_line",
-                   F.concat(F.lit("Result "), F.col("rank").cast("string")).alias("header"),
-                   F.round("similarity", 2).alias("similarity_2"), "path", "contents"))
+    results = materialize(results, "search-results")
+    found = documents.select("doc_id", "text", document_path().alias("path")).join(
+        results.select("doc_id"), "doc_id", "left_semi")
+    frag_text = split_fragments(non_empty(spread(found, "doc_id")), fragment_lines, key_cols=("doc_id", "path"))
+    out = frag_text.join(results, list(FRAGMENT_KEYS)).select(
+        *[c for c in results.columns if c not in FRAGMENT_KEYS], "doc_id", "start_line",
+        F.concat(F.lit("Result "), F.col("rank").cast("string")).alias("header"),
+        F.round("similarity", 2).alias("similarity_2"), "path", "contents")
     # "ascending" lists the best result last, any other value lists it first
     first = [c for c in results.columns if c not in (*FRAGMENT_KEYS, "rank", "similarity")]
     return out.orderBy(*first, F.col("rank").desc() if order == "ascending" else F.col("rank").asc())

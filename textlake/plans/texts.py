@@ -37,6 +37,12 @@ BUILTIN_EXAMPLES = [
      "-    return 3.14 * r * r\n+    return math.pi * r * r",
      "Write a commit message for the given diff (quality: 10/10)",
      "Use math.pi for the circle area"),
+    ("commit", 1,
+     "diff --git a/calc.py b/calc.py\n--- a/calc.py\n+++ b/calc.py\n@@ -4,2 +4,4 @@\n def ring(r, s):\n"
+     "+    if s > r:\n+        raise ValueError(\"the hole is larger than the disc\")\n     return area(r) - area(s)",
+     "Write a commit message for the given diff (quality: 10/10)",
+     "Refuse rings whose hole is larger than the disc\n\nSuch a ring had a negative area, which callers only noticed much "
+     "later. The error now names the cause where the mistake is made."),
     ("rating", 0, "fixed stuff", None,
      "Too vague: it says neither what was fixed nor why. (RATING: 1/10)"),
     ("rating", 1, "Use math.pi for the circle area", None,

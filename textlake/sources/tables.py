@@ -42,6 +42,13 @@ def non_empty(files: DataFrame, text_col: str = "text") -> DataFrame:
     return files.filter(F.col(text_col) != "")
 
 
+def require_files(files: DataFrame) -> DataFrame:
+    """The original tool stops when its filters leave no file; so do the plans that take files (one row is looked at)."""
+    if files.isEmpty():
+        raise ValueError("no file with text is left")
+    return files
+
+
 def read_text_files(spark: SparkSession, paths: str | list[str], ignore_empty: bool = True) -> DataFrame:
     """Whole text files as rows ``(path, text)``; globs replace shell globs. Directories yield no rows.
 
