@@ -70,15 +70,15 @@ SPELLINGS = [
 ]
 
 _YEAR = r"(?:\d{4}\b|[<\[{(]*(?:yyyy|years?)\b)"
-_COPYRIGHT = (r"(?m)^[ \t]*(?:©|copyright[ \t:,]*(?:\(c\)|©|" + _YEAR + r")|\(c\)[ \t]*(?:copyright\b|©|" + _YEAR + r"))"
+COPYRIGHT = (r"(?m)^[ \t]*(?:©|copyright[ \t:,]*(?:\(c\)|©|" + _YEAR + r")|\(c\)[ \t]*(?:copyright\b|©|" + _YEAR + r"))"
               r".*$|^[ \t]*all rights reserved[ \t.!]*$")
-_TITLE = r"\A\s*(?:the )?(?:mit|expat|isc) licen[sc]e(?: \((?:mit|expat|isc)\))?[ \t:.]*(?:\r\n|\n|\r)(?=\s*\S)"
+TITLE = r"\A\s*(?:the )?(?:mit|expat|isc) licen[sc]e(?: \((?:mit|expat|isc)\))?[ \t:.]*(?:\r\n|\n|\r)(?=\s*\S)"
 
 
 def normalise(text: Column) -> Column:
     """Canonical form of a unit: see the module text. Empty when nothing but copyright notices or punctuation is left."""
-    t = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
-    t = F.regexp_replace(t, _TITLE, " ")
+    t = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    t = F.regexp_replace(t, TITLE, " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
     for a, b in SPELLINGS:

@@ -76,16 +76,18 @@ def stale_answer_pairs(conversations: DataFrame) -> DataFrame:
 
     For every conversation with two or more assistant turns: chosen is the conversation up to its last assistant
     turn; rejected is the same, but answers that last time with its previous assistant text again. Conversations with
-    one assistant turn get an empty rejected answer; those without give no pair. Rows with a null turn or null conversation
-    are left out, as in the query's SQL, so a conversation whose assistant turns all have null numbers gives no pair.
+    one assistant turn get an empty rejected answer; those without give no pair. A turn with a null number comes after all
+    numbered ones, a null text is empty; turns that tie with the last answer's number stay. Rows with a null conversation
+    are left out.
     """
-    order = F.struct("turn", "text")
-    heard = conversations.where("conv_id is not null and turn is not null")
+    place = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"))
+    order = F.struct(place.alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    heard = conversations.where("conv_id is not null")
     last = heard.where("role = 'assistant'").groupBy("conv_id").agg(F.max(order).alias("_last"))
     before = (heard.where("role = 'assistant'").join(last, "conv_id").where(order < F.col("_last"))
               .groupBy("conv_id").agg(F.max(order).alias("_before")))
     ends = last.join(before, "conv_id", "left")
-    both = (heard.join(ends, "conv_id").where(F.col("turn") <= F.col("_last.turn"))
+    both = (heard.join(ends, "conv_id").where(place <= F.col("_last.place"))
             .withColumn("side", F.explode(F.array(F.lit("chosen"), F.lit("rejected")))))
     stale = (F.col("side") == "rejected") & (F.col("role") == "assistant") & (order == F.col("_last"))
     return both.select(F.col("conv_id").alias("pair_id"), "side", "turn", "role",

@@ -149,8 +149,12 @@ def _literal(x: str) -> str:
 
 
 def _canon(text: str) -> str:
-    """DuckDB form of ``license_scan.normalise``."""
-    out = rf"regexp_replace(lower({text}), '(?m)^[ \t]*(?:copyright\b|\(c\)|©).*$', ' ', 'g')"
+    """DuckDB form of ``license_scan.normalise``: the same patterns, except that lines end with a line feed here (other line
+    ends are turned into it first) and that the character after a title line is put back, as there is no lookahead."""
+    notice = license_scan.COPYRIGHT.replace("'", "''")
+    title = license_scan.TITLE.replace(r"(?:\r\n|\n|\r)(?=\s*\S)", r"\n(\s*\S)")
+    out = rf"regexp_replace(lower({text}), '\r\n|\r', chr(10), 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '{notice}', ' ', 'g'), '{title}', ' \1')"
     out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
     for a, b in license_scan.SPELLINGS:
         out = f"replace({out}, ' {a} ', ' {b} ')"
@@ -169,11 +173,13 @@ LEFT JOIN known k ON k.c = d.c LEFT JOIN hits h ON h.doc_id = d.doc_id
 """
 
 OP8_SQL = r"""
-WITH a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
-           FROM conversations WHERE role = 'assistant'),
+WITH conv AS (SELECT conv_id, coalesce(CAST(turn AS BIGINT), 9223372036854775807) AS turn, coalesce(role, 'user') AS role,
+                coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r
+           FROM conv WHERE role = 'assistant'),
   e AS (SELECT l.conv_id, l.turn AS last, coalesce(b.text, '') AS stale FROM (SELECT * FROM a WHERE r = 1) l
         LEFT JOIN (SELECT * FROM a WHERE r = 2) b USING (conv_id)),
-  t AS (SELECT c.*, e.last, e.stale FROM conversations c JOIN e USING (conv_id) WHERE c.turn <= e.last),
+  t AS (SELECT c.*, e.last, e.stale FROM conv c JOIN e USING (conv_id) WHERE c.turn <= e.last),
   x AS (SELECT conv_id, max(last) AS last,
           coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn)
                    FILTER (WHERE turn < last), '') AS prompt,
