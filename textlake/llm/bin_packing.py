@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import prepare, write_table
+from textlake.llm.common import give_back, prepare, write_table
 from textlake.llm.tokens import encoder as encoder_of
 
 Bins = list[list[int]]
@@ -200,6 +200,7 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = 2048, islands: int
 
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, with_ids: bool
          ) -> Iterator[pa.RecordBatch]:
+    give_back()  # what earlier tasks of this worker freed
     encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
@@ -212,6 +213,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacit
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                          ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        give_back()
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False,

@@ -43,7 +43,8 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 def give_back() -> None:
     """Returns freed memory to the system. A worker process lives on after its task, beside those of later stages; the C
-    library would keep what numpy freed. Does nothing where that library has no such call."""
+    library and Arrow's pool would keep what was freed. Does nothing where the library has no such call."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
