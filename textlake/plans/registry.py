@@ -21,7 +21,7 @@ from ..operators.search import top_n_search
 from ..operators.vector_cache import VectorCache, embed_with_cache
 from ..operators.vector_index import build_index, indexed_search
 from ..session import broadcast_if_small, ensure_checkpoint_dir, ship_package, spread
-from ..sources.tables import DOCUMENT_PATH_SQL, non_empty, read_documents, read_table
+from ..sources.tables import DOCUMENT_PATH_SQL, non_empty, read_documents, read_table, table_path
 from . import search as S
 from .sqlparts import (bucket_sql, cosine_sql, hashed_tokens_sql, hashed_vector_sql, round6_sql, split_lines_sql,
                        token_count_sql)
@@ -923,14 +923,15 @@ def q_write_results(spark, sf_dir):
 WITH f AS ({fragments_sql(20)})
 SELECT doc_id, start_line, {hashed_vector_sql('contents')} AS embedding FROM f""")
 def q_stream_ingest(spark, sf_dir):
-    """The documents file ingested by the streaming source (available-now trigger) into a vectors table."""
+    """The documents table, one file or a folder of them, ingested by the streaming source (available-now trigger) into a
+    vectors table."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
     from ..streaming.ingest import read_vectors, start_vector_ingest
 
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
-    q = start_vector_ingest(spark, sf_dir, base + "/vectors", base + "/stream-checkpoint", glob="documents.parquet")
+    q = start_vector_ingest(spark, table_path(sf_dir, "documents"), base + "/vectors", base + "/stream-checkpoint", glob=None)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -19,9 +19,22 @@ from ..operators.fragments import min_lines, split_fragments
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def fragment_stream(spark: SparkSession, source_dir: str, glob: str = "*.parquet", fragment_lines: int = 20,
+def _source(spark: SparkSession, path: str, glob: str | None) -> tuple[str, str | None]:
+    """Folder to watch and the file names to take from it. The file source takes folders only: a single file is its
+    folder with the file's own name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return at.getParent().toString(), at.getName()
+    return path, glob
+
+
+def fragment_stream(spark: SparkSession, source_dir: str, glob: str | None = "*.parquet", fragment_lines: int = 20,
                     min_fragment_lines: int = 0, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", glob)
+    """Fragments of the documents in a folder's files with a name like ``glob`` (None: all), or of one file."""
+    source_dir, glob = _source(spark, source_dir, glob)
+    reader = spark.readStream.schema(DOCUMENT_SCHEMA)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     docs = reader.parquet(source_dir).select("doc_id", "text").filter(F.col("text") != "")
@@ -29,7 +42,7 @@ def fragment_stream(spark: SparkSession, source_dir: str, glob: str = "*.parquet
 
 
 def start_vector_ingest(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str, *,
-                        glob: str = "*.parquet", fragment_lines: int = 20, embedder=None,
+                        glob: str | None = "*.parquet", fragment_lines: int = 20, embedder=None,
                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     embedder = embedder or HashedEmbedder()
     frags = fragment_stream(spark, source_dir, glob, fragment_lines, max_files_per_trigger=max_files_per_trigger)
