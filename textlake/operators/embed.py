@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import flatten_newlines
+from ..session import bound_batches, give_back
 
 DEFAULT_DIMS = 64
 TOKEN = re.compile(r"[^ \t\n\r]+")
-#: tokens whose bucket a task remembers
-MAX_BUCKETS = 500_000
+#: tokens whose bucket a task remembers: the first it meets, which the frequent ones are among
+MAX_BUCKETS = 100_000
 # Fixed value: the longest wait between two attempts of an embedding call, in seconds.
 MAX_WAIT_SECONDS = 10.0
 
@@ -65,8 +66,10 @@ class HashedEmbedder:
         """Dense count vector ``ARRAY<DOUBLE>`` (length ``dims``) per row of ``df``, keyed by ``key_cols``.
 
         Each row is embedded where it lies (Arrow batches), so no vector is shuffled. Text is lower-cased in the JVM, as
-        in the sparse form and its SQL twin. A text without tokens (or a null one) gets the zero vector.
+        in the sparse form and its SQL twin. A text without tokens (or a null one) gets the zero vector. Batches are bounded
+        by bytes and a task turns one text at a time into Python objects, so its memory does not grow with the table.
         """
+        bound_batches(df.sparkSession)
         keys, dims = list(key_cols), self.dims
         src = df.select(*keys, F.lower(_c(text_col)).alias("_text"))
         schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys) + f", `{out_col}` array<double>"
@@ -74,28 +77,31 @@ class HashedEmbedder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets = Buckets(dims)
             for batch in batches:
-                if len(buckets) > MAX_BUCKETS:
-                    buckets.clear()
                 counts = np.zeros((batch.num_rows, dims))
-                for row, text in zip(counts, batch.column(len(keys)).to_pylist(), strict=True):
+                for row, value in zip(counts, batch.column(len(keys)), strict=True):
+                    text = value.as_py()
                     if text:
                         row += np.bincount([buckets[t] for t in TOKEN.findall(text)], minlength=dims)
                 ends = pa.array(np.arange(0, counts.size + 1, dims, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], [*keys, out_col])
+            buckets.clear()
+            give_back()
 
         return src.mapInArrow(run, schema)
 
 
 class Buckets(dict):
-    """Bucket of each token met, by the first 8 hex digits of its MD5."""
+    """Bucket of any token, by the first 8 hex digits of its MD5; those of the first ``most`` tokens met are remembered."""
 
-    def __init__(self, dims: int):
+    def __init__(self, dims: int, most: int = MAX_BUCKETS):
         super().__init__()
-        self.dims = dims
+        self.dims, self.most = dims, most
 
     def __missing__(self, token: str) -> int:
-        b = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
+        b = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
+        if len(self) < self.most:
+            self[token] = b
         return b
 
 
@@ -129,6 +135,7 @@ class PandasEmbedder:
         self.batch_size = batch_size
 
     def embed(self, df: DataFrame, key_cols, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+        bound_batches(df.sparkSession)
         make, bs = self.make_model, self.batch_size
         src = df.select(*key_cols, flatten_newlines(text_col).alias("_text"))
         fields = [f for f in src.schema.fields if f.name != "_text"]
@@ -144,5 +151,6 @@ class PandasEmbedder:
                 out = pdf.drop(columns=["_text"])
                 out[out_col] = pd.Series(vecs, index=pdf.index, dtype=object)
                 yield out
+                give_back()
 
         return src.mapInPandas(run, schema)
