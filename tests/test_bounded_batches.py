@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textlake.operators.diffs import diff_lines, with_diff_stats
 from textlake.operators.embed import Buckets, HashedEmbedder, PandasEmbedder
+from textlake.operators.infer import batch_infer
 from textlake.session import BATCH_BYTES, bound_batches
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -31,6 +33,9 @@ def _steps():
     return {
         "hashed": lambda df: HashedEmbedder().embed(df, ["id"]),
         "pandas": lambda df: PandasEmbedder(lambda: lambda texts: [[1.0]] * len(texts)).embed(df, ["id"]),
+        "infer": lambda df: batch_infer(df, lambda: lambda prompts: prompts, key_cols=["id"], prompt_col="text"),
+        "diff_stats": lambda df: with_diff_stats(df.select("id", F.lit("").alias("old"), F.col("text").alias("new"))),
+        "diff_lines": lambda df: diff_lines(df.select("id", F.lit("").alias("old"), F.col("text").alias("new")), "id"),
     }
 
 

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import bound_batches, give_back, materialize, ship_package
 from .cache import CACHE_TTL_SECONDS, _ts, cache_key, latest, live
 from .infer import ATTEMPTS, MAX_WAIT_SECONDS, ask
 
@@ -117,6 +117,7 @@ class AnswerLog:
         if num_partitions:
             todo = todo.repartition(int(num_partitions), "_key")
         folder, micros = self.path, self._micros
+        bound_batches(self.spark)
 
         def run(batches):
             fn, store = make_fn(), SliceStore(folder, micros)
@@ -124,6 +125,7 @@ class AnswerLog:
                 got = list(answer_slices(store, fn, pdf["_key"].tolist(), pdf["_prompt"].tolist(), slice_rows, batch_size,
                                          attempts, max_wait))
                 yield pd.DataFrame(got, columns=["_key", "error"]).dropna(subset=["error"])
+                give_back()
 
         errors = materialize(todo.sortWithinPartitions("_key").mapInPandas(run, "_key string, error string"), "call-errors")
         self.spark.catalog.refreshByPath(self.path)

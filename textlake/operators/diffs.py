@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches, give_back
+
 
 def _diff_rows(old: str | None, new: str | None):
     a = (old or "").splitlines()
@@ -29,6 +31,7 @@ def _diff_rows(old: str | None, new: str | None):
 
 def diff_lines(pairs: DataFrame, key_col: str = "pair_id", old_col: str = "old", new_col: str = "new") -> DataFrame:
     """``key, pos, op, line``: op is ``+`` (only in new), ``-`` (only in old) or `` `` (in both); pos from 0."""
+    bound_batches(pairs.sparkSession)
     ktype = dict((f.name, f.dataType.simpleString()) for f in pairs.schema.fields)[key_col]
 
     def run(batches):
@@ -47,6 +50,7 @@ def diff_lines(pairs: DataFrame, key_col: str = "pair_id", old_col: str = "old",
                     rows = []
             yield frame()
             rows = []
+            give_back()
 
     return pairs.select(key_col, old_col, new_col).mapInPandas(
         run, f"`{key_col}` {ktype}, pos int, op string, line string")
@@ -135,6 +139,7 @@ def hunk_lines(rows: DataFrame, context: int | None = 3, key_col: str = "pair_id
 
 def with_diff_stats(df: DataFrame, old_col: str = "old", new_col: str = "new") -> DataFrame:
     """``df`` plus ``added`` and ``removed`` line counts of each row's (old, new) pair, in one pass."""
+    bound_batches(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + \
         ", added int, removed int"
 
@@ -149,5 +154,6 @@ def with_diff_stats(df: DataFrame, old_col: str = "old", new_col: str = "new") -
             out["added"] = pd.Series(added, index=pdf.index, dtype="int32")
             out["removed"] = pd.Series(removed, index=pdf.index, dtype="int32")
             yield out
+            give_back()
 
     return df.mapInPandas(run, schema)

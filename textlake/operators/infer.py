@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches, give_back
+
 # Attempts per call and the longest wait between attempts (seconds) of the original tool.
 ATTEMPTS = 3
 MAX_WAIT_SECONDS = 10.0
@@ -63,8 +65,9 @@ def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]
 
     ``key_cols`` are carried through unchanged (any columns a later step needs, so that the answers never have
     to be joined back to their prompts: a join would branch the plan and could call the model twice). A NULL
-    prompt gets a NULL response without a model call.
+    prompt gets a NULL response without a model call. Prompts reach a task in batches bounded by bytes.
     """
+    bound_batches(prompts.sparkSession)
     keys = list(key_cols)
     src = prompts.select(*keys, prompt_col)
     if num_partitions:
@@ -85,6 +88,7 @@ def batch_infer(prompts: DataFrame, make_fn: Callable[[], Callable[[list], list]
             res["response"] = pd.Series(responses, index=pdf.index, dtype=object)
             res["error"] = pd.Series(errors, index=pdf.index, dtype=object)
             yield res
+            give_back()
 
     return src.mapInPandas(run, schema)
 
