@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textlake.operators.diffs import diff_lines, with_diff_stats
 from textlake.operators.embed import Buckets, HashedEmbedder, PandasEmbedder
 from textlake.operators.infer import batch_infer
+from textlake.operators.search import top_n_search
 from textlake.session import BATCH_BYTES, bound_batches
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -36,6 +37,8 @@ def _steps():
         "infer": lambda df: batch_infer(df, lambda: lambda prompts: prompts, key_cols=["id"], prompt_col="text"),
         "diff_stats": lambda df: with_diff_stats(df.select("id", F.lit("").alias("old"), F.col("text").alias("new"))),
         "diff_lines": lambda df: diff_lines(df.select("id", F.lit("").alias("old"), F.col("text").alias("new")), "id"),
+        "search": lambda df: top_n_search(df, df.limit(1).select(F.lit(0).alias("q"), "embedding"), item_keys=["id"],
+                                          query_key="q", top_n=600),
     }
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import materialize
+from ..session import bound_batches, give_back, materialize
 
 MAX_BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 32_768
@@ -53,7 +53,7 @@ def cosines(vecs: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def _feed(state: Any, table: pa.RecordBatch | pa.Table, keys: list[str], vec_col: str, qmat: np.ndarray,
-          strip: int = 2_000_000) -> Iterator[pd.DataFrame]:
+          strip: int = 500_000) -> Iterator[pd.DataFrame]:
     """Similarities go to the state a strip at a time, so that a block's product stays small."""
     mask, vecs = dense(table.column(vec_col), qmat.shape[1])
     names = table.select(keys).filter(pa.array(mask)).to_pandas()
@@ -74,6 +74,7 @@ def score(items: DataFrame, queries: DataFrame, make_state: Callable[[pd.DataFra
           vec_col: str, query_vec_col: str, max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
           row_bound: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of the states. ``make_state`` gets a frame of the query columns other than the vector, in matrix order."""
+    bound_batches(items.sparkSession)
     keys = list(item_keys)
     extra = [c for c in queries.columns if c != query_vec_col]
     src = items.select(*keys, vec_col)
@@ -96,6 +97,8 @@ def score(items: DataFrame, queries: DataFrame, make_state: Callable[[pd.DataFra
                     yield from _arrow(out, arrow).to_batches()
             for out in state.finish():
                 yield from _arrow(out, arrow).to_batches()
+            del state
+            give_back()
 
         return src.mapInArrow(run, schema)
     src = materialize(src, "score-items")
