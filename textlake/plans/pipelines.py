@@ -161,8 +161,10 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
                      "\n").alias("joined"))
     prompt = F.when((F.col("n_chunks") > 1) & F.col("_chunk_error").isNull(), PR.assemble_prompt(
         "joined", F.lit(COMBINE_REQUEST), F.lit(DEFAULT_PRE_PROMPT), example_array("combine")))
-    ans = _answers(agg.withColumn("prompt", prompt), make_fn, ["repo", "n_chunks", "_chunk_error", "joined"],
-                   max_output_tokens=max_output_tokens, **kw)
+    # a combined repo's messages travel in its prompt only: beside it, just the message of a single chunk is carried
+    alone = F.when(F.col("n_chunks") == 1, F.col("joined"))
+    ans = _answers(agg.withColumn("prompt", prompt).withColumn("joined", alone), make_fn,
+                   ["repo", "n_chunks", "_chunk_error", "joined"], max_output_tokens=max_output_tokens, **kw)
     message = F.when(F.col("n_chunks") > 1, F.col("answer")).otherwise(F.col("joined"))
     return ans.withColumn("error", F.coalesce("_chunk_error", "error")).select(
         "repo", "n_chunks", F.when(F.col("error").isNull(), message).alias("message"), "error")
