@@ -32,6 +32,14 @@ def split_lines(text: Column | str) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK_CHAR, -1))
 
 
+def first_line(text: Column | str) -> Column:
+    """The first item of :func:`split_lines`, ``""`` where there is none (an empty or null text).
+
+    Reads up to the first separator only, and never looks into an array that may be empty, which ANSI mode forbids."""
+    until_break = f"^[^{LINE_BREAK_CHAR[1:]}*"
+    return F.coalesce(F.regexp_extract(_c(text), until_break, 0), F.lit(""))
+
+
 def line_count(text: Column | str) -> Column:
     return F.size(split_lines(text))
 

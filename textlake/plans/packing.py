@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import clip_tokens, token_count
 from ..operators.packing import greedy_chunks, pick_examples
-from ..session import spread
+from ..session import materialize, spread
 
 # The library defaults of the original tool.
 BUNDLE_TOKENS = 1600
@@ -43,7 +43,9 @@ def pack_changes(changes: DataFrame, max_tokens: int = DIFF_TOKENS, charge_after
     Output per change: ``repo, seq, n_tokens, truncated, chunk_no`` (NULL for clipped changes) and
     ``emit_seq``: the ``seq`` at which its chunk is emitted (NULL = at the end), which orders chunks.
     """
-    sized = spread(changes, "seq").select("repo", "seq", token_count("patch", tokenizer).alias("n_tokens"))
+    # both sides below need the counts: they are written once, as narrow rows, so no text is counted twice
+    sized = materialize(spread(changes, "seq").select("repo", "seq", token_count("patch", tokenizer).alias("n_tokens")),
+                        "change-sizes")
     normal = sized.filter(F.col("n_tokens") <= max_tokens)
     chunks = greedy_chunks(normal, "repo", "seq", "n_tokens", max_tokens, charge_after_flush)
     starts = chunks.groupBy("repo", "chunk_no").agg(F.min("seq").alias("emit_seq"))

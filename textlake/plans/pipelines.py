@@ -24,7 +24,7 @@ from ..operators import prompts as PR
 from ..operators.answer_log import AnswerLog
 from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
-from ..session import materialize
+from ..session import broadcast_if_light, broadcast_if_small, materialize
 from ..sources.changes import require_changes
 from ..sources.tables import require_files
 from . import packing as P
@@ -110,20 +110,25 @@ def history_examples(history: DataFrame, make_rating_fn, max_log_tokens: int = P
                      num_examples: int = P.NUM_EXAMPLES, tokenizer=None, **kw) -> DataFrame:
     """Few-shot examples per repo from its history ``(repo, seq, patch, message)``: newest first under the token
     budget, each rated by the model to set the quality of its request. ``repo, examples`` (at most
-    ``num_examples`` per repo, so the collected list is bounded)."""
-    sized = history.select("repo", "seq", (token_count("message", tokenizer) + token_count("patch", tokenizer)
-                                           + F.lit(P.EXAMPLE_OVERHEAD)).alias("cost"))
-    picks = pick_examples(sized, "repo", "seq", "cost", max_log_tokens, num_examples)
-    picked = history.join(picks.select("repo", "seq", "pick_no"), ["repo", "seq"])
-    rated = rate_messages(picked.select(F.concat_ws("#", "repo", F.col("seq").cast("string")).alias("msg_id"),
-                                        "message"), make_rating_fn, tokenizer=tokenizer, **kw)
-    ex = picked.withColumn("msg_id", F.concat_ws("#", "repo", F.col("seq").cast("string"))).join(rated, "msg_id")
+    ``num_examples`` per repo, so the collected list is bounded).
+
+    The picks are made on narrow rows and written before any text moves: only picked texts leave the scan of the history.
+    The ratings are asked, and the examples written, while the plan is built."""
+    sized = materialize(history.select("repo", "seq", (token_count("message", tokenizer) + token_count("patch", tokenizer)
+                                                       + F.lit(P.EXAMPLE_OVERHEAD)).alias("cost")), "history-sizes")
+    picks = materialize(pick_examples(sized, "repo", "seq", "cost", max_log_tokens, num_examples).select(
+        "repo", "seq", "pick_no"), "history-picks")
+    msg_id = F.concat_ws("#", "repo", F.col("seq").cast("string")).alias("msg_id")
+    picked = materialize(history.join(broadcast_if_small(picks), ["repo", "seq"]).select(
+        msg_id, "repo", "pick_no", "patch", "message"), "history-picked")
+    rated = rate_messages(picked.select("msg_id", "message"), make_rating_fn, tokenizer=tokenizer, **kw)
     # a failed rating is no rating of 0: such an example is left out
-    ex = ex.where(F.col("error").isNull()).select("repo", "pick_no", F.struct(F.col("patch").alias("context"),
-                                               PR.request_text(F.coalesce("rating", F.lit(0))).alias("request"),
-                                               F.col("message").alias("response")).alias("ex"))
-    return ex.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("pick_no", "ex"))),
-                                              lambda s: s["ex"]).alias("examples"))
+    ex = picked.join(rated, "msg_id").where(F.col("error").isNull()).select(
+        "repo", "pick_no", F.struct(F.col("patch").alias("context"),
+                                    PR.request_text(F.coalesce("rating", F.lit(0))).alias("request"),
+                                    F.col("message").alias("response")).alias("ex"))
+    return materialize(ex.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("pick_no", "ex"))),
+                                                          lambda s: s["ex"]).alias("examples")), "history-examples")
 
 
 def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rating_fn, *,
@@ -147,7 +152,9 @@ def summarize_changes(changes: DataFrame, history: DataFrame, make_fn, make_rati
     request = PR.request_text(F.lit(10), F.lit(hint).cast("string"))
     # emit order of the chunks: by emit_seq, the final chunk (NULL) last; unique within a repo
     ord_key = F.coalesce(F.col("emit_seq"), F.lit(2 ** 62))
-    # examples (texts) are joined by shuffle: a hot repo's chunks are split by AQE
+    # the chunks stay where they are if the examples of all repos are light; else these are joined by shuffle and AQE splits a
+    # hot repo's chunks
+    hist = broadcast_if_light(hist, F.octet_length(F.to_json("examples")))
     prompts = chunks.join(hist, "repo", "left").select(
         "repo", ord_key.alias("ord"),
         PR.assemble_prompt("diff", request, F.lit(COMMIT_PRE_PROMPT), ex_col).alias("prompt"))

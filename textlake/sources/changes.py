@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import split_lines
+from ..functions.lines import first_line
 from .tables import document_path
 
 
@@ -20,7 +20,7 @@ def changes_from_documents(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("seq"),
         document_path().alias("path"),
         F.col("text").alias("patch"),
-        F.coalesce(F.element_at(split_lines("text"), 1), F.lit("")).alias("message"),
+        first_line("text").alias("message"),
     )
 
 
