@@ -39,3 +39,17 @@ def test_summarize_moves_only_picked_history_and_chunk_texts(spark):
     by_repo = [line for line in plan.splitlines() if "Exchange hashpartitioning(repo#" in line and ", seq#" not in line
                and "chunk_no#" not in line]
     assert len(by_repo) == 1, plan  # the answers of a repo, for the combining call
+
+
+def test_summarize_never_broadcasts_whole_texts(spark):
+    """By the size of its files alone Spark would broadcast this table with its texts; a table of repeated texts is as small on
+    disk however large it is in memory, and the driver cannot hold it."""
+    df = registry.QUERIES["summarize_changes"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "FileScan parquet" in line and "text#" in line)
+    depth = plan[at].index("FileScan")
+    for line in reversed(plan[:at]):  # the operators on the way from the scan up
+        here = len(line) - len(line.lstrip(" :+-"))
+        if here < depth and line[:here].strip():
+            depth = here
+            assert not line[here:].startswith("BroadcastExchange"), line

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import clip_tokens, token_count
 from ..operators.packing import greedy_chunks, pick_examples
-from ..session import materialize, spread
+from ..session import materialize, never_broadcast, spread
 
 # The library defaults of the original tool.
 BUNDLE_TOKENS = 1600
@@ -63,7 +63,7 @@ def chunk_texts(changes: DataFrame, packed: DataFrame, max_tokens: int = DIFF_TO
     """Text of each diff chunk: patches joined by newlines; a clipped change keeps its first tokens.
 
     The group is one chunk, whose size the budget bounds (clipped changes are single rows)."""
-    rows = changes.select("repo", "seq", "patch").join(packed, ["repo", "seq"])
+    rows = never_broadcast(changes.select("repo", "seq", "patch")).join(packed, ["repo", "seq"])
     body = F.when(F.col("truncated"), clip_tokens("patch", max_tokens, "head", tokenizer)).otherwise(F.col("patch"))
     return (rows.withColumn("_body", body)
             .groupBy("repo", "truncated", "chunk_no", "emit_seq")

@@ -24,7 +24,7 @@ from ..operators import prompts as PR
 from ..operators.answer_log import AnswerLog
 from ..operators.infer import batch_infer
 from ..operators.packing import pick_examples
-from ..session import broadcast_if_light, broadcast_if_small, materialize
+from ..session import broadcast_if_light, broadcast_if_small, materialize, never_broadcast
 from ..sources.changes import require_changes
 from ..sources.tables import require_files
 from . import packing as P
@@ -119,11 +119,11 @@ def history_examples(history: DataFrame, make_rating_fn, max_log_tokens: int = P
     picks = materialize(pick_examples(sized, "repo", "seq", "cost", max_log_tokens, num_examples).select(
         "repo", "seq", "pick_no"), "history-picks")
     msg_id = F.concat_ws("#", "repo", F.col("seq").cast("string")).alias("msg_id")
-    picked = materialize(history.join(broadcast_if_small(picks), ["repo", "seq"]).select(
+    picked = materialize(never_broadcast(history).join(broadcast_if_small(picks), ["repo", "seq"]).select(
         msg_id, "repo", "pick_no", "patch", "message"), "history-picked")
     rated = rate_messages(picked.select("msg_id", "message"), make_rating_fn, tokenizer=tokenizer, **kw)
     # a failed rating is no rating of 0: such an example is left out
-    ex = picked.join(rated, "msg_id").where(F.col("error").isNull()).select(
+    ex = never_broadcast(picked).join(rated, "msg_id").where(F.col("error").isNull()).select(
         "repo", "pick_no", F.struct(F.col("patch").alias("context"),
                                     PR.request_text(F.coalesce("rating", F.lit(0))).alias("request"),
                                     F.col("message").alias("response")).alias("ex"))
